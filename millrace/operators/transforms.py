@@ -86,8 +86,11 @@ def append_all(*frames: DataFrame) -> DataFrame:
     return first
 
 
-def distinct_first(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
-    """One row per key, the first in ``order_by``; partially aggregated, so copies die before the shuffle."""
-    rest = [c for c in df.columns if c not in keys]
-    first = F.min_by(F.struct(*rest), F.struct(*order_by)).alias("__row")
-    return df.groupBy(*keys).agg(first).select(*keys, "__row.*")
+def distinct_first(df: DataFrame, keys: list[str], row_id: str) -> DataFrame:
+    """One row per key, the one with the smallest ``row_id``, which must be unique.
+
+    Only keys and ids are grouped, so wide rows are not carried through the aggregation; give a digest as
+    the key of long texts. Copies are counted away before the shuffle.
+    """
+    first = df.groupBy(*keys).agg(F.min(row_id).alias(row_id)).select(row_id)
+    return df.join(first, row_id, "left_semi")

@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from millrace.plans import records, runs, scalars  # noqa: F401
+from millrace.plans import checks, records, runs, scalars  # noqa: F401
 from millrace.plans.registry import ORACLES, QUERIES  # noqa: F401

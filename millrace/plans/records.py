@@ -154,7 +154,7 @@ def sink_compressed(t):
 
 @query(
     "transform_map",
-    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * (1 - l_discount), 2) AS net,
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice * (1 - l_discount) AS net,
               upper(l_returnflag) || l_linestatus AS state FROM lineitem""",
 )
 def transform_map(t):
@@ -162,7 +162,7 @@ def transform_map(t):
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus"
     )
     return transforms.compute(
-        lines, net="round(l_extendedprice * (1 - l_discount), 2)", state="upper(l_returnflag) || l_linestatus"
+        lines, net="l_extendedprice * (1 - l_discount)", state="upper(l_returnflag) || l_linestatus"
     ).drop("l_extendedprice", "l_discount", "l_returnflag", "l_linestatus")
 
 
@@ -362,9 +362,8 @@ def union_all(t):
        QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1""",
 )
 def distinct_first(t):
-    # Long texts are grouped by digest, so the shuffle of keys stays small.
     keyed = t.documents.select(F.sha2("text", 256).alias("digest"), "doc_id", "source", "text")
-    return transforms.distinct_first(keyed, ["digest"], ["doc_id"]).select("text", "doc_id", "source")
+    return transforms.distinct_first(keyed, ["digest"], "doc_id").select("text", "doc_id", "source")
 
 
 _CODES = ", ".join(f"'{c}'" for c in errors.CODES)

@@ -139,6 +139,18 @@ class Tables:
         documents = self.read("documents").select("doc_id", "text", "lang", "source")
         return documents.join(self.read("labels"), "doc_id", "left")
 
+    @cached_property
+    def dead_letters(self) -> DataFrame:
+        broken = F.coalesce(F.col("quality") == 0, F.lit(False)) | (F.octet_length("text") < 200)
+        return self.records.where(broken).select(
+            F.col("doc_id").alias("id"),
+            F.col("source").alias("queue"),
+            F.col("text").alias("payload"),
+            F.when(F.octet_length("text") < 200, "too short").otherwise("low quality").alias("error"),
+            F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") * 60).cast("timestamp_ntz").alias("timestamp"),
+            F.lit(0).alias("retry_count"),
+        )
+
     @cached_property
     def acyclic_edges(self) -> DataFrame:
         turns = self.read("conversations").select("conv_id", "turn")
@@ -268,6 +280,11 @@ SQL_VIEWS = {
     "records": """
         SELECT d.doc_id, d.text, d.lang, d.source, l.quality, l.toxic
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+    "dead_letters": """
+        SELECT doc_id AS id, source AS queue, text AS payload,
+               CASE WHEN strlen(text) < 200 THEN 'too short' ELSE 'low quality' END AS error,
+               TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS "timestamp", 0 AS retry_count
+        FROM records WHERE coalesce(quality = 0, false) OR strlen(text) < 200""",
     "acyclic_edges": """
         SELECT a.conv_id AS graph, a.turn AS src, a.turn + 1 AS dst
         FROM conversations a SEMI JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""",
