@@ -89,6 +89,28 @@ def with_previous(
     return _attach(rows, carried, keys).withColumn(out, previous).drop(SLICE, LOCAL, "__lag", "__carried")
 
 
+def running_total(
+    df: DataFrame,
+    value: str,
+    order_by: Sequence[Column],
+    slice_by: Column,
+    keys: Sequence[str] = (),
+    out: str = "running",
+) -> DataFrame:
+    """Sum of ``value`` up to and including each row, per key."""
+    sliced = df.withColumn(SLICE, slice_by)
+    before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sliced.groupBy(*keys, SLICE).agg(F.sum(value).alias("__sum"))
+    offsets = sums.select(*keys, SLICE, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    so_far = _within(keys, order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = sliced.withColumn(LOCAL, F.sum(value).over(so_far))
+    return (
+        _attach(rows, offsets, keys)
+        .withColumn(out, F.col(LOCAL) + F.col("__before"))
+        .drop(SLICE, LOCAL, "__before")
+    )
+
+
 def latest(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
     """The last row per key, found by a partially aggregated ``max_by`` instead of a sort."""
     rest = [c for c in df.columns if c not in keys]

@@ -9,7 +9,6 @@ from millrace.functions.values import sorted_pairs
 from millrace.operators import graph, joins, ordering, quality, quarantine, validation
 from millrace.operators.validation import FieldRule, issues_text
 from millrace.plans.registry import query
-from millrace.sources import files
 
 DOCUMENT_RULES = (
     FieldRule("text", required=True, type="string", min_length=200, max_length=20_000),
@@ -105,13 +104,6 @@ def checksum_reconcile(t):
     return joins.reconcile_checksums(actual, expected, "doc_id")
 
 
-@query("file_checksum")
-def file_checksum(t):
-    """Checksums of the data files themselves; each file is read whole by one task."""
-    content = files.contents(t.spark, f"{t.sf_dir}/*.parquet")
-    return validation.validate_checksum(content, "content", "sha256").select("name", "size", "checksum", "input_size")
-
-
 @query(
     "validate_json",
     """WITH x AS (SELECT event_id, CASE WHEN event_type = 'error' THEN left(props, length(props) - 1) ELSE props END AS raw
