@@ -63,11 +63,12 @@ def fnv1a_words(text: Column) -> Column:
 
     The hash is kept in two words because 64-bit products overflow, which ANSI mode reports as an error.
     """
-    octets = F.regexp_extract_all(F.hex(text), F.lit("[0-9A-F]{2}"), F.lit(0))
+    pairs = F.regexp_extract_all(F.hex(text), F.lit("[0-9A-F]{2}"), F.lit(0))
+    octets = F.transform(pairs, lambda pair: F.conv(pair, 16, 10).cast("bigint"))
     start = F.struct(F.lit(FNV_OFFSET_HIGH).cast("bigint").alias("high"), F.lit(FNV_OFFSET_LOW).cast("bigint").alias("low"))
 
     def mix(state: Column, octet: Column) -> Column:
-        mixed = state["low"].bitwiseXOR(F.conv(octet, 16, 10).cast("bigint"))
+        mixed = state["low"].bitwiseXOR(octet)
         product = mixed * F.lit(FNV_PRIME_LOW).cast("bigint")
         high = state["high"] * F.lit(FNV_PRIME_LOW).cast("bigint") + F.shiftleft(mixed, 8) + F.shiftright(product, 32)
         return F.struct(

@@ -143,28 +143,37 @@ def available(beats: DataFrame, online: str = "running", load_limit: int = 100)
     return latest_beats(beats).where((F.col("status") == online) & (F.col("tasks_running") < load_limit))
 
 
-def activity_sessions(beats: DataFrame, gap_seconds: int = OFFLINE_SECONDS) -> DataFrame:
-    """Stretches of heartbeats per worker without a silence longer than the gap.
+def activity_slots(beats: DataFrame, gap_seconds: int = OFFLINE_SECONDS) -> DataFrame:
+    """First and last beat and number of beats per worker and slot of the gap's length.
 
-    Beats within one slot of the gap's length always belong together, so they are counted together before
-    the shuffle; what a worker brings to the window is bounded by time, not by the number of beats.
+    Beats of one slot always belong together, so counting them per slot loses nothing. Runs on tables and,
+    with a watermark on ``timestamp``, on streams.
     """
-    gap = gap_seconds * 1_000_000
-    micros = F.unix_micros(F.col("timestamp").cast("timestamp"))
-    slots = beats.select("worker_id", micros.alias("at")).groupBy("worker_id", F.floor(F.col("at") / gap).alias("slot")).agg(
-        F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("beats")
+    slot = F.window("timestamp", f"{gap_seconds} seconds")
+    return (
+        beats.groupBy("worker_id", slot.alias("w"))
+        .agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), F.count(F.lit(1)).alias("beats"))
+        .select("worker_id", F.col("w.start").alias("slot"), "first", "last", "beats")
     )
+
+
+def join_slots(slots: DataFrame, gap_seconds: int = OFFLINE_SECONDS) -> DataFrame:
+    """Sessions from slots. What a worker brings here is bounded by time, not by its number of beats."""
+    first, last = (F.unix_micros(F.col(c).cast("timestamp")) for c in ("first", "last"))
     by_time = Window.partitionBy("worker_id").orderBy("slot")
-    opens = F.coalesce(F.col("first") - F.lag("last").over(by_time) > gap, F.lit(True))
+    opens = F.coalesce(first - F.lag(last).over(by_time) > gap_seconds * 1_000_000, F.lit(True))
     marked = slots.withColumn("opens", opens.cast("int"))
     numbered = marked.withColumn("session", F.sum("opens").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy("worker_id", "session").agg(
-        F.timestamp_micros(F.min("first")).cast("timestamp_ntz").alias("session_start"),
-        F.timestamp_micros(F.max("last")).cast("timestamp_ntz").alias("session_end"),
-        F.sum("beats").alias("beats"),
+        F.min("first").alias("session_start"), F.max("last").alias("session_end"), F.sum("beats").alias("beats")
     )
 
 
+def activity_sessions(beats: DataFrame, gap_seconds: int = OFFLINE_SECONDS) -> DataFrame:
+    """Stretches of heartbeats per worker without a silence longer than the gap."""
+    return join_slots(activity_slots(beats, gap_seconds), gap_seconds)
+
+
 def exposition(counters: DataFrame, histograms: DataFrame, label: str, help_text: str) -> DataFrame:
     """Counters and histograms as sorted text lines: help, type and one line per sample.
 

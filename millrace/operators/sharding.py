@@ -67,7 +67,8 @@ def lay_out(sharded: DataFrame, shards: int, parts: int = 1, within: Sequence[st
     """Place rows of a shard together. A hot shard is spread over ``parts`` tasks by a hash of ``within``."""
     if parts <= 1:
         return sharded.repartition(shards, "shard_id")
-    salt = F.pmod(F.xxhash64(*(within or sharded.columns)), F.lit(parts))
+    hashable = [f.name for f in sharded.schema if "map<" not in f.dataType.simpleString()]
+    salt = F.pmod(F.xxhash64(*(within or hashable)), F.lit(parts))
     return sharded.repartition(shards * parts, F.col("shard_id"), salt)
 
 

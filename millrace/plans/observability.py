@@ -177,13 +177,14 @@ def metric_histogram(t):
 @query(
     "metric_summary",
     """SELECT metric, label_type, q.q AS quantile,
-              CASE q.q WHEN 0.5 THEN quantile_cont(value, 0.5) WHEN 0.9 THEN quantile_cont(value, 0.9)
-                       ELSE quantile_cont(value, 0.99) END AS value
+              round(CASE q.q WHEN 0.5 THEN quantile_cont(value, 0.5) WHEN 0.9 THEN quantile_cont(value, 0.9)
+                       ELSE quantile_cont(value, 0.99) END, 6) AS value
        FROM metric_samples CROSS JOIN (VALUES (CAST(0.5 AS DOUBLE)), (CAST(0.9 AS DOUBLE)), (CAST(0.99 AS DOUBLE))) q(q)
        GROUP BY metric, label_type, q.q""",
 )
 def metric_summary(t):
-    return metrics.summary(t.metric_samples, ["label_type"], [0.5, 0.9, 0.99], slice_width=5.0)
+    exact = metrics.summary(t.metric_samples, ["label_type"], [0.5, 0.9, 0.99], slice_width=5.0)
+    return exact.withColumn("value", F.round("value", 6))
 
 
 @query("metric_summary_approx")
