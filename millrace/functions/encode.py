@@ -30,7 +30,7 @@ def from_hex(text: Column) -> Column:
 
 def to_base64(data: Column) -> Column:
     """Base64 on one line; Spark's own function breaks lines after 76 characters."""
-    return F.translate(F.base64(data.cast("binary")), "\r\n", "")
+    return F.replace(F.base64(data.cast("binary")), F.lit("\r\n"), F.lit(""))
 
 
 def from_base64(text: Column) -> Column:

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 # Patterns that decide what counts as white space and as a well-formed value.
 SPACE = r"[\s\x0B\x{85}\p{Z}]"
+SPACE_CHARS = (
+    "\t\n\v\f\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 URL = r"^https?://[^\s/$.?#].[^\s]*$"
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
@@ -22,7 +26,7 @@ def split_on(c: Column, separator: str, limit: int = -1) -> Column:
 
 def trim_space(c: Column) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def trim_left(c: Column, chars: str) -> Column:
@@ -48,7 +52,7 @@ def contains_any(c: Column, chars: str) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return c.rlike(rf"^{SPACE}*$")
+    return trim_space(c) == ""
 
 
 def or_default(c: Column, default) -> Column:

@@ -6,8 +6,9 @@ number of shards.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,34 +36,44 @@ def reduce(results: DataFrame, keys: Sequence[str], **aggregates: Column) -> Dat
     return completed(results).groupBy(*keys).agg(*[c.alias(name) for name, c in aggregates.items()])
 
 
-def fold(
-    df: DataFrame,
-    keys: Sequence[str],
-    step: Callable[[pd.DataFrame], pd.DataFrame],
-    schema: str,
-    parts: int = 64,
-) -> DataFrame:
-    """Reduce groups with a user function that maps rows of ``schema`` to one row of ``schema``.
+def fold(df: DataFrame, keys: Sequence[str], steps: Mapping[str, Callable]) -> DataFrame:
+    """Reduce columns per group with associative functions of two values, such as ``math.gcd``.
 
-    The function must be associative. It runs first on every batch of a task, then on ``parts`` pieces of
-    a group and at last on those pieces, so a hot group is never in one place.
+    A numpy ufunc is used as it is. Every Arrow batch is reduced before the shuffle; afterwards rows of a
+    group come sorted in batches and only the running value of one group is carried between them, so
+    neither a hot group nor many groups need memory.
     """
     names = list(keys)
+    schema = df.select(*names, *steps).schema
+
+    def squeeze(batch: pd.DataFrame) -> pd.DataFrame:
+        """One row per group of a batch, groups in the order of their first row."""
+        group = batch.groupby(names, sort=False, dropna=False).ngroup().to_numpy()
+        order = np.argsort(group, kind="stable")
+        starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+        out = batch[names].iloc[order[starts]].reset_index(drop=True)
+        for column, step in steps.items():
+            function = step if isinstance(step, np.ufunc) else np.frompyfunc(step, 2, 1)
+            out[column] = function.reduceat(batch[column].to_numpy()[order], starts)
+        return out
+
+    def by_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield squeeze(batch)
 
-    def by_batch(batches):
+    def by_run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tail = None
         for batch in batches:
-            folded = [step(group) for _, group in batch.groupby(names, sort=False, dropna=False)]
-            if folded:
-                yield pd.concat(folded, ignore_index=True)
-
-    def by_group(group: pd.DataFrame) -> pd.DataFrame:
-        return step(group)
-
-    partial = df.mapInPandas(by_batch, schema)
-    piece = F.pmod(F.monotonically_increasing_id(), F.lit(parts))
-    pieces = partial.withColumn("__piece", piece).groupBy(*names, "__piece")
-    narrowed = pieces.applyInPandas(lambda group: step(group.drop(columns="__piece")), schema)
-    return narrowed.groupBy(*names).applyInPandas(by_group, schema)
+            if len(batch):
+                done = squeeze(batch if tail is None else pd.concat([tail, batch], ignore_index=True))
+                tail = done.iloc[-1:]
+                yield done.iloc[:-1]
+        if tail is not None:
+            yield tail
+
+    partial = df.select(*names, *steps).mapInPandas(by_batch, schema)
+    return partial.repartition(*names).sortWithinPartitions(*names).mapInPandas(by_run, schema)
 
 
 def ordered(results: DataFrame, value: Column, shard: str = "shard_id") -> DataFrame:

@@ -1,55 +1,62 @@
 """Checks over many pipeline graphs at once, as joins over one edge table.
 
-Every round removes the nodes without incoming edges from all graphs together. A node removed in round n
-lies n edges below its farthest source; nodes that are never removed lie on a cycle or below one. The
-alive edges of each round are written to the shared checkpoint folder, which keeps plans short and lets
-lost executors recover.
+Every round keeps the edges whose source still has an incoming edge. A node that is the target of an edge
+in n rounds lies n edges below its farthest source; a node that stays a target for ever lies on a cycle or
+below one. The edges of each round are a folder of one table in the shared folder, so plans stay short
+however many rounds there are, and lost executors do no harm.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
-from millrace.session import shared_dir
-
-
-def _all_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    ends = edges.select("graph", F.col("src").alias("node")).unionByName(edges.select("graph", F.col("dst").alias("node")))
-    return nodes.select("graph", "node").unionByName(ends).distinct()
+from millrace.session import scratch
 
 
 def _targets(edges: DataFrame) -> DataFrame:
     return edges.select("graph", F.col("dst").alias("node")).distinct()
 
 
-def _peel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Level of every node that gets released, and the nodes that never are."""
-    shared_dir(edges.sparkSession)
-    alive = edges.select("graph", "src", "dst").distinct().checkpoint()
-    targets = _targets(alive).checkpoint()
-    levels = _all_nodes(nodes, alive).join(targets, ["graph", "node"], "left_anti").withColumn("level", F.lit(0))
-    level, left = 0, alive.count()
+def _rounds(edges: DataFrame) -> tuple[str, int, bool]:
+    """Table of the edges of all rounds, number of the last round and whether edges were left in it."""
+    spark, table = edges.sparkSession, scratch(edges.sparkSession, "rounds")
+
+    def settle(alive: DataFrame, number: int) -> DataFrame:
+        alive.select("graph", "src", "dst").write.parquet(f"{table}/round={number}")
+        return spark.read.schema(edges.select("graph", "src", "dst").schema).parquet(f"{table}/round={number}")
+
+    number = 0
+    alive = settle(edges.select("graph", "src", "dst").distinct(), number)
+    left = alive.count()
     while left:
-        blocked = targets.withColumnRenamed("node", "src")
-        alive = alive.join(blocked, ["graph", "src"], "left_semi").checkpoint()
-        still = alive.count()
-        if still == left:
-            break
-        remaining = _targets(alive).checkpoint()
-        level += 1
-        released = targets.join(remaining, ["graph", "node"], "left_anti").withColumn("level", F.lit(level))
-        levels = levels.unionByName(released)
-        targets, left = remaining, still
-    return levels, targets
+        blocked = _targets(alive).withColumnRenamed("node", "src")
+        number += 1
+        alive = settle(alive.join(blocked, ["graph", "src"], "left_semi"), number)
+        before, left = left, alive.count()
+        if left == before:
+            return table, number, True
+    return table, number, False
 
 
 def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(graph, node, level)``: the longest distance from a source. Nodes on or below a cycle have none."""
-    levels, blocked = _peel(nodes, edges)
-    return levels.unionByName(blocked.withColumn("level", F.lit(None).cast("int")))
-
-
-def cyclic_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    table, last, stuck = _rounds(edges)
+    kinds = edges.select("graph", "src", "dst").schema.add("round", IntegerType())
+    rounds = edges.sparkSession.read.schema(kinds).parquet(table)
+    seen = rounds.groupBy("graph", F.col("dst").alias("node")).agg(F.max("round").alias("round"))
+    level = F.col("round") + 1
+    if stuck:
+        level = F.when(F.col("round") < last, level)
+    below = seen.select("graph", "node", level.alias("level"))
+    ends = nodes.select("graph", "node").unionByName(edges.select("graph", F.col("src").alias("node"))).distinct()
+    sources = ends.join(below, ["graph", "node"], "left_anti").withColumn("level", F.lit(0))
+    return below.unionByName(sources)
+
+
+def cyclic_nodes(edges: DataFrame) -> DataFrame:
     """``(graph, node)`` of the nodes that no order can place."""
-    return _peel(nodes, edges)[1]
+    table, last, _ = _rounds(edges)
+    alive = edges.sparkSession.read.schema(edges.select("graph", "src", "dst").schema).parquet(f"{table}/round={last}")
+    return _targets(alive)

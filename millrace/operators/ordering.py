@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICE = "__slice"
+KEY = "__key"
 LOCAL = "__local"
 
 
@@ -27,23 +27,26 @@ def time_slice(column: str, unit: str = "hour") -> Column:
     return F.date_trunc(unit, F.col(column))
 
 
-def _within(keys: Sequence[str], order_by: Sequence[Column]):
-    return Window.partitionBy(*keys, SLICE).orderBy(*order_by)
+def _sliced(df: DataFrame, keys: Sequence[str], slice_by: Column) -> DataFrame:
+    """Add the struct of keys and slice. A struct is never null itself, so rows with null keys join too, and
+    the window and the join that follows share one shuffle."""
+    return df.withColumn(KEY, F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], slice_by.alias("slice")))
+
+
+def _within(order_by: Sequence[Column]):
+    return Window.partitionBy(KEY).orderBy(*order_by)
 
 
 def _across(keys: Sequence[str], descending: bool = False):
-    order = F.col(SLICE).desc() if descending else F.col(SLICE).asc()
-    return Window.partitionBy(*keys).orderBy(order)
+    at = F.col(f"{KEY}.slice")
+    owners = [F.col(f"{KEY}.k{i}") for i, _ in enumerate(keys)]
+    return Window.partitionBy(*owners).orderBy(at.desc() if descending else at.asc())
 
 
-def _attach(rows: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Bring the per-slice state to its rows; keys may be null, slices too."""
-    condition = F.lit(True)
-    for name in (*keys, SLICE):
-        condition = condition & rows[name].eqNullSafe(carried[name])
-    names = [rows[c] for c in rows.columns]
-    extra = [carried[c] for c in carried.columns if c not in (*keys, SLICE)]
-    return rows.join(carried, condition, "left").select(*names, *extra)
+def _carried(sums: DataFrame, value: Column, keys: Sequence[str], descending: bool = False) -> DataFrame:
+    """Sum of ``value`` over the slices before each slice."""
+    before = _across(keys, descending).rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(KEY, F.coalesce(F.sum(value).over(before), F.lit(0)).alias("__before"))
 
 
 def numbered(
@@ -55,15 +58,12 @@ def numbered(
     descending: bool = False,
 ) -> DataFrame:
     """1-based position of each row in ``order_by``, within ``keys`` or over the whole table."""
-    sliced = df.withColumn(SLICE, slice_by)
-    sizes = sliced.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("__size"))
-    before = _across(keys, descending).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *keys, SLICE, F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before")
-    )
-    rows = sliced.withColumn(LOCAL, F.row_number().over(_within(keys, order_by)))
+    sliced = _sliced(df, keys, slice_by)
+    sizes = sliced.groupBy(KEY).agg(F.count(F.lit(1)).alias("__size"))
+    offsets = _carried(sizes, F.col("__size"), keys, descending)
+    rows = sliced.withColumn(LOCAL, F.row_number().over(_within(order_by)))
     position = (F.col(LOCAL) + F.col("__before")).cast("bigint")
-    return _attach(rows, offsets, keys).withColumn(out, position).drop(SLICE, LOCAL, "__before")
+    return rows.join(offsets, KEY).withColumn(out, position).drop(KEY, LOCAL, "__before")
 
 
 def with_previous(
@@ -75,18 +75,15 @@ def with_previous(
     out: str = "previous",
 ) -> DataFrame:
     """The value of the row before, per key: ``lag`` for keys of any size."""
-    order = [F.col(c) for c in order_by]
-    sliced = df.withColumn(SLICE, slice_by)
-    window = _within(keys, order)
-    rows = sliced.withColumn(LOCAL, F.row_number().over(window)).withColumn(
-        "__lag", F.lag(value).over(window)
-    )
-    last = sliced.groupBy(*keys, SLICE).agg(
-        F.max(F.struct(*order_by, F.col(value).alias("__value"))).alias("__last")
+    sliced = _sliced(df, keys, slice_by)
+    window = _within([F.col(c) for c in order_by])
+    rows = sliced.withColumns(
+        {LOCAL: F.row_number().over(window), "__lag": F.lag(value).over(window)}
     )
-    carried = last.select(*keys, SLICE, F.lag("__last.__value").over(_across(keys)).alias("__carried"))
+    last = sliced.groupBy(KEY).agg(F.max(F.struct(*order_by, F.col(value).alias("__value"))).alias("__last"))
+    carried = last.select(KEY, F.lag("__last.__value").over(_across(keys)).alias("__carried"))
     previous = F.when(F.col(LOCAL) == 1, F.col("__carried")).otherwise(F.col("__lag"))
-    return _attach(rows, carried, keys).withColumn(out, previous).drop(SLICE, LOCAL, "__lag", "__carried")
+    return rows.join(carried, KEY).withColumn(out, previous).drop(KEY, LOCAL, "__lag", "__carried")
 
 
 def running_total(
@@ -98,17 +95,36 @@ def running_total(
     out: str = "running",
 ) -> DataFrame:
     """Sum of ``value`` up to and including each row, per key."""
-    sliced = df.withColumn(SLICE, slice_by)
-    before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sliced.groupBy(*keys, SLICE).agg(F.sum(value).alias("__sum"))
-    offsets = sums.select(*keys, SLICE, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
-    so_far = _within(keys, order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sliced = _sliced(df, keys, slice_by)
+    sums = sliced.groupBy(KEY).agg(F.sum(value).alias("__sum"))
+    offsets = _carried(sums, F.col("__sum"), keys)
+    so_far = _within(order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = sliced.withColumn(LOCAL, F.sum(value).over(so_far))
-    return (
-        _attach(rows, offsets, keys)
-        .withColumn(out, F.col(LOCAL) + F.col("__before"))
-        .drop(SLICE, LOCAL, "__before")
-    )
+    total = F.col(LOCAL) + F.col("__before")
+    return rows.join(offsets, KEY).withColumn(out, total).drop(KEY, LOCAL, "__before")
+
+
+def keep_newest(
+    df: DataFrame,
+    count: int,
+    order_by: Sequence[Column],
+    keys: Sequence[str] = (),
+    slice_by: Column | None = None,
+) -> DataFrame:
+    """Bounded retention: the first ``count`` rows of ``order_by`` (newest first), overall or per key.
+
+    Without keys every task passes on at most ``count`` rows. With keys the sizes of the slices tell which
+    slices can hold kept rows; only those are sorted, so a hot key costs no more than what is kept.
+    """
+    if not keys:
+        return df.orderBy(*order_by).limit(count)
+    if slice_by is None:
+        raise ValueError("retention per key needs a slice of the order")
+    sliced = _sliced(df, keys, slice_by)
+    sizes = sliced.groupBy(KEY).agg(F.count(F.lit(1)).alias("__size"))
+    needed = _carried(sizes, F.col("__size"), keys, descending=True).where(F.col("__before") < count)
+    ranked = sliced.join(needed, KEY).withColumn(LOCAL, F.row_number().over(_within(order_by)))
+    return ranked.where(F.col(LOCAL) + F.col("__before") <= count).drop(KEY, LOCAL, "__before")
 
 
 def latest(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
@@ -125,16 +141,3 @@ def page(df: DataFrame, order_by: Sequence[Column], offset: int = 0, limit: int
         return ordered
     limit = min(limit, cap)
     return ordered.offset(offset).limit(limit) if offset else ordered.limit(limit)
-
-
-def keep_newest(
-    df: DataFrame, count: int, order_by: Sequence[Column], keys: Sequence[str] = ()
-) -> DataFrame:
-    """Bounded retention: the first ``count`` rows of ``order_by``, overall or per key.
-
-    Spark cuts each input task to ``count`` rows before the shuffle in both forms.
-    """
-    if not keys:
-        return df.orderBy(*order_by).limit(count)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by))
-    return df.withColumn("__rank", rank).where(F.col("__rank") <= count).drop("__rank")

@@ -66,24 +66,40 @@ def type_fits(value: Column, simple: str, wanted: str) -> Column:
     return F.lit(kind == want)
 
 
-def json_type_fits(document: Column, path: str, wanted: str) -> Column:
-    """The same test for a value inside JSON text; a missing or null value fits only ``null``."""
-    want = TYPE_NAMES.get(wanted, wanted)
-    variant = F.try_variant_get(F.try_parse_json(document), path, "variant")
-    kind = F.regexp_extract(F.schema_of_variant(variant), "^([A-Z]+)", 1)
+def json_kind(document: Column, path: str) -> Column:
+    """Kind of the value inside JSON text: one of the rule types, ``whole`` for a float without a fraction
+    and ``numeral`` for a string that reads as a number; null when it is missing or null."""
+    value = F.try_variant_get(F.try_parse_json(document), path, "variant")
+    head = F.regexp_extract(F.schema_of_variant(value), "^([A-Z]+)", 1)
     text = F.get_json_object(document, path)
+    number = text.try_cast("double")
+    return (
+        F.when(head == "BIGINT", "integer")
+        .when(head.isin("DOUBLE", "DECIMAL"), F.when(F.floor(number) == number, "whole").otherwise("float"))
+        .when(head == "STRING", F.when(to_float(text).isNotNull(), "numeral").otherwise("string"))
+        .when(head == "BOOLEAN", "boolean")
+        .when(head == "ARRAY", "array")
+        .when(head == "OBJECT", "object")
+    )
+
+
+# Kinds of JSON value that satisfy each rule type.
+KINDS_OF_TYPE = {
+    "string": ("string", "numeral"),
+    "integer": ("integer", "whole"),
+    "float": ("integer", "whole", "float", "numeral"),
+    "boolean": ("boolean",),
+    "array": ("array",),
+    "object": ("object",),
+}
+
+
+def kind_fits(kind: Column, wanted: str) -> Column:
+    """Whether a kind satisfies a rule type; a missing or null value satisfies only ``null``."""
+    want = TYPE_NAMES.get(wanted, wanted)
     if want == "null":
-        return F.coalesce(kind == "VOID", F.lit(True))
-    whole = kind.isin("BIGINT") | (kind.isin("DOUBLE", "DECIMAL") & (F.floor(text.try_cast("double")) == text.try_cast("double")))
-    fits = {
-        "string": kind == "STRING",
-        "integer": whole,
-        "float": kind.isin("BIGINT", "DOUBLE", "DECIMAL") | ((kind == "STRING") & to_float(text).isNotNull()),
-        "boolean": kind == "BOOLEAN",
-        "array": kind == "ARRAY",
-        "object": kind == "OBJECT",
-    }
-    return F.coalesce(fits.get(want, F.lit(False)), F.lit(False))
+        return kind.isNull()
+    return F.coalesce(kind.isin(*KINDS_OF_TYPE.get(want, ("",))), F.lit(False))
 
 
 def field_issue(rule: FieldRule, value: Column, simple: str) -> Column:

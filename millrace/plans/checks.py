@@ -67,10 +67,14 @@ def validate_types(t):
         .when(F.col("event_id") % 2 == 0, '{"v":{"a":true}}')
         .otherwise('{"v":false}')
     )
-    varied = t.events.select("event_id", doc.alias("doc"))
+    varied = t.events.select("event_id", doc.alias("doc")).select(
+        "event_id",
+        validation.json_kind(F.col("doc"), "$.v").alias("kind"),
+        validation.json_kind(F.col("doc"), "$.w").alias("missing"),
+    )
     names = ("string", "integer", "float", "boolean", "array", "object")
-    tests = [validation.json_type_fits(F.col("doc"), "$.v", n).alias(f"is_{n}") for n in names]
-    return varied.select("event_id", *tests, validation.json_type_fits(F.col("doc"), "$.w", "null").alias("is_null"))
+    tests = [validation.kind_fits(F.col("kind"), n).alias(f"is_{n}") for n in names]
+    return varied.select("event_id", *tests, validation.kind_fits(F.col("missing"), "null").alias("is_null"))
 
 
 @query(
@@ -333,9 +337,7 @@ def cyclic_edges(t):
         UNION SELECT r.graph, r.dst FROM reach r JOIN cyc ON r.graph = cyc.graph AND r.src = cyc.node""",
 )
 def dag_cycles(t):
-    edges = cyclic_edges(t)
-    nodes = t.events.select(F.col("user_id").alias("graph"), F.col("event_type").alias("node")).distinct()
-    return graph.cyclic_nodes(nodes, edges)
+    return graph.cyclic_nodes(cyclic_edges(t))
 
 
 @query(

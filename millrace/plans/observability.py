@@ -90,7 +90,8 @@ def log_retain_last(t):
 )
 def log_retain_service(t):
     newest = [F.col("timestamp").desc(), F.col("log_id").desc()]
-    return ordering.keep_newest(t.logs.select("log_id", "timestamp", "service"), 200, newest, ["service"])
+    entries = t.logs.select("log_id", "timestamp", "service")
+    return ordering.keep_newest(entries, 200, newest, ["service"], ordering.time_slice("timestamp", "day"))
 
 
 @query(

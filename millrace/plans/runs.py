@@ -247,7 +247,7 @@ def status_fold(t):
 )
 def status_transitions(t):
     moved = ordering.with_previous(
-        t.status_events, "status", ["timestamp", "event_seq"], ordering.time_slice("timestamp", "day"), ["pipeline_id"]
+        t.status_events, "status", ["timestamp", "event_seq"], ordering.time_slice("timestamp", "hour"), ["pipeline_id"]
     )
     legal = F.when(F.col("previous").isNull(), F.col("status") == "draft").otherwise(
         runs.legal_move(F.col("previous"), F.col("status"))
@@ -265,7 +265,7 @@ def versions(t):
         F.col("o_orderpriority").alias("changelog"),
     )
     order = [F.col("created_at"), F.col("version_key")]
-    return ordering.numbered(source, order, ordering.time_slice("created_at", "month"), ["pipeline_id"], "version")
+    return ordering.numbered(source, order, ordering.time_slice("created_at", "week"), ["pipeline_id"], "version")
 
 
 @query(
@@ -299,7 +299,7 @@ def version_history(t):
         versions(t),
         "definition",
         ["created_at", "version_key"],
-        ordering.time_slice("created_at", "month"),
+        ordering.time_slice("created_at", "week"),
         ["pipeline_id"],
     )
     change = F.col("definition") - F.col("previous")
@@ -333,7 +333,7 @@ def version_next(t):
     requests = ordering.numbered(
         orders.where(~done),
         [F.col("o_orderdate"), F.col("o_orderkey")],
-        ordering.time_slice("o_orderdate", "month"),
+        ordering.time_slice("o_orderdate", "week"),
         ["pipeline_id"],
     )
     version = (F.coalesce(F.col("newest"), F.lit(0)) + F.col("position")).cast("bigint")

@@ -192,17 +192,8 @@ def udtf_scan(t):
     "SELECT l_suppkey, count(*) AS n, bit_xor(l_orderkey) AS fingerprint FROM lineitem GROUP BY l_suppkey",
 )
 def udaf_custom(t):
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                "l_suppkey": [rows["l_suppkey"].iloc[0]],
-                "n": [int(rows["n"].sum())],
-                "fingerprint": [int(np.bitwise_xor.reduce(rows["fingerprint"].to_numpy()))],
-            }
-        )
-
     single = t.lineitem.select("l_suppkey", F.lit(1).cast("bigint").alias("n"), F.col("l_orderkey").alias("fingerprint"))
-    return gather.fold(single, ["l_suppkey"], step, "l_suppkey bigint, n bigint, fingerprint bigint", parts=8)
+    return gather.fold(single, ["l_suppkey"], {"n": np.add, "fingerprint": lambda a, b: a ^ b})
 
 
 @registry.register("net_price", "v1", "normal")

@@ -49,7 +49,10 @@ def inventory(
     types: Sequence[str] = DEFAULT_TYPES,
     excluded: Sequence[str] = DEFAULT_EXCLUDED,
 ) -> DataFrame:
-    """All wanted files below a directory. The content column is pruned, so no file is read."""
+    """All wanted files below a directory. The content column is pruned, so no file is read.
+
+    Spark's listing passes over files and folders whose name starts with a dot or an underscore.
+    """
     found = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
