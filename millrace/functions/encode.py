@@ -38,11 +38,11 @@ def from_base64(text: Column) -> Column:
 
 
 def to_url_base64(data: Column) -> Column:
-    return F.translate(to_base64(data), "+/", "-_")
+    return F.replace(F.replace(to_base64(data), F.lit("+"), F.lit("-")), F.lit("/"), F.lit("_"))
 
 
 def from_url_base64(text: Column) -> Column:
-    return F.unbase64(F.translate(text, "-_", "+/"))
+    return F.unbase64(F.replace(F.replace(text, F.lit("-"), F.lit("+")), F.lit("_"), F.lit("/")))
 
 
 def compare_bytes(a: Column, b: Column) -> Column:

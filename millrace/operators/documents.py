@@ -51,7 +51,7 @@ def sniff(content: Column, kind: Column) -> Column:
     head = F.hex(F.substring(data, 1, 4))
     size = F.octet_length(data)
     zipped, old_office = F.startswith(head, F.lit("504B")), head == "D0CF11E0"
-    raw = F.decode(data, "UTF-8")
+    raw = F.make_valid_utf8(data.cast("string"))
 
     def label(words: str) -> Column:
         return F.format_string(f"[{words} - %d bytes]", size)
@@ -166,13 +166,15 @@ def size_capped(files: DataFrame, content: str, limit: int) -> tuple[DataFrame,
 
 
 def chunks(df: DataFrame, key: str, content: str, size: int = CHUNK_BYTES) -> DataFrame:
-    """Numbered pieces of at most ``size`` bytes; empty content has none."""
+    """Numbered pieces of at most ``size`` bytes; empty content has none.
+
+    The pieces are cut before they become rows, so no row carries the whole content.
+    """
     data = F.col(content).cast("binary")
-    last = F.ceil(F.octet_length(content) / F.lit(size)).cast("int")
-    starts = F.when(last > 0, F.sequence(F.lit(0), last - 1)).otherwise(F.array().cast("array<int>"))
-    numbered = df.select(key, data.alias("__data"), F.explode(starts).alias("chunk_no"))
-    piece = F.substring(F.col("__data"), F.col("chunk_no") * size + 1, F.lit(size))
-    return numbered.select(key, "chunk_no", piece.alias("chunk"))
+    pieces = F.ceil(F.octet_length(content) / F.lit(size)).cast("int")
+    numbers = F.filter(F.sequence(F.lit(0), pieces), lambda i: i < pieces)
+    cut = F.transform(numbers, lambda i: F.substring(data, i * size + 1, F.lit(size)))
+    return df.select(key, F.posexplode(cut).alias("chunk_no", "chunk"))
 
 
 def stream_bytes(payload: Column) -> Column:

@@ -86,8 +86,12 @@ def upsert_partial(current: DataFrame, incoming: DataFrame, key: str, fields: Se
 
 
 def reconcile_checksums(actual: DataFrame, expected: DataFrame, key: str) -> DataFrame:
-    """Compare ``checksum`` columns by key, ignoring case, and report sides that are missing."""
-    a = actual.select(key, F.lower("checksum").alias("actual"))
+    """Compare ``checksum`` columns by key, ignoring case, and report sides that are missing.
+
+    Other columns of ``actual``, such as a size, are kept. Drop contents before: only digests need to meet.
+    """
+    extra = [c for c in actual.columns if c not in (key, "checksum")]
+    a = actual.select(key, F.lower("checksum").alias("actual"), *extra)
     e = expected.select(key, F.lower("checksum").alias("expected"))
     verdict = (
         F.when(F.col("expected").isNull(), "unexpected")
@@ -95,7 +99,7 @@ def reconcile_checksums(actual: DataFrame, expected: DataFrame, key: str) -> Dat
         .when(F.col("actual") == F.col("expected"), "match")
         .otherwise("mismatch")
     )
-    return a.join(e, key, "full").select(key, "actual", "expected", verdict.alias("verdict"))
+    return a.join(e, key, "full").select(key, "actual", "expected", verdict.alias("verdict"), *extra)
 
 
 def dangling_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -73,17 +73,29 @@ def with_previous(
     slice_by: Column,
     keys: Sequence[str],
     out: str = "previous",
+    position: str | None = None,
 ) -> DataFrame:
-    """The value of the row before, per key: ``lag`` for keys of any size."""
+    """The value of the row before, per key: ``lag`` for keys of any size.
+
+    ``position`` names a column for the place of the row, which the same pass can tell.
+    """
     sliced = _sliced(df, keys, slice_by)
     window = _within([F.col(c) for c in order_by])
     rows = sliced.withColumns(
         {LOCAL: F.row_number().over(window), "__lag": F.lag(value).over(window)}
     )
-    last = sliced.groupBy(KEY).agg(F.max(F.struct(*order_by, F.col(value).alias("__value"))).alias("__last"))
-    carried = last.select(KEY, F.lag("__last.__value").over(_across(keys)).alias("__carried"))
-    previous = F.when(F.col(LOCAL) == 1, F.col("__carried")).otherwise(F.col("__lag"))
-    return rows.join(carried, KEY).withColumn(out, previous).drop(KEY, LOCAL, "__lag", "__carried")
+    ends = sliced.groupBy(KEY).agg(
+        F.max(F.struct(*order_by, F.col(value).alias("__value"))).alias("__last"), F.count(F.lit(1)).alias("__size")
+    )
+    across = _across(keys)
+    before = F.sum("__size").over(across.rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.select(
+        KEY, F.lag("__last.__value").over(across).alias("__carried"), F.coalesce(before, F.lit(0)).alias("__before")
+    )
+    columns = {out: F.when(F.col(LOCAL) == 1, F.col("__carried")).otherwise(F.col("__lag"))}
+    if position:
+        columns[position] = (F.col(LOCAL) + F.col("__before")).cast("bigint")
+    return rows.join(carried, KEY).withColumns(columns).drop(KEY, LOCAL, "__lag", "__carried", "__before")
 
 
 def running_total(

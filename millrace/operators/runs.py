@@ -82,7 +82,7 @@ def dashboard(pipelines: DataFrame, executions: DataFrame, today: str) -> DataFr
     per_pipeline = pipelines.agg(
         F.count(F.lit(1)).alias("total_pipelines"),
         F.count_if(F.col("status") == "active").alias("active_pipelines"),
-    ).withColumn("__one", F.lit(1))
+    )
     per_run = executions.agg(
         F.count(F.lit(1)).alias("total_executions"),
         F.count_if(F.col("status") == "running").alias("running_executions"),
@@ -91,8 +91,9 @@ def dashboard(pipelines: DataFrame, executions: DataFrame, today: str) -> DataFr
             "mean_duration_seconds"
         ),
         F.count_if(F.to_date("created_at") == F.lit(today).cast("date")).alias("executions_today"),
-    ).withColumn("__one", F.lit(1))
-    return per_pipeline.join(per_run, "__one").drop("__one")
+    )
+    both = per_pipeline.unionByName(per_run, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def fold_status(events: DataFrame, key: str = "pipeline_id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.encode import fnv1a_mod
@@ -77,10 +77,6 @@ def balance(sharded: DataFrame, shards: int, tolerance: float = 0.5) -> DataFram
     counts = sharded.groupBy("shard_id").agg(F.count(F.lit(1)).alias("n"))
     every = sharded.sparkSession.range(max(shards, 1)).select(F.col("id").cast("int").alias("shard_id"))
     filled = every.join(counts, "shard_id", "left").select("shard_id", F.coalesce("n", F.lit(0)).alias("rows"))
-    mean = filled.agg(F.avg("rows").alias("mean_rows")).withColumn("__one", F.lit(1))
-    return (
-        filled.withColumn("__one", F.lit(1))
-        .join(mean, "__one")
-        .drop("__one")
-        .withColumn("under_filled", F.col("rows") < F.col("mean_rows") * tolerance)
-    )
+    # One row per shard: the window without keys is as small as the number of shards.
+    mean = F.avg("rows").over(Window.partitionBy())
+    return filled.withColumn("mean_rows", mean).withColumn("under_filled", F.col("rows") < F.col("mean_rows") * tolerance)

@@ -13,11 +13,28 @@ from millrace.plans.registry import query
 DOCUMENT_RULES = (
     FieldRule("text", required=True, type="string", min_length=200, max_length=20_000),
     FieldRule("lang", required=True, type="string", pattern="^[df]", enum=("de", "en")),
+)
+LABEL_RULES = (
     FieldRule("quality", required=True, type="int", min_value=1.0),
     FieldRule("toxic", type="integer", max_value=0.0),
     FieldRule("absent", required=True),
 )
 
+
+def join_labels(t, documents):
+    """Left join of the labels. Texts are checked before the join, so that only the findings are shuffled."""
+    return documents.join(t.labels, "doc_id", "left")
+
+
+def checked_documents(t, *columns, rules=DOCUMENT_RULES):
+    """Documents with the errors of their own fields, without the text unless asked for."""
+    documents = t.documents
+    return documents.select("doc_id", *columns, validation.rule_errors(documents.schema, rules).alias("text_errors"))
+
+
+def label_errors(t, rules=LABEL_RULES):
+    return validation.rule_errors(t.labels.schema, rules)
+
 _TEXT = """CASE WHEN text IS NULL THEN 'text: required field is missing'
                 WHEN strlen(text) < 200 THEN 'text: length must be at least 200'
                 WHEN strlen(text) > 20000 THEN 'text: length must be at most 20000' END"""
@@ -35,8 +52,9 @@ _RULES = f"concat_ws('; ', {_TEXT}, {_LANG}, {_QUALITY}, {_TOXIC})"
     f"SELECT doc_id, {_RULES} AS errors, {_RULES} = '' AS valid FROM records",
 )
 def validate_rules(t):
-    checked = validation.validate(t.records, DOCUMENT_RULES)
-    return checked.select("doc_id", issues_text(F.col("errors")).alias("errors"), "valid")
+    joined = join_labels(t, checked_documents(t))
+    errors = validation.chain(F.col("text_errors"), label_errors(t))
+    return joined.select("doc_id", issues_text(errors).alias("errors"), (F.size(errors) == 0).alias("valid"))
 
 
 _VARIED = """CASE event_type WHEN 'click' THEN '{"v":' || json_extract_string(props, '$.k') || '}'
@@ -128,11 +146,8 @@ def validate_json(t):
     return checked.select("event_id", issues_text(F.col("errors")).alias("errors"), "valid")
 
 
-def _steps(t):
-    schema = t.records.schema
-    length = validation.rule_errors(schema, [FieldRule("text", min_length=200)])
-    labels = validation.rule_errors(schema, [FieldRule("quality", min_value=1.0), FieldRule("toxic", max_value=0.0)])
-    return length, labels
+LENGTH_RULE = [FieldRule("text", min_length=200)]
+SCORE_RULES = [FieldRule("quality", min_value=1.0), FieldRule("toxic", max_value=0.0)]
 
 
 _LEN = "CASE WHEN strlen(text) < 200 THEN 'text: length must be at least 200' END"
@@ -141,12 +156,16 @@ _LAB = f"""nullif(concat_ws('; ', CASE WHEN quality < 1 THEN 'quality: value mus
 
 @query("validate_chain", f"SELECT doc_id, concat_ws('; ', {_LEN}, {_LAB}) AS errors FROM records")
 def validate_chain(t):
-    return t.records.select("doc_id", issues_text(validation.chain(*_steps(t))).alias("errors"))
+    joined = join_labels(t, checked_documents(t, rules=LENGTH_RULE))
+    errors = validation.chain(F.col("text_errors"), label_errors(t, SCORE_RULES))
+    return joined.select("doc_id", issues_text(errors).alias("errors"))
 
 
 @query("validate_chain_break", f"SELECT doc_id, coalesce({_LEN}, {_LAB}, '') AS errors FROM records")
 def validate_chain_break(t):
-    return t.records.select("doc_id", issues_text(validation.chain_until_invalid(*_steps(t))).alias("errors"))
+    joined = join_labels(t, checked_documents(t, rules=LENGTH_RULE))
+    errors = validation.chain_until_invalid(F.col("text_errors"), label_errors(t, SCORE_RULES))
+    return joined.select("doc_id", issues_text(errors).alias("errors"))
 
 
 @query(
@@ -158,7 +177,7 @@ def validate_chain_break(t):
         FROM records""",
 )
 def validation_merge(t):
-    length, labels = _steps(t)
+    length, labels = F.col("text_errors"), label_errors(t, SCORE_RULES)
     none = validation.no_issues()
     warned = F.when(
         F.col("quality").isNull(), F.array(validation.issue("quality", F.lit("not labelled")))
@@ -175,7 +194,8 @@ def validation_merge(t):
 
     first = result(length, none, F.create_map(F.lit("lang"), F.col("lang"), F.lit("step"), F.lit("length")), 2)
     second = result(labels, warned, F.create_map(F.lit("step"), F.lit("labels")), 3)
-    both = t.records.select("doc_id", first.alias("a"), second.alias("b"))
+    joined = join_labels(t, checked_documents(t, "lang", rules=LENGTH_RULE))
+    both = joined.select("doc_id", first.alias("a"), second.alias("b"))
     merged = both.select("doc_id", validation.merge_results("a", "b").alias("m"))
     return merged.select(
         "doc_id",
@@ -195,11 +215,19 @@ def validation_merge(t):
         FROM records""",
 )
 def validate_all(t):
-    records = t.records
-    columns = ["doc_id", "text", "lang", "source", "quality", "toxic"]
-    errors = validation.chain(validation.rule_errors(records.schema, DOCUMENT_RULES), quality.row_errors(records, columns))
+    documents = t.documents
     payload = F.to_json(F.struct("doc_id", "lang", "source"))
-    return records.select("doc_id", issues_text(errors).alias("errors"), digest(payload, "sha256").alias("checksum"))
+    own = quality.profile_rows(documents, ["doc_id", "text", "lang", "source"]).select(
+        "doc_id",
+        validation.rule_errors(documents.schema, DOCUMENT_RULES).alias("text_errors"),
+        digest(payload, "sha256").alias("checksum"),
+        "cells_filled",
+        "row_ok",
+    )
+    joined = join_labels(t, own)
+    filled = F.col("cells_filled") + F.col("quality").isNotNull().cast("int") + F.col("toxic").isNotNull().cast("int")
+    errors = validation.chain(F.col("text_errors"), label_errors(t), quality.row_errors(filled, F.col("row_ok"), 6))
+    return joined.select("doc_id", issues_text(errors).alias("errors"), "checksum")
 
 
 @query(
@@ -217,7 +245,6 @@ def validate_custom(t):
     return checked.select("c_custkey", message.alias("message"))
 
 
-_DQ = ["doc_id", "text", "lang", "source", "quality", "toxic"]
 _CELLS = "count(doc_id) + count(text) + count(lang) + count(source) + count(quality) + count(toxic)"
 _DQ_SQL = f"""SELECT source AS grp, count(*) AS record_count, ({_CELLS}) / (count(*) * 6) AS completeness,
                      count(*) FILTER (strlen(text) >= 200) / count(*) AS accuracy,
@@ -226,8 +253,13 @@ _DQ_SQL = f"""SELECT source AS grp, count(*) AS record_count, ({_CELLS}) / (coun
 
 
 def _scored(t, group=()):
-    blanked = t.records.withColumn("lang", F.when(F.octet_length("text") < 200, "").otherwise(F.col("lang")))
-    return quality.scores(blanked.withColumn("grp", F.col("source")), _DQ, group)
+    blanked = t.documents.withColumn("lang", F.when(F.octet_length("text") < 200, "").otherwise(F.col("lang")))
+    own = quality.profile_rows(blanked, ["doc_id", "text", "lang", "source"]).select(
+        "doc_id", F.col("source").alias("grp"), "cells_filled", "row_ok"
+    )
+    labelled = F.col("quality").isNotNull().cast("int") + F.col("toxic").isNotNull().cast("int")
+    joined = join_labels(t, own).withColumn("cells_filled", F.col("cells_filled") + labelled)
+    return quality.score_rows(joined, 6, group)
 
 
 @query(
@@ -398,8 +430,9 @@ def function_defs(t):
         FROM bad WHERE error <> ''""",
 )
 def dlq_route(t):
-    checked = validation.validate(t.records, DOCUMENT_RULES).withColumn("error", issues_text(F.col("errors")))
-    bad = checked.where(~F.col("valid")).drop("errors", "valid")
+    joined = join_labels(t, checked_documents(t, "text", "lang", "source"))
+    errors = validation.chain(F.col("text_errors"), label_errors(t))
+    bad = joined.withColumn("error", issues_text(errors)).where(F.col("error") != "").drop("text_errors")
     stamp = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") * 60).cast("timestamp_ntz")
     messages = quarantine.to_messages(bad, "doc_id", F.col("lang"), F.col("source"), F.col("error"), stamp)
     admitted = quarantine.admit(messages, ordering.time_slice("timestamp", "day"), capacity=100)

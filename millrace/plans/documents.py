@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import encode
-from millrace.operators import documents, ordering, validation
+from millrace.operators import documents, joins, ordering, validation
 from millrace.plans.registry import query
 
 _EXT = r"lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '(\.[^.]*)$', 1))"
@@ -119,10 +119,13 @@ def doc_chunks(t):
 )
 def file_checksum(t):
     changed = F.when(F.col("file_id") % 4 == 0, F.concat("content", F.lit(" "))).otherwise(F.col("content"))
-    expected = t.page_files.select("path", F.upper(F.sha2(changed, 256)).alias("expected"))
-    joined = t.page_files.select("path", "content").join(expected, "path")
-    checked = validation.validate_checksum(joined, "content", "sha256", "expected")
-    return checked.select("path", F.col("input_size").cast("bigint").alias("size"), "checksum", "valid")
+    expected = t.page_files.select("file_id", F.upper(F.sha2(changed, 256)).alias("checksum"))
+    summed = validation.validate_checksum(t.page_files, "content", "sha256").select(
+        "file_id", "path", "checksum", F.col("input_size").cast("bigint").alias("size")
+    )
+    return joins.reconcile_checksums(summed, expected, "file_id").select(
+        "path", "size", F.col("actual").alias("checksum"), (F.col("verdict") == "match").alias("valid")
+    )
 
 
 @query(

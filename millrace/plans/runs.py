@@ -255,17 +255,23 @@ def status_transitions(t):
     return moved.select("pipeline_id", "event_seq", "previous", "status", legal.alias("legal"))
 
 
-def versions(t):
-    """Order history of a customer as numbered versions of a pipeline."""
-    source = t.orders.select(
+VERSION_ORDER = ["created_at", "version_key"]
+
+
+def version_rows(t):
+    """Order history of a customer as unnumbered versions of a pipeline."""
+    return t.orders.select(
         F.col("o_custkey").alias("pipeline_id"),
         F.col("o_orderkey").alias("version_key"),
         F.col("o_orderdate").alias("created_at"),
         F.col("o_totalprice").alias("definition"),
         F.col("o_orderpriority").alias("changelog"),
     )
-    order = [F.col("created_at"), F.col("version_key")]
-    return ordering.numbered(source, order, ordering.time_slice("created_at", "week"), ["pipeline_id"], "version")
+
+
+def versions(t):
+    order = [F.col(c) for c in VERSION_ORDER]
+    return ordering.numbered(version_rows(t), order, ordering.time_slice("created_at", "week"), ["pipeline_id"], "version")
 
 
 @query(
@@ -295,15 +301,12 @@ def version_latest(t):
        FROM pipeline_versions ORDER BY pipeline_id, version DESC""",
 )
 def version_history(t):
-    with_change = ordering.with_previous(
-        versions(t),
-        "definition",
-        ["created_at", "version_key"],
-        ordering.time_slice("created_at", "week"),
-        ["pipeline_id"],
+    slices = ordering.time_slice("created_at", "week")
+    history = ordering.with_previous(
+        version_rows(t), "definition", VERSION_ORDER, slices, ["pipeline_id"], position="version"
     )
     change = F.col("definition") - F.col("previous")
-    return with_change.select("pipeline_id", "version", "version_key", "changelog", change.alias("change")).orderBy(
+    return history.select("pipeline_id", "version", "version_key", "changelog", change.alias("change")).orderBy(
         "pipeline_id", F.col("version").desc()
     )
 
