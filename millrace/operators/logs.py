@@ -41,15 +41,20 @@ def search(
     **equals,
 ) -> DataFrame:
     """Entries that match all given criteria: equal fields, an inclusive time range and a piece of the
-    message. ``last`` keeps the newest entries only, in the order of arrival."""
+    message. ``last`` keeps the newest entries only, in the order of arrival. A log table partitioned by
+    ``day`` is read only for the days of the range."""
     found = logs
     for name, wanted in equals.items():
         if wanted not in (None, ""):
             found = found.where(F.col(name) == wanted)
     if start is not None:
         found = found.where(F.col("timestamp") >= F.lit(start).cast("timestamp_ntz"))
+        if "day" in logs.columns:
+            found = found.where(F.col("day") >= F.to_date(F.lit(start)))
     if end is not None:
         found = found.where(F.col("timestamp") <= F.lit(end).cast("timestamp_ntz"))
+        if "day" in logs.columns:
+            found = found.where(F.col("day") <= F.to_date(F.lit(end)))
     if contains:
         found = found.where(F.contains(F.col("message"), F.lit(contains)))
     if last:
@@ -66,4 +71,7 @@ def facets(logs: DataFrame, fields: Sequence[str]) -> DataFrame:
 def retained(logs: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """Entries young enough to keep, with the day that partitions the log table."""
     oldest = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAY")
-    return logs.where(F.col("timestamp") >= oldest).withColumn("day", F.to_date("timestamp"))
+    kept = logs.where(F.col("timestamp") >= oldest)
+    if "day" in logs.columns:
+        return kept.where(F.col("day") >= F.to_date(oldest))
+    return kept.withColumn("day", F.to_date("timestamp"))

@@ -11,10 +11,29 @@ from millrace.operators import ordering
 
 # Histogram bounds in seconds by kind of metric, and the age at which a worker counts as lost.
 DEFAULT_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
-PIPELINE_BOUNDS = (0.1, 0.5, 1.0, 5.0, 10.0, 30.0, 60.0, 120.0, 300.0, 600.0)
+PIPELINE_BOUNDS = (0.1, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 120.0, 300.0, 600.0)
 DATABASE_BOUNDS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0)
 OFFLINE_SECONDS = 30
 
+# The metric families of the platform as (name, kind, help, labels).
+FAMILIES = (
+    ("pipeline_count", "counter", "Total number of pipelines", ("pipeline_id", "status")),
+    ("pipeline_running", "gauge", "Current number of running pipelines", ("pipeline_id",)),
+    ("pipeline_completed", "counter", "Total number of completed pipelines", ("pipeline_id", "status")),
+    ("pipeline_failed", "counter", "Total number of failed pipelines", ("pipeline_id", "error_type")),
+    ("pipeline_duration_seconds", "histogram", "Pipeline execution duration in seconds", ("pipeline_id", "status")),
+    ("function_execution_count", "counter", "Total number of function executions", ("function_name", "pipeline_id", "node_id")),
+    ("function_success_rate", "gauge", "Function success rate", ("function_name", "pipeline_id")),
+    ("function_failure_rate", "gauge", "Function failure rate", ("function_name", "pipeline_id")),
+    ("function_avg_duration_seconds", "gauge", "Average function execution duration", ("function_name", "pipeline_id")),
+    ("function_throughput", "counter", "Function throughput (items processed)", ("function_name", "pipeline_id", "node_id")),
+    ("node_status", "gauge", "Node status (1=active, 0=inactive)", ("node_id", "pipeline_id")),
+    ("node_tasks_running", "gauge", "Number of tasks running on node", ("node_id", "pipeline_id")),
+    ("db_connections", "gauge", "Number of database connections", ("db_name", "state")),
+    ("db_query_duration_seconds", "histogram", "Database query duration in seconds", ("db_name", "query_type")),
+    ("db_query_total", "counter", "Total number of database queries", ("db_name", "query_type", "status")),
+)
+
 
 def exact_sum(value: Column) -> Column:
     """Sum that does not depend on the order of the rows."""
@@ -114,6 +133,25 @@ def function_rates(tasks: DataFrame, executions: DataFrame, functions: DataFrame
     )
 
 
+def pipeline_families(executions: DataFrame) -> DataFrame:
+    """Samples of the pipeline families ``(metric, pipeline_id, status, value)`` from executions, one shuffle."""
+    counts = executions.groupBy("pipeline_id", "status").agg(F.count(F.lit(1)).cast("double").alias("value"))
+
+    def family(name: str, wanted: Column) -> Column:
+        return F.when(wanted, F.lit(name))
+
+    status = F.col("status")
+    names = F.array(
+        F.lit("pipeline_count"),
+        family("pipeline_running", status == "running"),
+        family("pipeline_completed", status == "completed"),
+        family("pipeline_failed", status == "failed"),
+    )
+    return counts.select(F.explode(names).alias("metric"), "pipeline_id", "status", "value").where(
+        F.col("metric").isNotNull()
+    )
+
+
 def windowed(samples: DataFrame, labels: Sequence[str], width: str, slide: str | None = None) -> DataFrame:
     """Count and sum per time window and label tuple; with ``slide`` the windows overlap."""
     window = F.window("timestamp", width, slide) if slide else F.window("timestamp", width)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import ordering
+from millrace.sources.sinks import write
 
 # Default capacity of a queue, share that counts as nearly full, days a message is kept,
 # listing size and preview length.
@@ -58,6 +59,11 @@ def admit(
     )
 
 
+def store(messages: DataFrame, path: str) -> None:
+    """Append messages to a quarantine table, one folder per day."""
+    write(messages.withColumn("day", F.to_date("timestamp")), path, partition_by=["day"])
+
+
 def requeue(messages: DataFrame, requested: DataFrame, now: str) -> DataFrame:
     """Count a retry, reset the time and clear the error of the requested ids."""
     asked = requested.select("id").distinct().withColumn("__asked", F.lit(True))
@@ -118,5 +124,7 @@ def preview(messages: DataFrame, length: int = PREVIEW_LENGTH) -> DataFrame:
 
 
 def retained(messages: DataFrame, as_of: str, days: int = RETENTION_DAYS) -> DataFrame:
-    """Messages young enough to keep; with a table partitioned by date whole partitions are skipped."""
-    return messages.where(F.col("timestamp") >= F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAY"))
+    """Messages young enough to keep; of a stored table older folders are not read."""
+    oldest = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAY")
+    kept = messages.where(F.col("timestamp") >= oldest)
+    return kept.where(F.col("day") >= F.to_date(oldest)) if "day" in messages.columns else kept

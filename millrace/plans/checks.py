@@ -9,6 +9,7 @@ from millrace.functions.values import sorted_pairs
 from millrace.operators import graph, joins, ordering, quality, quarantine, validation
 from millrace.operators.validation import FieldRule, issues_text
 from millrace.plans.registry import query
+from millrace.session import scratch
 
 DOCUMENT_RULES = (
     FieldRule("text", required=True, type="string", min_length=200, max_length=20_000),
@@ -509,4 +510,6 @@ def dlq_preview(t):
     """SELECT id, queue, "timestamp" FROM dead_letters WHERE "timestamp" >= TIMESTAMP '2024-01-08 06:00:00' - INTERVAL 7 DAY""",
 )
 def dlq_retention(t):
-    return quarantine.retained(t.dead_letters, "2024-01-08 06:00:00").select("id", "queue", "timestamp")
+    path = scratch(t.spark, "quarantine")
+    quarantine.store(t.dead_letters, path)
+    return quarantine.retained(t.spark.read.parquet(path), "2024-01-08 06:00:00").select("id", "queue", "timestamp")

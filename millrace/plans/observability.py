@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.functions import dates
 from millrace.operators import logs, metrics, ordering
 from millrace.plans.registry import query
 from millrace.sources import sinks
@@ -188,6 +189,34 @@ def metric_summary(t):
     return exact.withColumn("value", F.round("value", 6))
 
 
+@query(
+    "pipeline_families",
+    """WITH c AS (SELECT pipeline_id, status, CAST(count(*) AS DOUBLE) AS value FROM executions GROUP BY ALL)
+       SELECT 'pipeline_count' AS metric, * FROM c
+       UNION ALL SELECT 'pipeline_' || status, * FROM c WHERE status IN ('running', 'completed', 'failed')""",
+)
+def pipeline_families(t):
+    return metrics.pipeline_families(t.executions)
+
+
+@query(
+    "pipeline_duration",
+    f"""WITH d AS (SELECT status, (epoch_us(coalesce(end_time, TIMESTAMP '1998-01-01')) - epoch_us(start_time)) / 1000000 AS seconds
+                   FROM executions WHERE end_time IS NOT NULL OR start_time < TIMESTAMP '1998-01-01'),
+             b(le) AS (VALUES {_LE}),
+             n AS (SELECT status, count(*) AS n, CAST(sum(CAST(seconds AS DECIMAL(28, 6))) AS DOUBLE) AS total FROM d GROUP BY status)
+        SELECT 'pipeline_duration_seconds' AS metric, n.status, n.n, n.total, CAST(b.le AS DOUBLE) AS le,
+               count(*) FILTER (d.seconds <= CAST(b.le AS DOUBLE)) AS bucket
+        FROM n CROSS JOIN b JOIN d ON d.status = n.status GROUP BY ALL""",
+)
+def pipeline_duration(t):
+    as_of = F.lit("1998-01-01").cast("timestamp_ntz")
+    begun = t.executions.where(F.col("end_time").isNotNull() | (F.col("start_time") < as_of))
+    seconds = dates.seconds_between(F.col("start_time"), F.coalesce("end_time", as_of))
+    samples = begun.select(F.lit("pipeline_duration_seconds").alias("metric"), "status", seconds.alias("value"))
+    return metrics.histogram(samples, ["status"], metrics.PIPELINE_BOUNDS)
+
+
 @query("metric_summary_approx")
 def metric_summary_approx(t):
     sketched = metrics.summary_approx(t.metric_samples, ["label_type"], [0.5, 0.9, 0.99])

@@ -29,7 +29,10 @@ def write(
     compression: str = "none",
     partition_by: Sequence[str] = (),
 ) -> None:
-    """Write files. ``batch_size`` bounds the records of one file."""
+    """Write files. ``batch_size`` bounds the records of one file.
+
+    With ``partition_by`` rows are rebalanced first: small folders get few files, a hot folder is split.
+    """
     if file_format not in SINK_FORMATS:
         raise ValueError(f"unknown sink format {file_format!r}")
     if batch_size is not None and batch_size not in BATCH_SIZES:
@@ -37,7 +40,8 @@ def write(
     name = codec(compression)
     if file_format in ("csv", "json", "text"):
         name = name.replace("uncompressed", "none")
-    writer = df.write.format(file_format).mode(mode).option("compression", name)
+    placed = df.hint("rebalance", *[F.col(c) for c in partition_by]) if partition_by else df
+    writer = placed.write.format(file_format).mode(mode).option("compression", name)
     if batch_size is not None:
         writer = writer.option("maxRecordsPerFile", batch_size)
     if file_format == "csv":

@@ -43,6 +43,10 @@ def test_filters_reach_the_scan(planner):
     assert "EqualTo(event_type,error)" in plan and "GreaterThanOrEqual(ts" in plan and "StringContains(props,7)" in plan
 
 
+def test_days_out_of_range_are_not_read(planner):
+    assert "PartitionFilters: [isnotnull(day" in planner("dlq_retention")
+
+
 def test_top_k_is_cut_in_every_task(planner):
     for name in ("pending_topk", "dashboard_recent", "exec_page", "log_retain_last", "dlq_list"):
         assert "TakeOrderedAndProject" in planner(name)
