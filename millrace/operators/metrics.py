@@ -47,28 +47,39 @@ def counter(samples: DataFrame, labels: Sequence[str]) -> DataFrame:
     )
 
 
-def gauge(samples: DataFrame, labels: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+def gauge(samples: DataFrame, labels: Sequence[str], order_by: Sequence[str], slice_by: Column) -> DataFrame:
     """Current value per label tuple: the last set value plus the steps after it.
 
-    ``samples`` has ``op`` (``set``, ``inc`` or ``dec``) and ``value``.
+    ``samples`` has ``op`` (``set``, ``inc`` or ``dec``) and ``value``; ``slice_by`` grows with the order.
+    Steps in slices after that of the last set are added up before the shuffle. Only the slice of the last
+    set is looked at row by row, so a hot label tuple does not meet in one task.
     """
-    order = F.struct(*order_by)
+    keys = ["metric", *labels]
     is_set = F.col("op") == "set"
+    placed = samples.withColumns({"__at": F.struct(*order_by), "__slice": slice_by})
     last = (
-        samples.where(is_set)
-        .groupBy("metric", *labels)
-        .agg(F.max(F.struct(order.alias("at"), F.col("value"))).alias("__last"))
+        placed.where(is_set)
+        .groupBy(*keys)
+        .agg(F.max(F.struct("__at", F.col("__slice").alias("slice"), "value")).alias("__last"))
     )
     step = F.when(F.col("op") == "dec", -F.col("value")).otherwise(F.col("value"))
-    steps = samples.where(~is_set).select("metric", *labels, order.alias("__at"), step.alias("__step"))
-    late = F.when(F.col("__last").isNull() | (F.col("__at") > F.col("__last.at")), F.col("__step"))
+    steps = placed.where(~is_set).select(*keys, "__at", "__slice", step.cast("decimal(28,6)").alias("__step"))
+
+    sums = steps.groupBy(*keys, "__slice").agg(F.sum("__step").alias("__step"))
+    later = sums.join(last, keys, "left").where(
+        F.col("__last").isNull() | (F.col("__slice") > F.col("__last.slice"))
+    )
+    at_last = last.select(*keys, F.col("__last.slice").alias("__slice"), F.col("__last.__at").alias("__set_at"))
+    same = steps.join(at_last, [*keys, "__slice"]).where(F.col("__at") > F.col("__set_at"))
     deltas = (
-        steps.join(last, ["metric", *labels], "left")
-        .groupBy("metric", *labels)
-        .agg(F.coalesce(exact_sum(late), F.lit(0.0)).alias("__delta"))
+        later.select(*keys, "__step")
+        .unionByName(same.select(*keys, "__step").groupBy(*keys).agg(F.sum("__step").alias("__step")))
+        .groupBy(*keys)
+        .agg(F.sum("__step").cast("double").alias("__delta"))
     )
     value = F.coalesce(F.col("__last.value"), F.lit(0.0)) + F.coalesce(F.col("__delta"), F.lit(0.0))
-    return last.join(deltas, ["metric", *labels], "full").select("metric", *labels, value.alias("value"))
+    every = placed.select(*keys).distinct()
+    return every.join(last, keys, "left").join(deltas, keys, "left").select(*keys, value.alias("value"))
 
 
 def histogram(samples: DataFrame, labels: Sequence[str], bounds: Sequence[float] = DEFAULT_BOUNDS) -> DataFrame:
@@ -86,26 +97,36 @@ def histogram(samples: DataFrame, labels: Sequence[str], bounds: Sequence[float]
 def summary(samples: DataFrame, labels: Sequence[str], quantiles: Sequence[float], slice_width: float = 1.0) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per label tuple and quantile.
 
-    Equal values are counted together first and running counts are taken slice by slice, so a label tuple
-    with most of the samples is spread over many tasks.
+    Equal values are counted together first. Counts per slice of values tell in which slices the wanted
+    ranks lie; only these slices are sorted, each by itself.
     """
     keys = ["metric", *labels]
     counts = samples.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
-    slice_by = F.floor(F.col("value") / F.lit(slice_width))
-    running = ordering.running_total(counts, "n", [F.col("value")], slice_by, keys, "upto")
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-    wanted = F.explode(F.array(*[F.lit(float(q)) for q in quantiles]))
-    ranks = totals.select(*keys, "total", wanted.alias("quantile")).withColumn(
-        "rank", (F.col("total") - 1) * F.col("quantile")
+    rows = ordering.sliced(counts, keys, F.floor(F.col("value") / F.lit(slice_width)))
+    sizes = rows.groupBy(ordering.KEY, *keys).agg(F.sum("n").alias("size"))
+    upto = F.sum("size").over(ordering.across(keys).rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("size").over(ordering.across(keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    slices = sizes.withColumns({"upto": upto, "total": total})
+
+    exact = (F.col("total") - 1) * F.col("quantile")
+    ends = F.array(F.floor("exact"), F.ceil("exact"))
+    wanted = (
+        slices.withColumn("quantile", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])))
+        .withColumn("exact", exact)
+        .withColumn("rank", F.explode(F.array_distinct(ends)))
+        .where((F.col("upto") - F.col("size") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
+        .select(ordering.KEY, "quantile", "exact", "rank", (F.col("rank") - F.col("upto") + F.col("size")).alias("offset"))
+    )
+    so_far = ordering.within([F.col("value")]).rowsBetween(Window.unboundedPreceding, 0)
+    needed = rows.join(wanted.select(ordering.KEY).distinct(), ordering.KEY, "left_semi")
+    placed = needed.withColumn("reached", F.sum("n").over(so_far))
+    hits = placed.join(wanted, ordering.KEY).where(
+        (F.col("reached") - F.col("n") <= F.col("offset")) & (F.col("offset") < F.col("reached"))
     )
-    low, high = F.floor("rank"), F.ceil("rank")
-    covers_low = (F.col("upto") - F.col("n") <= low) & (low < F.col("upto"))
-    covers_high = (F.col("upto") - F.col("n") <= high) & (high < F.col("upto"))
-    both = running.join(ranks, keys).where(covers_low | covers_high)
-    picked = both.groupBy(*keys, "quantile", "rank").agg(
-        F.max(F.when(covers_low, F.col("value"))).alias("low"), F.max(F.when(covers_high, F.col("value"))).alias("high")
+    picked = hits.groupBy(*keys, "quantile", "exact").agg(
+        F.min_by("value", "rank").alias("low"), F.max_by("value", "rank").alias("high")
     )
-    value = F.col("low") + (F.col("high") - F.col("low")) * (F.col("rank") - F.floor("rank"))
+    value = F.col("low") + (F.col("high") - F.col("low")) * (F.col("exact") - F.floor("exact"))
     return picked.select(*keys, "quantile", value.alias("value"))
 
 

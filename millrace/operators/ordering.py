@@ -27,25 +27,25 @@ def time_slice(column: str, unit: str = "hour") -> Column:
     return F.date_trunc(unit, F.col(column))
 
 
-def _sliced(df: DataFrame, keys: Sequence[str], slice_by: Column) -> DataFrame:
+def sliced(df: DataFrame, keys: Sequence[str], slice_by: Column) -> DataFrame:
     """Add the struct of keys and slice. A struct is never null itself, so rows with null keys join too, and
     the window and the join that follows share one shuffle."""
     return df.withColumn(KEY, F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], slice_by.alias("slice")))
 
 
-def _within(order_by: Sequence[Column]):
+def within(order_by: Sequence[Column]):
     return Window.partitionBy(KEY).orderBy(*order_by)
 
 
-def _across(keys: Sequence[str], descending: bool = False):
+def across(keys: Sequence[str], descending: bool = False):
     at = F.col(f"{KEY}.slice")
     owners = [F.col(f"{KEY}.k{i}") for i, _ in enumerate(keys)]
     return Window.partitionBy(*owners).orderBy(at.desc() if descending else at.asc())
 
 
-def _carried(sums: DataFrame, value: Column, keys: Sequence[str], descending: bool = False) -> DataFrame:
+def carried_sum(sums: DataFrame, value: Column, keys: Sequence[str], descending: bool = False) -> DataFrame:
     """Sum of ``value`` over the slices before each slice."""
-    before = _across(keys, descending).rowsBetween(Window.unboundedPreceding, -1)
+    before = across(keys, descending).rowsBetween(Window.unboundedPreceding, -1)
     return sums.select(KEY, F.coalesce(F.sum(value).over(before), F.lit(0)).alias("__before"))
 
 
@@ -58,10 +58,10 @@ def numbered(
     descending: bool = False,
 ) -> DataFrame:
     """1-based position of each row in ``order_by``, within ``keys`` or over the whole table."""
-    sliced = _sliced(df, keys, slice_by)
-    sizes = sliced.groupBy(KEY).agg(F.count(F.lit(1)).alias("__size"))
-    offsets = _carried(sizes, F.col("__size"), keys, descending)
-    rows = sliced.withColumn(LOCAL, F.row_number().over(_within(order_by)))
+    rows_in = sliced(df, keys, slice_by)
+    sizes = rows_in.groupBy(KEY).agg(F.count(F.lit(1)).alias("__size"))
+    offsets = carried_sum(sizes, F.col("__size"), keys, descending)
+    rows = rows_in.withColumn(LOCAL, F.row_number().over(within(order_by)))
     position = (F.col(LOCAL) + F.col("__before")).cast("bigint")
     return rows.join(offsets, KEY).withColumn(out, position).drop(KEY, LOCAL, "__before")
 
@@ -79,18 +79,18 @@ def with_previous(
 
     ``position`` names a column for the place of the row, which the same pass can tell.
     """
-    sliced = _sliced(df, keys, slice_by)
-    window = _within([F.col(c) for c in order_by])
-    rows = sliced.withColumns(
+    rows_in = sliced(df, keys, slice_by)
+    window = within([F.col(c) for c in order_by])
+    rows = rows_in.withColumns(
         {LOCAL: F.row_number().over(window), "__lag": F.lag(value).over(window)}
     )
-    ends = sliced.groupBy(KEY).agg(
+    ends = rows_in.groupBy(KEY).agg(
         F.max(F.struct(*order_by, F.col(value).alias("__value"))).alias("__last"), F.count(F.lit(1)).alias("__size")
     )
-    across = _across(keys)
-    before = F.sum("__size").over(across.rowsBetween(Window.unboundedPreceding, -1))
+    along = across(keys)
+    before = F.sum("__size").over(along.rowsBetween(Window.unboundedPreceding, -1))
     carried = ends.select(
-        KEY, F.lag("__last.__value").over(across).alias("__carried"), F.coalesce(before, F.lit(0)).alias("__before")
+        KEY, F.lag("__last.__value").over(along).alias("__carried"), F.coalesce(before, F.lit(0)).alias("__before")
     )
     columns = {out: F.when(F.col(LOCAL) == 1, F.col("__carried")).otherwise(F.col("__lag"))}
     if position:
@@ -107,11 +107,11 @@ def running_total(
     out: str = "running",
 ) -> DataFrame:
     """Sum of ``value`` up to and including each row, per key."""
-    sliced = _sliced(df, keys, slice_by)
-    sums = sliced.groupBy(KEY).agg(F.sum(value).alias("__sum"))
-    offsets = _carried(sums, F.col("__sum"), keys)
-    so_far = _within(order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = sliced.withColumn(LOCAL, F.sum(value).over(so_far))
+    rows_in = sliced(df, keys, slice_by)
+    sums = rows_in.groupBy(KEY).agg(F.sum(value).alias("__sum"))
+    offsets = carried_sum(sums, F.col("__sum"), keys)
+    so_far = within(order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows_in.withColumn(LOCAL, F.sum(value).over(so_far))
     total = F.col(LOCAL) + F.col("__before")
     return rows.join(offsets, KEY).withColumn(out, total).drop(KEY, LOCAL, "__before")
 
@@ -132,10 +132,10 @@ def keep_newest(
         return df.orderBy(*order_by).limit(count)
     if slice_by is None:
         raise ValueError("retention per key needs a slice of the order")
-    sliced = _sliced(df, keys, slice_by)
-    sizes = sliced.groupBy(KEY).agg(F.count(F.lit(1)).alias("__size"))
-    needed = _carried(sizes, F.col("__size"), keys, descending=True).where(F.col("__before") < count)
-    ranked = sliced.join(needed, KEY).withColumn(LOCAL, F.row_number().over(_within(order_by)))
+    rows_in = sliced(df, keys, slice_by)
+    sizes = rows_in.groupBy(KEY).agg(F.count(F.lit(1)).alias("__size"))
+    needed = carried_sum(sizes, F.col("__size"), keys, descending=True).where(F.col("__before") < count)
+    ranked = rows_in.join(needed, KEY).withColumn(LOCAL, F.row_number().over(within(order_by)))
     return ranked.where(F.col(LOCAL) + F.col("__before") <= count).drop(KEY, LOCAL, "__before")
 
 

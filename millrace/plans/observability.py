@@ -92,7 +92,7 @@ def log_retain_last(t):
 def log_retain_service(t):
     newest = [F.col("timestamp").desc(), F.col("log_id").desc()]
     entries = t.logs.select("log_id", "timestamp", "service")
-    return ordering.keep_newest(entries, 200, newest, ["service"], ordering.time_slice("timestamp", "day"))
+    return ordering.keep_newest(entries, 200, newest, ["service"], ordering.time_slice("timestamp", "minute"))
 
 
 @query(
@@ -156,7 +156,7 @@ _OP = "CASE sample_id % 5 WHEN 0 THEN 'set' WHEN 1 THEN 'dec' ELSE 'inc' END"
 def metric_gauge(t):
     turn = F.col("sample_id") % 5
     samples = t.metric_samples.withColumn("op", F.when(turn == 0, "set").when(turn == 1, "dec").otherwise("inc"))
-    return metrics.gauge(samples, ["label_user"], ["timestamp", "sample_id"])
+    return metrics.gauge(samples, ["label_user"], ["timestamp", "sample_id"], ordering.time_slice("timestamp", "day"))
 
 
 _LE = ", ".join(f"({b})" for b in metrics.PIPELINE_BOUNDS)

@@ -280,18 +280,9 @@ def versions(t):
        QUALIFY row_number() OVER (PARTITION BY v.pipeline_id ORDER BY v.version DESC) = 1""",
 )
 def version_latest(t):
-    newest = ordering.latest(
-        t.orders.select(
-            F.col("o_custkey").alias("pipeline_id"),
-            F.col("o_orderdate").alias("created_at"),
-            F.col("o_orderkey").alias("version_key"),
-            F.col("o_orderpriority").alias("changelog"),
-        ),
-        ["pipeline_id"],
-        ["created_at", "version_key"],
-    )
-    sizes = t.orders.groupBy(F.col("o_custkey").alias("pipeline_id")).agg(F.count(F.lit(1)).alias("version"))
-    return newest.join(sizes, "pipeline_id").select("pipeline_id", "version", "version_key", "changelog")
+    newest = F.max(F.struct(*VERSION_ORDER, "changelog")).alias("newest")
+    per_pipeline = version_rows(t).groupBy("pipeline_id").agg(F.count(F.lit(1)).alias("version"), newest)
+    return per_pipeline.select("pipeline_id", "version", "newest.version_key", "newest.changelog")
 
 
 @query(

@@ -51,7 +51,7 @@ def shard_range(t):
     """SELECT event_id, event_type, CAST((row_number() OVER (ORDER BY ts, event_id) - 1) % 7 AS INTEGER) AS shard_id FROM events""",
 )
 def shard_round_robin(t):
-    spec = ShardSpec(7, "round_robin", order_by=("ts", "event_id"), slice_by=ordering.time_slice("ts", "hour"))
+    spec = ShardSpec(7, "round_robin", order_by=("ts", "event_id"), slice_by=ordering.time_slice("ts", "minute"))
     return sharding.shard(t.events.select("event_id", "ts", "event_type"), spec).drop("ts")
 
 
@@ -84,6 +84,7 @@ def shard_results(t):
         "node_id",
         "status",
         "items",
+        "start_time",
         (F.col("execution_id") % 16).cast("int").alias("shard_id"),
         F.create_map(F.format_string("worker-%d", "worker_id"), F.col("items")).alias("result"),
     )
@@ -101,15 +102,15 @@ def agg_merge(t):
 @query(
     "agg_concat",
     """SELECT task_id, CAST(execution_id % 16 AS INTEGER) AS shard_id, items,
-              row_number() OVER (ORDER BY execution_id % 16, execution_id, node_id, task_id) AS position
+              row_number() OVER (ORDER BY execution_id % 16, start_time, task_id) AS position
        FROM tasks WHERE status = 'completed'""",
 )
 def agg_concat(t):
     placed = gather.gather(
         shard_results(t),
         "concat",
-        order_by=["shard_id", "execution_id", "node_id", "task_id"],
-        slice_by=F.struct("shard_id", ordering.id_slice("execution_id")),
+        order_by=["shard_id", "start_time", "task_id"],
+        slice_by=F.struct("shard_id", ordering.time_slice("start_time", "day")),
     )
     return placed.select("task_id", "shard_id", "items", "position")
 

@@ -297,7 +297,8 @@ def test_queue_stats_and_paging(spark):
     assert ordering.page(spark.range(200), [F.col("id")], 0, 500).count() == 100
 
 
-def test_gauge_without_set(spark):
+@pytest.mark.parametrize("width", [1, 2, 10])
+def test_gauge_without_set(spark, width):
     rows = [("m", "a", "inc", 2.0, 1), ("m", "a", "dec", 0.5, 2), ("m", "b", "inc", 9.0, 1), ("m", "b", "set", 4.0, 2), ("m", "b", "inc", 1.0, 3)]
     df = spark.createDataFrame(rows, "metric string, l string, op string, value double, seq int")
-    assert {r["l"]: r["value"] for r in metrics.gauge(df, ["l"], ["seq"]).collect()} == {"a": 1.5, "b": 5.0}
+    assert {r["l"]: r["value"] for r in metrics.gauge(df, ["l"], ["seq"], ordering.id_slice("seq", width)).collect()} == {"a": 1.5, "b": 5.0}
