@@ -1,6 +1,7 @@
 """Quarantine tables: failing records kept as messages in named queues.
 
-A message is ``(queue, id, payload, source, error, timestamp, retry_count)``.
+A message is ``(queue, id, payload, source, error, timestamp, enqueued_at, retry_count)``: ``timestamp`` is the
+last change, ``enqueued_at`` the place in the queue.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ def to_messages(bad: DataFrame, key: str, queue: Column, source: Column, error:
         source.alias("source"),
         error.alias("error"),
         timestamp.alias("timestamp"),
+        timestamp.alias("enqueued_at"),
         F.lit(0).alias("retry_count"),
     )
 
@@ -40,7 +42,7 @@ def admit(
     slice_by: Column,
     existing: DataFrame | None = None,
     capacity: int = CAPACITY,
-    order_by: Sequence[str] = ("timestamp", "id"),
+    order_by: Sequence[str] = ("enqueued_at", "id"),
 ) -> DataFrame:
     """Flag which messages fit: the rest are kept with ``accepted`` false, never dropped.
 
@@ -65,7 +67,7 @@ def store(messages: DataFrame, path: str) -> None:
 
 
 def requeue(messages: DataFrame, requested: DataFrame, now: str) -> DataFrame:
-    """Count a retry, reset the time and clear the error of the requested ids."""
+    """Count a retry, reset the time and clear the error of the requested ids; they keep their place."""
     asked = requested.select("id").distinct().withColumn("__asked", F.lit(True))
     hit = F.coalesce(F.col("__asked"), F.lit(False))
     return (
@@ -99,7 +101,7 @@ def peek(messages: DataFrame, offset: int = 0, limit: int = LIST_LIMIT) -> DataF
     """Oldest messages first; a bad offset reads as 0, a bad limit as the default."""
     offset = max(offset, 0)
     limit = limit if limit > 0 else LIST_LIMIT
-    ordered = messages.orderBy("timestamp", "id")
+    ordered = messages.orderBy("enqueued_at", "id")
     return (ordered.offset(offset) if offset else ordered).limit(limit)
 
 

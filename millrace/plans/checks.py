@@ -344,20 +344,20 @@ def edges_dangling(t):
     return joins.dangling_edges(nodes, edges)
 
 
-_CYCLIC = """e AS (SELECT DISTINCT user_id AS graph, event_type AS src, nxt AS dst
-                   FROM (SELECT user_id, event_type, date_trunc('day', ts) AS day,
-                                lead(event_type) OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) AS nxt
-                         FROM events) WHERE nxt > event_type OR (nxt < event_type AND dayofmonth(day) = 3))"""
+_CYCLIC = """e AS (SELECT DISTINCT user_id || '/' || strftime(ts, '%Y-%m-%d') AS graph, event_type AS src,
+                          lead(event_type) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS dst
+                   FROM events QUALIFY dst IS NOT NULL)"""
 
 
 def cyclic_edges(t):
-    """Moves between kinds of events within a day; moves against the alphabet count only on one day."""
+    """Moves from one kind of event to the next, one graph per user and day."""
     events = t.events.select("event_id", "ts", "user_id", "event_type", F.to_date("ts").alias("day"))
     steps = ordering.with_previous(
         events, "event_type", ["ts", "event_id"], ordering.time_slice("ts", "hour"), ["user_id", "day"], "src"
-    ).withColumnRenamed("event_type", "dst")
-    backwards = (F.col("dst") < F.col("src")) & (F.dayofmonth("day") == 3)
-    return steps.where((F.col("dst") > F.col("src")) | backwards).select(F.col("user_id").alias("graph"), "src", "dst").distinct()
+    )
+    graph_id = F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("day", "yyyy-MM-dd"))
+    moves = steps.where(F.col("src").isNotNull())
+    return moves.select(graph_id.alias("graph"), "src", F.col("event_type").alias("dst")).distinct()
 
 
 @query(
@@ -424,7 +424,7 @@ def function_defs(t):
     "dlq_route",
     f"""WITH bad AS (SELECT *, {_RULES} AS error,
                             TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS ts FROM records)
-        SELECT lang AS queue, doc_id AS id, source, error, ts AS "timestamp", 0 AS retry_count,
+        SELECT lang AS queue, doc_id AS id, source, error, ts AS "timestamp", ts AS enqueued_at, 0 AS retry_count,
                strlen(text) AS text_bytes,
                row_number() OVER (PARTITION BY lang ORDER BY ts, doc_id) AS position,
                row_number() OVER (PARTITION BY lang ORDER BY ts, doc_id) <= 100 AS accepted
@@ -446,7 +446,7 @@ def dlq_route(t):
     """WITH asked AS (SELECT doc_id FROM labels WHERE toxic = 1)
        SELECT id, queue, payload, CASE WHEN id IN (SELECT doc_id FROM asked) THEN NULL ELSE error END AS error,
               CASE WHEN id IN (SELECT doc_id FROM asked) THEN TIMESTAMP '2024-06-01 00:00:00' ELSE "timestamp" END AS "timestamp",
-              retry_count + CAST(id IN (SELECT doc_id FROM asked) AS INTEGER) AS retry_count
+              enqueued_at, retry_count + CAST(id IN (SELECT doc_id FROM asked) AS INTEGER) AS retry_count
        FROM dead_letters""",
 )
 def dlq_requeue(t):
@@ -482,9 +482,15 @@ def dlq_clear(t):
     return quarantine.clear(t.dead_letters, queues).select("id", "queue", "payload")
 
 
-@query("dlq_list", 'SELECT id, queue, error FROM dead_letters ORDER BY "timestamp", id LIMIT 50 OFFSET 10')
+@query(
+    "dlq_list",
+    """SELECT id, queue, CASE WHEN id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN NULL ELSE error END AS error,
+              enqueued_at FROM dead_letters ORDER BY enqueued_at, id LIMIT 50 OFFSET 10""",
+)
 def dlq_list(t):
-    return quarantine.peek(t.dead_letters.select("id", "queue", "error", "timestamp"), 10, 50).drop("timestamp")
+    asked = t.labels.where(F.col("toxic") == 1).select(F.col("doc_id").alias("id"))
+    requeued = quarantine.requeue(t.dead_letters.drop("payload"), asked, "2024-06-01 00:00:00")
+    return quarantine.peek(requeued.select("id", "queue", "error", "enqueued_at"), 10, 50)
 
 
 @query(

@@ -142,12 +142,14 @@ class Tables:
     @cached_property
     def dead_letters(self) -> DataFrame:
         broken = F.coalesce(F.col("quality") == 0, F.lit(False)) | (F.octet_length("text") < 200)
+        stamp = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") * 60).cast("timestamp_ntz")
         return self.records.where(broken).select(
             F.col("doc_id").alias("id"),
             F.col("source").alias("queue"),
             F.col("text").alias("payload"),
             F.when(F.octet_length("text") < 200, "too short").otherwise("low quality").alias("error"),
-            F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") * 60).cast("timestamp_ntz").alias("timestamp"),
+            stamp.alias("timestamp"),
+            stamp.alias("enqueued_at"),
             F.lit(0).alias("retry_count"),
         )
 
@@ -283,7 +285,8 @@ SQL_VIEWS = {
     "dead_letters": """
         SELECT doc_id AS id, source AS queue, text AS payload,
                CASE WHEN strlen(text) < 200 THEN 'too short' ELSE 'low quality' END AS error,
-               TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS "timestamp", 0 AS retry_count
+               TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS "timestamp",
+               TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS enqueued_at, 0 AS retry_count
         FROM records WHERE coalesce(quality = 0, false) OR strlen(text) < 200""",
     "acyclic_edges": """
         SELECT a.conv_id AS graph, a.turn AS src, a.turn + 1 AS dst

@@ -288,7 +288,7 @@ def test_number_helpers(spark):
 
 
 def test_queue_stats_and_paging(spark):
-    df = spark.sql("SELECT 'q' AS queue, id, timestamp_ntz'2024-01-01' AS timestamp FROM range(9)")
+    df = spark.sql("SELECT 'q' AS queue, id, timestamp_ntz'2024-01-01' AS enqueued_at FROM range(9)")
     row = one(quarantine.stats(df, capacity=10))
     assert (row["size"], row["usage_percent"], row["near_capacity"], row["full"]) == (9, 90.0, True, False)
     assert [r["id"] for r in quarantine.peek(df, -3, 2).collect()] == [0, 1]
