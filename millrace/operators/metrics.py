@@ -185,8 +185,8 @@ def windowed(samples: DataFrame, labels: Sequence[str], width: str, slide: str |
 
 def latest_beats(beats: DataFrame) -> DataFrame:
     """Last heartbeat of every worker."""
-    newest = F.max(F.struct("timestamp", "beat_id", "status", "tasks_running")).alias("b")
-    return beats.groupBy("worker_id").agg(newest).select("worker_id", "b.*")
+    columns = ["worker_id", "timestamp", "beat_id", "status", "tasks_running"]
+    return ordering.latest(beats.select(*columns), ["worker_id"], ["timestamp", "beat_id"])
 
 
 def liveness(beats: DataFrame, as_of: str, offline_seconds: float = OFFLINE_SECONDS) -> DataFrame:
@@ -233,9 +233,16 @@ def activity_sessions(beats: DataFrame, gap_seconds: int = OFFLINE_SECONDS) -> D
     return join_slots(activity_slots(beats, gap_seconds), gap_seconds)
 
 
+def metric_help(metric: Column, default: str) -> Column:
+    """Help text of a known family, otherwise the default."""
+    pairs = [F.lit(x) for name, _, text, _ in FAMILIES for x in (name, text)]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), metric), F.lit(default))
+
+
 def exposition(counters: DataFrame, histograms: DataFrame, label: str, help_text: str) -> DataFrame:
     """Counters and histograms as sorted text lines: help, type and one line per sample.
 
+    ``help_text`` describes metrics outside the known families.
     Columns ``metric, ord, line``: lines of one label value stand together in ``ord`` order.
     """
 
@@ -248,7 +255,7 @@ def exposition(counters: DataFrame, histograms: DataFrame, label: str, help_text
 
     def heading(kind: str) -> list[tuple[str, Column]]:
         return [
-            ("0", F.concat(F.lit("# HELP "), F.col("metric"), F.lit(f" {help_text}"))),
+            ("0", F.concat(F.lit("# HELP "), F.col("metric"), F.lit(" "), metric_help(F.col("metric"), help_text))),
             ("1", F.concat(F.lit("# TYPE "), F.col("metric"), F.lit(f" {kind}"))),
         ]
 

@@ -11,13 +11,10 @@ from pyspark.sql import functions as F
 from millrace.functions.encode import fnv1a_mod
 from millrace.operators import ordering
 
-# The sharding strategies; an unknown name means hash.
-STRATEGIES = ("hash", "range", "round_robin")
-
 
 @dataclass(frozen=True)
 class ShardSpec:
-    """How to shard. ``order_by`` and ``slice_by`` serve round robin, ``bounds`` serve range."""
+    """How to shard: ``hash``, ``range`` or ``round_robin``; any other strategy means hash. ``order_by`` and ``slice_by`` serve round robin, ``bounds`` serve range."""
 
     shards: int
     strategy: str = "hash"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import values
-from millrace.operators import errors, joins, ordering, transforms
+from millrace.operators import errors, joins, transforms
 from millrace.plans.registry import query
 from millrace.session import scratch
 from millrace.sources import files, records, sinks
@@ -199,10 +199,7 @@ def transform_flatten(t):
     return transforms.flatten(nested)
 
 
-_COND = "CASE WHEN quality IS NULL THEN NULL ELSE quality = 1 AND lang <> 'en' END"
-
-
-@query("filter_keep", f"SELECT doc_id, lang, quality FROM records WHERE coalesce({_COND}, false)")
+@query("filter_keep", "SELECT doc_id, lang, quality FROM records WHERE coalesce(quality = 1 AND lang <> 'en', false)")
 def filter_keep(t):
     return joins.keep(t.records.select("doc_id", "lang", "quality"), (F.col("quality") == 1) & (F.col("lang") != "en"))
 
@@ -247,9 +244,6 @@ def inputs_defaulted(t):
     return transforms.with_defaults(chosen, {"quality": (True, -1), "toxic": (True, None), "lang": (False, None)})
 
 
-_TAG = "CASE {c} WHEN 'user' THEN 'STRING' WHEN 'assistant' THEN 'object' ELSE 'blob' END"
-
-
 @query(
     "port_compat",
     """WITH p AS (SELECT graph, node, CASE type WHEN 'user' THEN 'string' WHEN 'assistant' THEN 'object' ELSE 'any' END AS tag
@@ -276,9 +270,6 @@ def port_compat(t):
     )
 
 
-_J_ORDERS = "o_orderkey, o_custkey, o_totalprice"
-
-
 @query(
     "join_inner",
     "SELECT o_orderkey, o_custkey, o_totalprice, c_name FROM orders JOIN customer ON o_custkey = c_custkey",

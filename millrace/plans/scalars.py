@@ -185,7 +185,6 @@ def fn_pad(t):
     )
 
 
-_WORDS = f"list_filter(regexp_split_to_array(text, '{SP}+'), lambda w: w <> '')"
 _TITLE = "upper(substring(w, 1, 1)) || lower(substring(w, 2))"
 _SNAKE = r"lower(substring({c}, 1, 1) || regexp_replace(substring({c}, 2), '(\p{{Lu}})', '_\1', 'g'))"
 

@@ -21,7 +21,6 @@ FILE_CONTENT = """
 DATA_RECORD = """
     id STRING, name STRING, data_type STRING, value STRING, metadata MAP<STRING, STRING>,
     created_at TIMESTAMP, updated_at TIMESTAMP"""
-TYPE_TAGS = ("any", "string", "integer", "float", "boolean", "array", "object", "file", "binary")
 
 CORRUPT = "_corrupt"
 

@@ -51,8 +51,9 @@ def write(
     writer.save(path)
 
 
-def write_table(df: DataFrame, name: str, mode: str = "append") -> None:
-    df.write.mode(mode).saveAsTable(name)
+def write_table(df: DataFrame, name: str, mode: str = "append", **options) -> None:
+    """Write a table of the catalog; the option ``path`` makes it external."""
+    df.write.mode(mode).options(**options).saveAsTable(name)
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, driver: str, batch_size: int = 1000, mode: str = "append") -> None:

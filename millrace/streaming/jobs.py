@@ -18,9 +18,9 @@ from millrace.operators.validation import FieldRule, issues_text
 from millrace.session import scratch
 from millrace.streaming import tables
 
-# How old data may be before it is ignored, and how long idle state is kept.
+# How old data may be before it is ignored, and how long a stream remembers a file.
 IGNORE_OLDER = "12 hours"
-CLEAN_INACTIVE = "24 hours"
+FORGET_FILES = "24h"
 
 
 def collect_logs(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -31,7 +31,7 @@ def collect_logs(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 def tail_log_files(spark: SparkSession, glob: str, fields: dict[str, str]) -> DataFrame:
     """Lines of log files as they appear, with the file they come from and static fields at the root."""
-    lines = spark.readStream.format("text").load(glob)
+    lines = spark.readStream.format("text").option("maxFileAge", FORGET_FILES).load(glob)
     return lines.select(
         F.col("value").alias("line"),
         F.col("_metadata.file_path").alias("file"),

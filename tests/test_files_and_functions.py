@@ -141,3 +141,27 @@ def test_setup_and_teardown_once_per_task(spark, tmp_path):
     assert out.agg(F.sum("id")).collect()[0][0] == sum(range(1, 101))
     with open(log) as f:
         assert sorted(int(line) for line in f) == [25, 25, 25, 25]
+
+
+def test_table_sink(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
+    for _ in range(2):
+        sinks.write_table(df, "sink_table", path=str(tmp_path / "sink_table"))
+    assert spark.table("sink_table").count() == 4
+    spark.sql("DROP TABLE sink_table")
+
+
+def test_batch_size_bounds_the_records_of_a_file(spark, tmp_path):
+    path = str(tmp_path / "sized")
+    sinks.write(spark.range(0, 25, 1, 1), path, batch_size=10)
+    files_written = spark.read.parquet(path).groupBy(F.input_file_name()).count()
+    assert sorted(r["count"] for r in files_written.collect()) == [5, 10, 10]
+
+
+def test_known_families_bring_their_help(spark):
+    from millrace.operators import metrics
+
+    row = spark.range(1).select(
+        metrics.metric_help(F.lit("pipeline_count"), "x").alias("known"), metrics.metric_help(F.lit("mine"), "x").alias("other")
+    ).collect()[0]
+    assert tuple(row) == ("Total number of pipelines", "x")

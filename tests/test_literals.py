@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import encode, text, values
-from millrace.operators import errors, gather, graph, joins, logs, metrics, ordering, quality, quarantine, runs, sharding, transforms, validation
+from millrace.operators import errors, gather, graph, joins, logs, metrics, ordering, quality, quarantine, runs
+from millrace.operators import sharding, transforms, validation
 from millrace.operators.validation import FieldRule
 from millrace.sources import records, sinks
 
@@ -85,7 +86,8 @@ def test_quality_of_broken_and_of_no_rows(spark):
 
 
 def test_merging_results(spark):
-    kind = "struct<valid:boolean,errors:array<struct<field:string,message:string>>,warnings:array<struct<field:string,message:string>>,metadata:map<string,string>,duration_ms:int>"
+    issues = "array<struct<field:string,message:string>>"
+    kind = f"struct<valid:boolean,errors:{issues},warnings:{issues},metadata:map<string,string>,duration_ms:int>"
     a = (True, [("x", "1")], [], {"k": "a", "j": "a"}, 2)
     b = (False, [("y", "2")], [("z", "3")], {"k": "b"}, 3)
     df = spark.createDataFrame([(a, b)], f"a {kind}, b {kind}")
@@ -299,6 +301,9 @@ def test_queue_stats_and_paging(spark):
 
 @pytest.mark.parametrize("width", [1, 2, 10])
 def test_gauge_without_set(spark, width):
-    rows = [("m", "a", "inc", 2.0, 1), ("m", "a", "dec", 0.5, 2), ("m", "b", "inc", 9.0, 1), ("m", "b", "set", 4.0, 2), ("m", "b", "inc", 1.0, 3)]
+    rows = [
+        ("m", "a", "inc", 2.0, 1), ("m", "a", "dec", 0.5, 2),
+        ("m", "b", "inc", 9.0, 1), ("m", "b", "set", 4.0, 2), ("m", "b", "inc", 1.0, 3),
+    ]
     df = spark.createDataFrame(rows, "metric string, l string, op string, value double, seq int")
     assert {r["l"]: r["value"] for r in metrics.gauge(df, ["l"], ["seq"], ordering.id_slice("seq", width)).collect()} == {"a": 1.5, "b": 5.0}
