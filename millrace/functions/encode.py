@@ -5,19 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The checksum algorithms a record or file may be checked with.
-ALGORITHMS = ("md5", "sha1", "sha256")
+# The checksum algorithms a record or file may be checked with, by each of their names.
+ALGORITHMS = {"md5": "md5", "sha1": "sha1", "sha-1": "sha1", "sha256": "sha256", "sha-256": "sha256"}
 
 
 def checksum(data: Column, algorithm: str) -> Column:
-    """Lower-case hex digest; an unknown algorithm is an error."""
-    if algorithm == "md5":
-        return F.md5(data)
-    if algorithm == "sha1":
-        return F.sha1(data)
-    if algorithm == "sha256":
-        return F.sha2(data, 256)
-    raise ValueError(f"unsupported checksum algorithm {algorithm!r}, expected one of {ALGORITHMS}")
+    """Lower-case hex digest; names of algorithms ignore case, an unknown one is an error."""
+    name = ALGORITHMS.get(algorithm.lower())
+    if name is None:
+        raise ValueError(f"unsupported checksum algorithm {algorithm!r}, expected one of {sorted(ALGORITHMS)}")
+    return {"md5": F.md5, "sha1": F.sha1, "sha256": lambda c: F.sha2(c, 256)}[name](data)
 
 
 def to_hex(data: Column) -> Column:

@@ -8,6 +8,7 @@ from millrace.functions.encode import checksum as digest
 from millrace.functions.values import sorted_pairs
 from millrace.operators import graph, joins, ordering, quality, quarantine, validation
 from millrace.operators.validation import FieldRule, issues_text
+from millrace.operators.validators import from_settings
 from millrace.plans.registry import query
 from millrace.session import scratch
 
@@ -241,7 +242,8 @@ def validate_custom(t):
         builder = F.col("c_mktsegment") == "BUILDING"
         return F.when(balance < 0, F.when(builder, "overdrawn builder").otherwise("overdrawn"))
 
-    checked = validation.validate(t.customer, [FieldRule("c_acctbal", custom=solvent)])
+    validator = from_settings({"type": "schema", "rules": {"c_acctbal": {"custom": solvent}}})
+    checked = t.customer.transform(validator)
     message = F.coalesce(F.get("errors", 0)["message"], F.lit(""))
     return checked.select("c_custkey", message.alias("message"))
 

@@ -190,17 +190,17 @@ def metric_summary(t):
 
 
 @query(
-    "pipeline_families",
+    "run_metric_families",
     """WITH c AS (SELECT pipeline_id, status, CAST(count(*) AS DOUBLE) AS value FROM executions GROUP BY ALL)
        SELECT 'pipeline_count' AS metric, * FROM c
        UNION ALL SELECT 'pipeline_' || status, * FROM c WHERE status IN ('running', 'completed', 'failed')""",
 )
-def pipeline_families(t):
+def run_metric_families(t):
     return metrics.pipeline_families(t.executions)
 
 
 @query(
-    "pipeline_duration",
+    "run_duration_histogram",
     f"""WITH d AS (SELECT status, (epoch_us(coalesce(end_time, TIMESTAMP '1998-01-01')) - epoch_us(start_time)) / 1000000 AS seconds
                    FROM executions WHERE end_time IS NOT NULL OR start_time < TIMESTAMP '1998-01-01'),
              b(le) AS (VALUES {_LE}),
@@ -209,7 +209,7 @@ def pipeline_families(t):
                count(*) FILTER (d.seconds <= CAST(b.le AS DOUBLE)) AS bucket
         FROM n CROSS JOIN b JOIN d ON d.status = n.status GROUP BY ALL""",
 )
-def pipeline_duration(t):
+def run_duration_histogram(t):
     as_of = F.lit("1998-01-01").cast("timestamp_ntz")
     begun = t.executions.where(F.col("end_time").isNotNull() | (F.col("start_time") < as_of))
     seconds = dates.seconds_between(F.col("start_time"), F.coalesce("end_time", as_of))

@@ -152,11 +152,11 @@ def pending_topk(t):
 
 
 @query(
-    "exec_by_pipeline",
+    "exec_listing",
     """SELECT pipeline_id, status, id, created_at FROM executions
        WHERE status <> 'pending' AND pipeline_id IN (SELECT id FROM pipelines WHERE status = 'active')""",
 )
-def exec_by_pipeline(t):
+def exec_listing(t):
     wanted = t.pipelines.where(F.col("status") == "active").select(F.col("id").alias("pipeline_id"))
     started = t.executions.where(F.col("status") != "pending")
     return started.join(wanted, "pipeline_id", "left_semi").select("pipeline_id", "status", "id", "created_at")

@@ -165,3 +165,19 @@ def test_known_families_bring_their_help(spark):
         metrics.metric_help(F.lit("pipeline_count"), "x").alias("known"), metrics.metric_help(F.lit("mine"), "x").alias("other")
     ).collect()[0]
     assert tuple(row) == ("Total number of pipelines", "x")
+
+
+def test_validators_from_settings(spark):
+    from millrace.operators.validators import create_and_register, from_settings, validators
+
+    df = spark.createDataFrame([("a", 1.0), ("", None)], "name string, score double")
+    create_and_register("names", {"type": "schema", "rules": {"name": {"required": True, "min_length": 1}}})
+    assert [r["valid"] for r in df.transform(validators.get("names")).collect()] == [True, False]
+    summed = df.transform(from_settings({"type": "checksum", "column": "name"})).collect()
+    assert summed[0]["checksum"] == "0cc175b9c0f1b6a831c399e269772661"
+    assert from_settings({"type": "checksum", "column": "name", "algorithm": "SHA-256"})(df).collect()[0]["input_size"] == 1
+    verdict = from_settings({"type": "quality", "quality_rules": {"min_completeness": 0.7, "min_accuracy": 0.5}})(df).collect()[0]
+    assert (verdict["completeness"], verdict["accuracy"], verdict["valid"]) == (0.75, 0.5, True)
+    for settings in ({"type": "schema"}, {"type": "checksum", "column": "name", "algorithm": "crc"}, {"type": "other"}):
+        with pytest.raises(ValueError):
+            from_settings(settings)
