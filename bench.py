@@ -30,7 +30,7 @@ def main() -> None:
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
-    runs = max(int(os.environ.get("BENCH_RUNS", "1")), 1)
+    runs = max(int(os.environ.get("BENCH_RUNS", "2")), 1)
     spark = local_session("bench", cores=cpus)
 
     def once(name: str) -> float:
