@@ -5,10 +5,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from millrace.plans import catalog
 from oracle_check import compare, duck
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
