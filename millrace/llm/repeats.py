@@ -1,11 +1,13 @@
-"""Passages that repeat: blockwise sorting of suffixes with the ranks of a difference cover sample.
-
-Two equal strings of ``LENGTH`` bytes at places p and q of two texts hold, whatever p and q are, sampled places at one
-and the same distance from their starts: the sample takes from each text the places whose remainder modulo ``PERIOD``
-lies in a difference cover. So it is enough to rank the short strings at sampled places first; a suffix whose sample
-repeats nowhere is settled. The rest are long ties, which are ranked at the full depth. Both rankings go one suffix
-bucket at a time: a fragment of the corpus sends, for each bucket, one block of hashes in a fixed order and gets back
-one bit for each, so that neither texts nor places travel, and a task holds one bucket or one fragment in memory.
+"""Passages that repeat: blockwise ranking of suffixes with a cover sample.
+
+Two equal strings of ``LENGTH`` bytes at places p and q hold sampled places at one and the same distance from their
+starts, wherever they lie. The cover sample here goes by content: of the ``SHORT``-byte strings in a window the one with
+the smallest hash is sampled, so all windows that share a sampled place form a run, and equal windows lie in runs with
+equal sampled strings. Runs are ranked first, one suffix bucket at a time. Where all runs of a sampled string are equal
+as a whole, the earliest is original and the others repeat it. Only where runs differ (long ties) are their windows
+ranked at full depth, again one bucket at a time. For each bucket a fragment of the corpus sends one block of hashes in
+a fixed order and gets back one bit for each, so that neither texts nor places travel, and a task holds one bucket or one
+fragment in memory.
 """
 
 from __future__ import annotations
@@ -18,18 +20,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.arrays import SPAN, flat, hash_of, prefix_hashes
+from millrace.llm.arrays import SPAN, flat, hash_of, mixed, powers, prefix_hashes
 
 LENGTH = 100
-PERIOD = 73
-#: A perfect difference set: every distance modulo PERIOD is the difference of exactly one pair.
-COVER = sorted({pow(2, k, PERIOD) for k in range(9)})
-#: Length of the strings at sampled places.
-SHORT = LENGTH - PERIOD + 1
+#: Length of the sampled strings; a window holds REACH of them.
+SHORT = 36
+REACH = LENGTH - SHORT + 1
 FRAGMENT, BUCKET = 8 << 20, 8 << 20
-_KEY_BITS, _KEY_BYTES = 40, 5
+_KEY_BYTES = 5
 
-_BLOCKS = "bucket long, frag long, hashes binary, doc_ids binary, runs binary"
+_PLACE_BITS = np.uint64(21)
+_PLACE = (np.uint64(1) << _PLACE_BITS) - np.uint64(1)
+
+_BLOCKS = "bucket long, frag long, keys binary, hashes binary, doc_ids binary, runs binary"
 _BITS = "frag long, kind int, bucket long, bits binary, n long"
 
 
@@ -42,58 +45,78 @@ class _Fragment:
         self.ids = ids[order]
         self.data, self.offsets = flat(table.column("text").take(pa.array(order)))
 
-    def places(self, low: int, high: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts in low .. high of strings of ``length`` bytes that lie within a text, and their texts."""
-        at = np.arange(low, high)
-        text = np.searchsorted(self.offsets, at, side="right") - 1
-        inside = at + length <= self.offsets[text + 1]
-        return at[inside], text[inside]
-
-    def spans(self):
-        return ((low, min(low + SPAN, len(self.data))) for low in range(0, len(self.data), SPAN))
-
-    def hashes(self, low: int, at: np.ndarray, length: int) -> np.ndarray:
-        sums = prefix_hashes(self.data[low : at[-1] + length]) if len(at) else np.zeros(1, np.uint64)
-        return hash_of(sums, at - low, at - low + length)
-
-    def sample(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sampled places and their keys: the bucket in the high bits, 40 bits of the hash below."""
-        cover = np.zeros(PERIOD, bool)
-        cover[COVER] = True
-        places, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for low, high in self.spans():
-            at, text = self.places(low, high, SHORT)
-            at = at[cover[(at - self.offsets[text]) % PERIOD]]
-            h = self.hashes(low, at, SHORT)
-            places.append(at)
-            keys.append(((h & np.uint64(buckets - 1)) << np.uint64(_KEY_BITS)) | (h >> np.uint64(64 - _KEY_BITS)))
-        return np.concatenate(places), np.concatenate(keys)
-
-    def open_windows(self, buckets: int, replies: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of full-length strings whose sample repeats somewhere, and the hashes of these strings."""
-        at, keys = self.sample(buckets)
-        rank, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
-        repeats = (_in_order(replies, len(rank)) | (count > 1))[inverse]
-        del keys, rank, inverse, count
-        edge = np.zeros(len(self.data) + 1, np.int32)
-        np.add.at(edge, np.maximum(at[repeats] - PERIOD + 1, 0), 1)
-        np.add.at(edge, at[repeats] + 1, -1)
-        is_open = np.cumsum(edge)[:-1] > 0
-        starts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for low, high in self.spans():
-            some, _ = self.places(low, high, LENGTH)
-            some = some[is_open[some]]
-            starts.append(some)
-            hashes.append(self.hashes(low, some, LENGTH))
-        return np.concatenate(starts), np.concatenate(hashes)
-
-    def firsts(self, starts: np.ndarray, hashes: np.ndarray, buckets: int):
-        """Distinct hashes ordered by bucket, text and hash; their texts; and for each start whether it is the first."""
-        values, first = np.unique(hashes, return_index=True)
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First and last window of each run, the hash of its sampled string and that of all it covers."""
+        parts: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.int64, np.int64, np.uint64, np.uint64)]
+        for low in range(0, len(self.data) - LENGTH + 1, SPAN):
+            piece = self.data[low : low + SPAN + LENGTH - 1]
+            n = len(piece) - LENGTH + 1
+            sums = prefix_hashes(piece)
+            short = mixed((sums[SHORT:] - sums[:-SHORT]) * powers(len(sums))[1][: len(sums) - SHORT])
+            least = (short & ~_PLACE) | np.arange(len(short), dtype=np.uint64)
+            width = 1
+            while width * 2 <= REACH:
+                least = np.minimum(least[:-width], least[width:])
+                width *= 2
+            if width < REACH:
+                least = np.minimum(least[:n], least[REACH - width :])
+            place = (least & _PLACE).astype(np.int64)
+            crossing = np.zeros(n + 1, np.int32)  # windows that start in one text and end in another
+            ends = self.offsets[1:-1]
+            ends = ends[(ends > low) & (ends < low + n + LENGTH)] - low
+            np.add.at(crossing, np.maximum(ends - LENGTH + 1, 0), 1)
+            np.add.at(crossing, np.minimum(ends, n), -1)
+            inside = np.cumsum(crossing[:-1]) == 0
+            change = np.concatenate([[True], (place[1:] != place[:-1]) | ~inside[:-1] | ~inside[1:], [True]])
+            first, last = np.flatnonzero(change[:-1] & inside), np.flatnonzero(change[1:] & inside)
+            for part, values in zip(parts, (first + low, last + low, short[place[first]], hash_of(sums, first, last + LENGTH))):
+                part.append(values)
+        return tuple(np.concatenate(p) for p in parts)
+
+    def windows(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of all windows of some runs, and the hashes of these windows."""
+        size = last - first + 1
+        starts = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        hashes = np.zeros(len(starts), np.uint64)
+        at = 0
+        while at < len(starts):
+            to, low = int(np.searchsorted(starts, starts[at] + SPAN)), starts[at]
+            sums = prefix_hashes(self.data[low : starts[to - 1] + LENGTH])
+            hashes[at:to] = hash_of(sums, starts[at:to] - low, starts[at:to] - low + LENGTH)
+            at = to
+        return starts, hashes
+
+    def distinct(self, starts: np.ndarray, hashes: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each distinct hash stands first, its text and bucket, in order of bucket and text."""
+        first = np.unique(hashes, return_index=True)[1]
         text = np.searchsorted(self.offsets, starts[first], side="right") - 1
-        bucket = (values & np.uint64(buckets - 1)).astype(np.int64)
-        order = np.lexsort((text, bucket))
-        return values[order], text[order], bucket[order], first[order]
+        order = np.lexsort((text, buckets[first]))
+        return first[order], text[order], buckets[first][order]
+
+    def blocks(self, frag: int, first, text, bucket, hashes, keys=None) -> pa.Table:
+        """What is sent to the buckets: hashes in order, and which document each came from."""
+        own, low = np.unique(bucket, return_index=True)
+        columns: dict[str, list] = {"keys": [], "hashes": [], "doc_ids": [], "runs": []}
+        for a, b in zip(low, np.append(low[1:], len(first))):
+            some, n = np.unique(text[a:b], return_counts=True)
+            if keys is not None:
+                narrow = (keys[first[a:b]] >> np.uint64(64 - 8 * _KEY_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)
+            columns["keys"].append(b"" if keys is None else narrow[:, :_KEY_BYTES].tobytes())
+            columns["hashes"].append(hashes[first[a:b]].astype("<u8").tobytes())
+            columns["doc_ids"].append(self.ids[some].astype("<i8").tobytes())
+            columns["runs"].append(n.astype("<u4").tobytes())
+        return _table(_BLOCKS, bucket=own.astype(np.int64), frag=[frag] * len(own), **columns)
+
+    def open_runs(self, buckets: int, replies: dict[int, dict[int, np.ndarray]]):
+        """Runs with what came back for them: whether their windows must be ranked, and whether they repeat as a whole."""
+        first, last, keys, hashes = self.runs()
+        at, _, _ = self.distinct(first, hashes, (keys & np.uint64(buckets - 1)).astype(np.int64))
+        differ, later = np.zeros(len(first), bool), np.ones(len(first), bool)
+        differ[at], later[at] = _in_order(replies[0], len(at)), _in_order(replies[1], len(at))
+        known, inverse = np.unique(hashes, return_inverse=True)
+        of_hash = np.zeros(len(known), bool)
+        of_hash[inverse[at]] = differ[at]
+        return first, last, of_hash[inverse], later
 
 
 def _in_order(replies: dict[int, np.ndarray], n: int) -> np.ndarray:
@@ -105,7 +128,7 @@ def _in_order(replies: dict[int, np.ndarray], n: int) -> np.ndarray:
 
 
 def _replies(table: pa.Table) -> dict[int, dict[int, np.ndarray]]:
-    out: dict[int, dict[int, np.ndarray]] = {0: {}, 1: {}}
+    out: dict[int, dict[int, np.ndarray]] = {0: {}, 1: {}, 2: {}}
     for kind, bucket, bits, n in zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "bits", "n"))):
         out[kind][bucket] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
     return out
@@ -117,34 +140,36 @@ def _table(schema: str, **columns) -> pa.Table:
     return pa.table({n: pa.array(columns[n], kinds[k]) for n, k in fields})
 
 
-def _send_sample(buckets: int):
+def _send_runs(buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        keys = np.unique(_Fragment(table).sample(buckets)[1])
-        bucket = keys >> np.uint64(_KEY_BITS)
-        own, low = np.unique(bucket, return_index=True)
-        short = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES]
-        high = np.append(low[1:], len(keys))
-        blocks = [short[a:b].tobytes() for a, b in zip(low, high)]
-        none = [b""] * len(own)
-        return _table(_BLOCKS, bucket=own.astype(np.int64), frag=[table.column("frag")[0].as_py()] * len(own), hashes=blocks, doc_ids=none, runs=none)
+        fragment = _Fragment(table)
+        first, _, keys, hashes = fragment.runs()
+        return fragment.blocks(table.column("frag")[0].as_py(), *fragment.distinct(first, hashes, (keys & np.uint64(buckets - 1)).astype(np.int64)), hashes, keys)
 
     return run
 
 
-def _answer_sample(table: pa.Table) -> pa.Table:
-    """Which sampled strings of a bucket lie in several fragments."""
-    blobs = [np.frombuffer(b.as_buffer(), np.uint8).reshape(-1, _KEY_BYTES) for b in table.column("hashes")]
-    sizes = [len(b) for b in blobs]
-    wide = np.zeros((sum(sizes), 8), np.uint8)
-    wide[:, :_KEY_BYTES] = np.concatenate(blobs)
+def _received(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Of all blocks of a bucket: their sizes, hashes and document ids."""
+    blobs = [np.frombuffer(b.as_buffer(), "<u8") for b in table.column("hashes")]
+    ids = [np.repeat(np.frombuffer(d.as_buffer(), "<i8"), np.frombuffer(r.as_buffer(), "<u4")) for d, r in zip(table.column("doc_ids"), table.column("runs"))]
+    return [len(b) for b in blobs], np.concatenate(blobs), np.concatenate(ids)
+
+
+def _answer_runs(table: pa.Table) -> pa.Table:
+    """Sampled strings of a bucket whose runs differ, and runs that stand in another fragment's text of smaller id too."""
+    sizes, hashes, ids = _received(table)
+    wide = np.zeros((len(hashes), 8), np.uint8)
+    wide[:, :_KEY_BYTES] = np.concatenate([np.frombuffer(b.as_buffer(), np.uint8) for b in table.column("keys")]).reshape(-1, _KEY_BYTES)
     keys = wide.view("<u8")[:, 0]
-    order = np.argsort(keys)
-    ordered = keys[order]
-    same = ordered[1:] == ordered[:-1]
-    several = np.zeros(len(keys), bool)
-    several[order[1:][same]] = True
-    several[order[:-1][same]] = True
-    return _answer(table, several, sizes, 0)
+    order = np.lexsort((ids, hashes, keys))
+    key, value = keys[order], hashes[order]
+    same_key, same = key[1:] == key[:-1], value[1:] == value[:-1]
+    later, differ = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+    later[order[1:][same_key & same]] = True
+    group = np.concatenate([[0], np.cumsum(~same_key)])
+    differ[order] = np.bincount(group[1:], same_key & ~same, group[-1] + 1)[group] > 0
+    return pa.concat_tables([_answer(table, differ, sizes, 0), _answer(table, later, sizes, 1)])
 
 
 def _answer(table: pa.Table, bits: np.ndarray, sizes: list[int], kind: int) -> pa.Table:
@@ -156,36 +181,22 @@ def _answer(table: pa.Table, bits: np.ndarray, sizes: list[int], kind: int) -> p
 def _send_windows(buckets: int):
     def run(texts: pa.Table, bits: pa.Table) -> pa.Table:
         if texts.num_rows == 0:
-            return _table(_BLOCKS, bucket=[], frag=[], hashes=[], doc_ids=[], runs=[])
+            return _table(_BLOCKS, bucket=[], frag=[], keys=[], hashes=[], doc_ids=[], runs=[])
         fragment = _Fragment(texts)
-        starts, hashes = fragment.open_windows(buckets, _replies(bits)[0])
-        values, text, bucket, _ = fragment.firsts(starts, hashes, buckets)
-        own, low = np.unique(bucket, return_index=True)
-        high = np.append(low[1:], len(values))
-        blocks, ids, runs = [], [], []
-        for a, b in zip(low, high):
-            some, n = np.unique(text[a:b], return_counts=True)
-            blocks.append(values[a:b].astype("<u8").tobytes())
-            ids.append(fragment.ids[some].astype("<i8").tobytes())
-            runs.append(n.astype("<u4").tobytes())
-        return _table(_BLOCKS, bucket=own, frag=[texts.column("frag")[0].as_py()] * len(own), hashes=blocks, doc_ids=ids, runs=runs)
+        first, last, differ, _ = fragment.open_runs(buckets, _replies(bits))
+        starts, hashes = fragment.windows(first[differ], last[differ])
+        return fragment.blocks(texts.column("frag")[0].as_py(), *fragment.distinct(starts, hashes, (hashes & np.uint64(buckets - 1)).astype(np.int64)), hashes)
 
     return run
 
 
 def _answer_windows(table: pa.Table) -> pa.Table:
-    """Which full-length strings of a bucket also lie in another fragment's text of smaller id."""
-    blobs = [np.frombuffer(b.as_buffer(), "<u8") for b in table.column("hashes")]
-    sizes = [len(b) for b in blobs]
-    values = np.concatenate(blobs)
-    ids = np.concatenate([
-        np.repeat(np.frombuffer(d.as_buffer(), "<i8"), np.frombuffer(r.as_buffer(), "<u4")) for d, r in zip(table.column("doc_ids"), table.column("runs"))
-    ])
-    order = np.lexsort((ids, values))
-    ordered = values[order]
-    later = np.zeros(len(values), bool)
-    later[order[1:][ordered[1:] == ordered[:-1]]] = True
-    return _answer(table, later, sizes, 1)
+    """Which windows of a bucket also stand in another fragment's text of smaller id."""
+    sizes, hashes, ids = _received(table)
+    order = np.lexsort((ids, hashes))
+    later = np.zeros(len(hashes), bool)
+    later[order[1:][hashes[order[1:]] == hashes[order[:-1]]]] = True
+    return _answer(table, later, sizes, 2)
 
 
 def _remove(buckets: int, texts_too: bool):
@@ -195,13 +206,17 @@ def _remove(buckets: int, texts_too: bool):
         rows: list[list] = [[] for _ in names]
         if texts.num_rows:
             fragment, replies = _Fragment(texts), _replies(bits)
-            starts, hashes = fragment.open_windows(buckets, replies[0])
-            values, _, _, first = fragment.firsts(starts, hashes, buckets)
-            repeated = np.ones(len(starts), bool)
-            repeated[first] = _in_order(replies[1], len(values))
+            first, last, differ, later = fragment.open_runs(buckets, replies)
             edge = np.zeros(len(fragment.data) + 1, np.int32)
-            edge[starts[repeated]] += 1
-            edge[starts[repeated] + LENGTH] -= 1
+            whole = later & ~differ
+            np.add.at(edge, first[whole], 1)
+            np.add.at(edge, last[whole] + LENGTH, -1)
+            starts, hashes = fragment.windows(first[differ], last[differ])
+            at, _, _ = fragment.distinct(starts, hashes, (hashes & np.uint64(buckets - 1)).astype(np.int64))
+            repeated = np.ones(len(starts), bool)
+            repeated[at] = _in_order(replies[2], len(at))
+            np.add.at(edge, starts[repeated], 1)
+            np.add.at(edge, starts[repeated] + LENGTH, -1)
             gone = np.cumsum(edge)[:-1] > 0
             for k, (low, high) in enumerate(zip(fragment.offsets[:-1], fragment.offsets[1:])):
                 own = gone[low:high]
@@ -226,18 +241,18 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first().n or 0
     frags = max(1, math.ceil(size / FRAGMENT))
-    buckets = 1 << max(0, math.ceil(math.log2(max(1, size * len(COVER) / PERIOD * 8 / BUCKET))))
+    buckets = 1 << max(0, math.ceil(math.log2(max(1, size * 2 / REACH * 16 / BUCKET))))
     texts = docs.select(
         F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(frags)).alias("frag"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")
     )
-    sample = texts.groupBy("frag").applyInArrow(_send_sample(buckets), _BLOCKS)
-    short_bits = sample.groupBy("bucket").applyInArrow(_answer_sample, _BITS)
-    windows = texts.groupBy("frag").cogroup(short_bits.groupBy("frag")).applyInArrow(_send_windows(buckets), _BLOCKS)
+    runs = texts.groupBy("frag").applyInArrow(_send_runs(buckets), _BLOCKS)
+    run_bits = runs.groupBy("bucket").applyInArrow(_answer_runs, _BITS)
+    windows = texts.groupBy("frag").cogroup(run_bits.groupBy("frag")).applyInArrow(_send_windows(buckets), _BLOCKS)
     full_bits = windows.groupBy("bucket").applyInArrow(_answer_windows, _BITS)
     kept = ", kept binary" if kept_text else ""
     out = (
         texts.groupBy("frag")
-        .cogroup(short_bits.unionByName(full_bits).groupBy("frag"))
+        .cogroup(run_bits.unionByName(full_bits).groupBy("frag"))
         .applyInArrow(
             _remove(buckets, kept_text), f"id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string{kept}"
         )
