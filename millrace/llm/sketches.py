@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.arrays import shingle_sets, slices
 from millrace.llm.components import connected
-from millrace.llm.tables import written
+from millrace.llm.tables import bit_set, bit_test, written
 
 #: Registers are floor(1 - log_BASE(x / RATE)) of the smallest of exponential variables, cut to 0 .. TOP.
 BASE, RATE, TOP = 1.001, 20.0, 65535
@@ -17,7 +17,11 @@ BASE, RATE, TOP = 1.001, 20.0, 65535
 ROWS, BANDS = 4, 24
 #: A pair is dropped unread only if its registers are exp(DOUBT) times likelier under its best similarity than under
 #: any similarity that counts as a link.
-DOUBT = 25.0
+DOUBT = 14.0
+#: Bits of the filter that picks the texts to be read for their full sets; fixed, so its size never grows.
+FILTER_BITS = 1 << 22
+#: Rounds of stars before buckets are searched in full.
+STARS = 2
 #: Rows of a band bucket that are compared in memory at once; larger buckets are split into pairs of blocks.
 BLOCK = 2048
 
@@ -154,55 +158,110 @@ def _verified(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """The pairs ``a``, ``b`` whose full shingle sets reach the similarity. Each text is read once, however many pairs it has."""
-    ids = pairs.select(F.col("a").alias(id_col)).unionByName(pairs.select(F.col("b").alias(id_col))).distinct()
-    sets = docs.select(id_col, text_col).join(ids, id_col, "left_semi").mapInArrow(_sets(id_col, text_col, width), "id long, shingles binary")
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
+def shingle_table(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """``id``, ``shingles`` (sorted, packed) of the documents in ``ids``, and of others that share a slot of the filter.
+
+    The filter has a fixed size and lets texts be passed over where they are read, so no text is shuffled.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER_BITS))
+    words = bit_set(ids.select(slot("id").alias("slot")), FILTER_BITS).scalar()
+    some = docs.where(bit_test(words, slot(id_col))).select(id_col, text_col)
+    return some.mapInArrow(_sets(id_col, text_col, width), "id long, shingles binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a``, ``b`` whose full shingle sets reach the similarity."""
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")).hint("merge"), "a")
+    both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")).hint("merge"), "b")
     return both.mapInArrow(_verified(percent), "a long, b long")
 
 
 # ---- candidates
 
 
-def _star_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Each member of a band bucket with the bucket's smallest id: as many pairs as members, however large the bucket."""
-    centres = rows.groupBy("band", "key").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("of")).where("of > 1")
+def _star_pairs(rows: DataFrame, found: DataFrame | None, percent: int) -> DataFrame:
+    """Each member of a band bucket with the bucket's centre: as many pairs as members, however large the bucket.
+
+    The centre is the member that meets most others in all its buckets, so the text that the others are copies of is
+    the centre of most buckets. With ``found``, only buckets that hold several components count: the centre is then
+    taken from the members outside the component of the first centre, and meets the members of other components.
+    """
+    best = F.max(F.struct("meets", (-F.col("id")).alias("minus"), "id", "n", "component"))
+    if found is None:
+        placed = rows.withColumn("component", F.col("id"))
+        centres = placed.groupBy("band", "key").agg(best.alias("c"))
+    else:
+        placed = _placed(rows, found)
+        first = placed.groupBy("band", "key").agg(best.alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+        others = placed.join(first.select("band", "key", F.col("f.component").alias("not")), ["band", "key"]).where("component <> not")
+        centres = others.groupBy("band", "key").agg(best.alias("c"))
     return (
-        rows.join(centres, ["band", "key"])
-        .select(F.col("c.id").alias("a"), F.col("id").alias("b"), F.col("c.n").alias("n_a"), F.col("n").alias("n_b"))
-        .where("a <> b")
-        .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+        placed.join(centres, ["band", "key"])
+        .where(F.col("component") != F.col("c.component"))
+        .where(F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent)
+        .select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b"))
         .distinct()
     )
 
 
-def _across(at_least: float, percent: int):
-    """Pairs of a bucket (or of two of its blocks) that lie in different components and may be links."""
+def _placed(rows: DataFrame, found: DataFrame) -> DataFrame:
+    return rows.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _meetings(table: pa.Table, part: np.ndarray, at_least: float, percent: int):
+    """For each row of the first block, the rows it may be linked with: of another component in ``part``, of fitting
+    size, plausible by registers, and met in no earlier band."""
+    regs, n, ids = _registers(table.column("registers")), table.column("n").to_numpy(), table.column("id").to_numpy()
+    packed, block = regs.view(np.int64), table.column("block").to_numpy()
+    i, j, band = (table.column(c)[0].as_py() for c in ("i", "j", "band"))
+    rights = np.flatnonzero(block == j)
+    for x in np.flatnonzero(block == i):
+        ys = rights[(part[rights] != part[x]) & ((ids[rights] > ids[x]) if i == j else True)]
+        ys = ys[np.minimum(n[ys], n[x]) * 100 >= np.maximum(n[ys], n[x]) * percent]
+        ys = ys[(packed[ys] == packed[x]).argmax(axis=1) == band]
+        if len(ys):
+            _, keep = estimate(np.broadcast_to(regs[x], (len(ys), regs.shape[1])), regs[ys], np.full(len(ys), n[x]), n[ys], at_least)
+            yield x, ys[keep]
+
+
+def _hopeful(at_least: float, percent: int):
+    """The rows of a bucket that have anything to be compared with in full."""
+
+    def run(table: pa.Table) -> pa.Table:
+        some = np.zeros(table.num_rows, bool)
+        for x, ys in _meetings(table, table.column("component").to_numpy(), at_least, percent):
+            some[ys] = True
+            some[x] |= len(ys) > 0
+        return table.filter(pa.array(some))
+
+    return run
+
+
+def _search(at_least: float, percent: int):
+    """Links between members of a bucket (or of two of its blocks) that lie in different components: one for each
+    component that is joined."""
 
     def run(table: pa.Table) -> pa.Table:
-        regs, n, ids = _registers(table.column("registers")), table.column("n").to_numpy(), table.column("id").to_numpy()
-        part, block = table.column("component").to_numpy(), table.column("block").to_numpy()
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        n, ids, part = table.column("n").to_numpy(), table.column("id").to_numpy(), table.column("component").to_numpy().copy()
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("shingles")]
         out_a, out_b = [], []
-        rights = np.flatnonzero(block == j)
-        for x in np.flatnonzero(block == i):
-            ys = rights[(part[rights] != part[x]) & ((ids[rights] > ids[x]) if i == j else True)]
-            ys = ys[np.minimum(n[ys], n[x]) * 100 >= np.maximum(n[ys], n[x]) * percent]
-            if len(ys):
-                _, keep = estimate(np.broadcast_to(regs[x], (len(ys), regs.shape[1])), regs[ys], np.full(len(ys), n[x]), n[ys], at_least)
-                out_a.append(np.minimum(ids[x], ids[ys[keep]]))
-                out_b.append(np.maximum(ids[x], ids[ys[keep]]))
-        join = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
-        return pa.table({"a": join(out_a), "b": join(out_b)})
+        for x, ys in _meetings(table, part, at_least, percent):
+            for y in ys:
+                if part[y] == part[x]:
+                    continue
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * both >= percent * (n[x] + n[y] - both):
+                    out_a.append(ids[x])
+                    out_b.append(ids[y])
+                    part[part == part[y]] = part[x]
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
     return run
 
 
-def _cross_pairs(rows: DataFrame, found: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of buckets whose members are not all in one component yet."""
-    placed = rows.join(found, rows["id"] == found["node"], "left").select("band", "key", "id", "n", F.coalesce("component", "id").alias("component"))
+def _open_links(rows: DataFrame, found: DataFrame, sketch: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that the stars missed, from buckets whose members are not all in one component yet."""
+    placed = _placed(rows, found)
     open_buckets = (
         placed.groupBy("band", "key")
         .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("of"))
@@ -215,8 +274,12 @@ def _cross_pairs(rows: DataFrame, found: DataFrame, sketch: DataFrame, percent:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("band", "key", "id", "n", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     )
-    full = members.join(sketch.select(F.col("doc_id").alias("id"), "registers"), "id")
-    return full.groupBy("band", "key", "i", "j").applyInArrow(_across(percent / 100, percent), "a long, b long").distinct()
+    members = members.join(sketch.select(F.col("doc_id").alias("id"), "registers"), "id")
+    bucket = ["band", "key", "i", "j"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema.fields)
+    hopeful = members.groupBy(*bucket).applyInArrow(_hopeful(percent / 100, percent), schema)
+    full = hopeful.join(sets.hint("merge"), "id")
+    return full.groupBy(*bucket).applyInArrow(_search(percent / 100, percent), "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -225,9 +288,9 @@ def near_duplicates(
     """Components of texts whose shingle sets have a Jaccard similarity of ``percent`` or more.
 
     Returns one row per row of ``docs``: id, ``n_shingles``, ``component_id`` (smallest id reachable), ``kept``.
-    Rows of equal sets are one node from the start. Band buckets first give each member with the smallest (a star);
+    Rows of equal sets are one node from the start. Band buckets first give each member with a centre (a star);
     confirmed links join components; buckets that then still hold several components are searched in full, block by
-    block and in memory, so that no link between different texts is lost. Every link rests on the full sets. Null,
+    block and in memory, and give one link for each component they join, so that no component is lost. Every link rests on the full sets. Null,
     empty and word-free texts are linked with nothing; an empty table gives an empty result; ids are unique.
     """
     sketch = written(sketches(docs, id_col, text_col, width), "sketches")
@@ -241,21 +304,29 @@ def near_duplicates(
     )
     nodes = sketch.join(members.where("doc_id = rep and n_shingles > 0").select("doc_id"), "doc_id", "left_semi")
     rows = nodes.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.posexplode("registers").alias("band", "key"))
-    several = rows.groupBy("band", "key").agg(F.count("*").alias("of")).where("of > 1").drop("of")
-    rows = written(rows.join(several, ["band", "key"], "left_semi"), "bands")
-
-    stars = _star_pairs(rows, percent)
-    side = sketch.select("doc_id", "registers")
-    thinned = (
-        stars.join(side.select(F.col("doc_id").alias("a"), F.col("registers").alias("reg_a")), "a")
-        .join(side.select(F.col("doc_id").alias("b"), F.col("registers").alias("reg_b")), "b")
-        .mapInArrow(_plausible(percent / 100), "a long, b long")
-    )
-    links = written(verified(written(thinned, "stars"), docs, id_col, text_col, width, percent), "links")
-    found = connected(links)
-    more = written(_cross_pairs(rows, found, sketch, percent), "cross")
-    tried = verified(more, docs, id_col, text_col, width, percent)
-    found = connected(links.unionByName(tried))
+    several = rows.groupBy("band", "key").agg(F.count("*").alias("of")).where("of > 1")
+    rows = rows.join(several, ["band", "key"])
+    meets = rows.groupBy("id").agg(F.sum("of").alias("meets"))
+    rows = written(rows.drop("of").join(meets, "id"), "bands")
+    side = sketch.select("doc_id", "n_shingles", "registers")
+    sets = None
+
+    links, found = None, None
+    for _ in range(STARS):
+        pairs = (
+            _star_pairs(rows, found, percent)
+            .join(side.select(F.col("doc_id").alias("a"), F.col("registers").alias("reg_a"), F.col("n_shingles").alias("n_a")), "a")
+            .join(side.select(F.col("doc_id").alias("b"), F.col("registers").alias("reg_b"), F.col("n_shingles").alias("n_b")), "b")
+            .mapInArrow(_plausible(percent / 100), "a long, b long")
+        )
+        pairs = written(pairs, "stars")
+        if sets is None:
+            sets = written(shingle_table(docs, rows.select("id").distinct(), id_col, text_col, width), "sets")
+        new = written(verified(pairs, sets, percent), "links")
+        links = new if links is None else links.unionByName(new)
+        found = connected(links)
+    rest = written(_open_links(rows, found, sketch, sets, percent), "links")
+    found = connected(links.unionByName(rest))
     placed = members.join(found, members["rep"] == found["node"], "left")
     return placed.select(
         F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component", "rep").alias("component_id")
