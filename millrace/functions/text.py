@@ -13,13 +13,15 @@ SPACE_CHARS = (
     "\t\n\v\f\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
-URL = r"^https?://[^\s/$.?#].[^\s]*$"
-UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\z"
+URL = r"^https?://[^\s/$.?#].[^\s]*\z"
+UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\z"
 
 
 def split_on(c: Column, separator: str, limit: int = -1) -> Column:
-    """Split at a literal separator; ``limit`` bounds the number of pieces."""
+    """Split at a literal separator; ``limit`` bounds the number of pieces, and 0 gives none."""
+    if limit == 0:
+        return F.when(c.isNotNull(), F.array().cast("array<string>"))
     quoted = "".join(f"\\{ch}" if ch in r"\.[]{}()*+-?^$|" else ch for ch in separator)
     return F.split(c, quoted, limit)
 
@@ -123,12 +125,12 @@ def is_lower(c: Column) -> Column:
 
 
 def is_digit(c: Column) -> Column:
-    return c.rlike(r"^\p{Nd}*$")
+    return c.rlike(r"^\p{Nd}*\z")
 
 
 def is_alpha(c: Column) -> Column:
-    return c.rlike(r"^\p{L}*$")
+    return c.rlike(r"^\p{L}*\z")
 
 
 def is_alphanumeric(c: Column) -> Column:
-    return c.rlike(r"^[\p{L}\p{Nd}]*$")
+    return c.rlike(r"^[\p{L}\p{Nd}]*\z")

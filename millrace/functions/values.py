@@ -12,11 +12,11 @@ FALSE_TEXTS = ("0", "f", "F", "FALSE", "false", "False")
 
 def to_integer(c: Column) -> Column:
     """Digits with an optional sign, nothing else; null when the text is no integer."""
-    return F.when(c.rlike("^[+-]?[0-9]+$"), c.try_cast("bigint"))
+    return F.when(c.rlike(r"^[+-]?[0-9]+\z"), c.try_cast("bigint"))
 
 
 def to_float(c: Column) -> Column:
-    return F.when(c.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), c.try_cast("double"))
+    return F.when(c.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z|^[+-]?(?i:inf|infinity)\z|^(?i:nan)\z"), c.try_cast("double"))
 
 
 def to_boolean(c: Column) -> Column:
@@ -37,8 +37,8 @@ def larger(a: Column, b: Column) -> Column:
 
 
 def round_half_up(c: Column) -> Column:
-    """Add a half and cut towards zero: 2.5 gives 3, -2.7 gives -2."""
-    return (c + F.lit(0.5)).cast("bigint")
+    """Add a half and cut towards zero: 2.5 gives 3, -2.7 gives -2. Null beyond 64 bits and for NaN."""
+    return (c + F.lit(0.5)).try_cast("bigint")
 
 
 def round_places(c: Column, places: int) -> Column:

@@ -62,16 +62,19 @@ def backoff_delay(
     attempt: Column,
     policy: str = "exponential",
     initial_ms: int = 100,
-    step_ms: int = 100,
+    step_ms: float | None = None,
     multiplier: float = 2.0,
-    max_ms: int = 10_000,
+    max_ms: int = 60_000,
 ) -> Column:
-    """Wait before an attempt in milliseconds; an unknown policy is exponential."""
+    """Wait before an attempt in milliseconds; an unknown policy is exponential.
+
+    The linear step is the first wait times the multiplier, if not given.
+    """
     n = F.greatest(attempt, F.lit(1)) - F.lit(1)
     if policy == "fixed":
         return F.lit(initial_ms).cast("bigint")
     if policy == "linear":
-        delay = F.lit(initial_ms) + F.lit(step_ms) * n
+        delay = F.lit(initial_ms) + F.lit(initial_ms * multiplier if step_ms is None else step_ms) * n
     else:
         delay = F.lit(float(initial_ms)) * F.pow(F.lit(multiplier), n)
     return F.least(delay.cast("double"), F.lit(float(max_ms))).cast("bigint")

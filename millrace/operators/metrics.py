@@ -197,7 +197,7 @@ def liveness(beats: DataFrame, as_of: str, offline_seconds: float = OFFLINE_SECO
     return latest_beats(beats).select("worker_id", alive.alias("alive"), "tasks_running", age.alias("age_seconds"))
 
 
-def available(beats: DataFrame, online: str = "running", load_limit: int = 100) -> DataFrame:
+def available(beats: DataFrame, online: str = "online", load_limit: int = 100) -> DataFrame:
     """Workers that are online and not fully loaded."""
     return latest_beats(beats).where((F.col("status") == online) & (F.col("tasks_running") < load_limit))
 

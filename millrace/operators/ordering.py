@@ -146,10 +146,9 @@ def latest(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataF
     return df.groupBy(*keys).agg(newest).select(*keys, "__row.*")
 
 
-def page(df: DataFrame, order_by: Sequence[Column], offset: int = 0, limit: int = 20, cap: int = 100) -> DataFrame:
+def page(df: DataFrame, order_by: Sequence[Column], offset: int = 0, limit: int = 20) -> DataFrame:
     """One page of a listing; out-of-range paging arguments leave the listing whole."""
     ordered = df.orderBy(*order_by)
     if offset < 0 or limit <= 0:
         return ordered
-    limit = min(limit, cap)
     return ordered.offset(offset).limit(limit) if offset else ordered.limit(limit)

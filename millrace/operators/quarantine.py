@@ -98,9 +98,10 @@ def clear(messages: DataFrame, queues: DataFrame) -> DataFrame:
 
 
 def peek(messages: DataFrame, offset: int = 0, limit: int = LIST_LIMIT) -> DataFrame:
-    """Oldest messages first; a bad offset reads as 0, a bad limit as the default."""
+    """Oldest messages first; a bad offset reads as 0, a limit below 1 is an error."""
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
     offset = max(offset, 0)
-    limit = limit if limit > 0 else LIST_LIMIT
     ordered = messages.orderBy("enqueued_at", "id")
     return (ordered.offset(offset) if offset else ordered).limit(limit)
 

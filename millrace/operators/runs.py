@@ -109,6 +109,25 @@ def fold_status(events: DataFrame, key: str = "pipeline_id") -> DataFrame:
     )
 
 
+def fold_events(events: DataFrame, key: str, starts: tuple[str, ...], ends: tuple[str, ...]) -> DataFrame:
+    """Current state of executions or tasks from their events ``(key, timestamp, event_seq, status, error, retry)``.
+
+    The first state of ``starts`` sets the start, the last of ``ends`` the end; an event with an error fails the
+    entity from then on and gives its message; retries are counted.
+    """
+    order = F.struct("timestamp", "event_seq")
+    failed = F.col("error").isNotNull()
+    state = F.when(failed, F.lit("failed")).otherwise(F.col("status"))
+    return events.groupBy(key).agg(
+        F.max_by(state, order).alias("status"),
+        F.min(F.when(F.col("status").isin(*starts), F.col("timestamp"))).alias("start_time"),
+        F.max(F.when(F.col("status").isin(*ends) | failed, F.col("timestamp"))).alias("end_time"),
+        F.max_by(F.when(failed, F.col("error")), F.when(failed, order)).alias("error_message"),
+        F.count_if("retry").alias("retries"),
+        F.count(F.lit(1)).alias("updates"),
+    )
+
+
 # The lifecycle moves a pipeline may make, as (from, to).
 LEGAL_MOVES = (
     ("draft", "active"),

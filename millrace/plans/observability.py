@@ -125,7 +125,7 @@ def worker_liveness(t):
        SELECT worker_id, "timestamp", beat_id, status, tasks_running FROM b WHERE status = 'running' AND tasks_running < 60""",
 )
 def workers_available(t):
-    return metrics.available(t.heartbeats, load_limit=60)
+    return metrics.available(t.heartbeats, "running", load_limit=60)
 
 
 @query(
@@ -201,8 +201,8 @@ def run_metric_families(t):
 
 @query(
     "run_duration_histogram",
-    f"""WITH d AS (SELECT status, (epoch_us(coalesce(end_time, TIMESTAMP '1998-01-01')) - epoch_us(start_time)) / 1000000 AS seconds
-                   FROM executions WHERE end_time IS NOT NULL OR start_time < TIMESTAMP '1998-01-01'),
+    f"""WITH d AS (SELECT status, (epoch_us(coalesce(end_time, TIMESTAMP '2002-01-01')) - epoch_us(start_time)) / 1000000 AS seconds
+                   FROM executions),
              b(le) AS (VALUES {_LE}),
              n AS (SELECT status, count(*) AS n, CAST(sum(CAST(seconds AS DECIMAL(28, 6))) AS DOUBLE) AS total FROM d GROUP BY status)
         SELECT 'pipeline_duration_seconds' AS metric, n.status, n.n, n.total, CAST(b.le AS DOUBLE) AS le,
@@ -210,10 +210,9 @@ def run_metric_families(t):
         FROM n CROSS JOIN b JOIN d ON d.status = n.status GROUP BY ALL""",
 )
 def run_duration_histogram(t):
-    as_of = F.lit("1998-01-01").cast("timestamp_ntz")
-    begun = t.executions.where(F.col("end_time").isNotNull() | (F.col("start_time") < as_of))
+    as_of = F.lit("2002-01-01").cast("timestamp_ntz")
     seconds = dates.seconds_between(F.col("start_time"), F.coalesce("end_time", as_of))
-    samples = begun.select(F.lit("pipeline_duration_seconds").alias("metric"), "status", seconds.alias("value"))
+    samples = t.executions.select(F.lit("pipeline_duration_seconds").alias("metric"), "status", seconds.alias("value"))
     return metrics.histogram(samples, ["status"], metrics.PIPELINE_BOUNDS)
 
 

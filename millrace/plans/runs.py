@@ -234,6 +234,54 @@ def status_fold(t):
     return runs.fold_status(t.status_events)
 
 
+_FOLDED = """arg_max(CASE WHEN error IS NOT NULL THEN 'failed' ELSE status END, seq) AS status,
+              min(ts) FILTER (status IN ({starts})) AS start_time,
+              max(ts) FILTER (status IN ('completed', 'failed', 'cancelled') OR error IS NOT NULL) AS end_time,
+              arg_max(error, seq) FILTER (error IS NOT NULL) AS error_message,
+              count(*) FILTER (retry) AS retries, count(*) AS updates"""
+_ENDS = ("completed", "failed", "cancelled")
+
+
+def _event(df, key: str, time: str, number: int, status, error=None, retry=None):
+    return df.select(
+        key, F.col(time).alias("timestamp"), F.lit(number).alias("event_seq"), status.alias("status"),
+        (F.lit(None).cast("string") if error is None else error).alias("error"), (F.lit(False) if retry is None else retry).alias("retry"),
+    )
+
+
+@query(
+    "execution_fold",
+    f"""WITH ev AS (SELECT id, start_time AS ts, 1 AS seq, CASE WHEN status = 'pending' THEN 'scheduled' ELSE 'running' END AS status,
+                           NULL AS error, false AS retry FROM executions
+                    UNION ALL SELECT id, end_time, 2, status, CASE WHEN status = 'failed' THEN 'execution failed' END, false
+                    FROM executions WHERE end_time IS NOT NULL)
+        SELECT id, {_FOLDED.format(starts="'running'")} FROM ev GROUP BY id""",
+)
+def execution_fold(t):
+    begun = _event(t.executions, "id", "start_time", 1, F.when(F.col("status") == "pending", "scheduled").otherwise("running"))
+    over = t.executions.where("end_time is not null")
+    ended = _event(over, "id", "end_time", 2, F.col("status"), F.when(F.col("status") == "failed", "execution failed"))
+    return runs.fold_events(begun.unionByName(ended), "id", ("running",), _ENDS)
+
+
+@query(
+    "task_fold",
+    f"""WITH ev AS (SELECT task_id, start_time AS ts, 1 AS seq, 'scheduled' AS status, NULL AS error, false AS retry FROM tasks
+                    UNION ALL SELECT task_id, start_time, 2, 'running', NULL, retry_count > 0 FROM tasks WHERE status <> 'pending'
+                    UNION ALL SELECT task_id, end_time, 3, status, CASE WHEN status = 'failed' THEN 'task failed' END, false
+                    FROM tasks WHERE end_time IS NOT NULL)
+        SELECT task_id, {_FOLDED.format(starts="'scheduled', 'running'")} FROM ev GROUP BY task_id""",
+)
+def task_fold(t):
+    tasks = t.tasks
+    planned = _event(tasks, "task_id", "start_time", 1, F.lit("scheduled"))
+    begun = _event(tasks.where("status <> 'pending'"), "task_id", "start_time", 2, F.lit("running"), retry=F.col("retry_count") > 0)
+    ended = _event(
+        tasks.where("end_time is not null"), "task_id", "end_time", 3, F.col("status"), F.when(F.col("status") == "failed", "task failed")
+    )
+    return runs.fold_events(planned.unionByName(begun).unionByName(ended), "task_id", ("scheduled", "running"), _ENDS)
+
+
 @query(
     "status_transitions",
     """

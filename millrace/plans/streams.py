@@ -76,7 +76,7 @@ def stream_metrics(t):
     samples = stream_of(t, "events").select(
         F.lit("duration_ms").alias("metric"), F.col("event_type").alias("label_type"), F.col("ts").alias("timestamp"), "value"
     )
-    states = jobs.run(jobs.rollup_metrics, samples, ["label_type"], width="10 seconds")
+    states = jobs.run(jobs.rollup_metrics, samples, ["label_type"], width="10 seconds", delay="40 days")
     newest = tables.newest_state(states, ["window_start", "metric", "label_type"])
     return newest.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
@@ -157,6 +157,6 @@ def stream_rollup(t):
        FROM y GROUP BY worker_id, session""",
 )
 def stream_sessions(t):
-    states = jobs.run(jobs.track_sessions, beat_stream(t), gap_seconds=14_400)
+    states = jobs.run(jobs.track_sessions, beat_stream(t), gap_seconds=14_400, delay="40 days")
     sessions = metrics.join_slots(tables.newest_state(states, ["worker_id", "slot"]), 14_400)
     return sessions.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})

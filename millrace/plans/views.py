@@ -145,13 +145,15 @@ class Tables:
 
     @cached_property
     def dead_letters(self) -> DataFrame:
-        broken = F.coalesce(F.col("quality") == 0, F.lit(False)) | (F.octet_length("text") < 200)
+        short = (F.octet_length("text") < 200).alias("short")  # before the join, so that texts move only if asked for
+        documents = self.read("documents").select("doc_id", "source", "text", short)
+        broken = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.col("short")
         stamp = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") * 60).cast("timestamp_ntz")
-        return self.records.where(broken).select(
+        return documents.join(self.read("labels"), "doc_id", "left").where(broken).select(
             F.col("doc_id").alias("id"),
             F.col("source").alias("queue"),
             F.col("text").alias("payload"),
-            F.when(F.octet_length("text") < 200, "too short").otherwise("low quality").alias("error"),
+            F.when(F.col("short"), "too short").otherwise("low quality").alias("error"),
             stamp.alias("timestamp"),
             stamp.alias("enqueued_at"),
             F.lit(0).alias("retry_count"),

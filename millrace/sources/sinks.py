@@ -64,7 +64,7 @@ def write_jdbc(df: DataFrame, url: str, table: str, driver: str, batch_size: int
 
 
 def log_lines(logs: DataFrame, file_format: str) -> DataFrame:
-    """Log entries as one text line each: ``json``, ``text`` or ``csv``; any other format gives no line.
+    """Log entries as one text line each: ``json``, ``text`` or ``csv``; any other format is an error.
 
     Expects timestamp, level, service, task_id, pipeline_id, node_id, message and context.
     """
@@ -80,7 +80,7 @@ def log_lines(logs: DataFrame, file_format: str) -> DataFrame:
         fields = [F.coalesce(F.col(n).cast("string"), F.lit("")).alias(n) for n in names]
         line = F.to_csv(F.struct(stamp.alias("timestamp"), *fields), {"escape": '"', "emptyValue": ""})
     else:
-        return logs.select(F.lit("").alias("line")).where(F.lit(False))
+        raise ValueError(f"unknown log format {file_format!r}")
     return logs.select(line.alias("line"))
 
 

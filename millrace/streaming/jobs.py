@@ -18,9 +18,8 @@ from millrace.operators.validation import FieldRule, issues_text
 from millrace.session import scratch
 from millrace.streaming import tables
 
-# How old data may be before it is ignored, and how long a stream remembers a file.
+# Fixed value: how old data may be before it is ignored, where that is asked for.
 IGNORE_OLDER = "12 hours"
-FORGET_FILES = "24h"
 
 
 def collect_logs(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -29,9 +28,13 @@ def collect_logs(stream: DataFrame, path: str, checkpoint: str) -> None:
     tables.append(stamped.withColumn("day", F.to_date("timestamp")), path, checkpoint, ["day"])
 
 
-def tail_log_files(spark: SparkSession, glob: str, fields: dict[str, str]) -> DataFrame:
-    """Lines of log files as they appear, with the file they come from and static fields at the root."""
-    lines = spark.readStream.format("text").option("maxFileAge", FORGET_FILES).load(glob)
+def tail_log_files(spark: SparkSession, glob: str, fields: dict[str, str], max_file_age: str | None = None) -> DataFrame:
+    """Lines of log files as they appear, with the file they come from and static fields at the root.
+
+    ``max_file_age`` lets a stream pass over files that much older than the newest; by default none is.
+    """
+    reader = spark.readStream.format("text")
+    lines = (reader.option("maxFileAge", max_file_age) if max_file_age else reader).load(glob)
     return lines.select(
         F.col("value").alias("line"),
         F.col("_metadata.file_path").alias("file"),
@@ -40,9 +43,12 @@ def tail_log_files(spark: SparkSession, glob: str, fields: dict[str, str]) -> Da
 
 
 def rollup_metrics(
-    stream: DataFrame, labels: Sequence[str], path: str, checkpoint: str, width: str, delay: str = IGNORE_OLDER
+    stream: DataFrame, labels: Sequence[str], path: str, checkpoint: str, width: str, delay: str
 ) -> None:
-    """Windowed counts and sums per label tuple; expects ``metric``, ``timestamp`` and ``value``."""
+    """Windowed counts and sums per label tuple; expects ``metric``, ``timestamp`` and ``value``.
+
+    Rows more than ``delay`` behind the newest are too late to count.
+    """
     windows = metrics.windowed(tables.event_time(stream, "timestamp", delay), labels, width)
     tables.each_batch(windows, path, checkpoint, mode="update")
 
@@ -90,7 +96,7 @@ def roll_up_executions(stream: DataFrame, path: str, checkpoint: str) -> None:
     tables.each_batch(counts.withColumn("status", status), path, checkpoint, mode="update")
 
 
-def track_sessions(stream: DataFrame, path: str, checkpoint: str, gap_seconds: int, delay: str = IGNORE_OLDER) -> None:
+def track_sessions(stream: DataFrame, path: str, checkpoint: str, gap_seconds: int, delay: str) -> None:
     """Activity slots per worker; ``metrics.join_slots`` makes sessions of the table."""
     slots = metrics.activity_slots(tables.event_time(stream, "timestamp", delay), gap_seconds)
     tables.each_batch(slots, path, checkpoint, mode="update")

@@ -296,7 +296,9 @@ def test_queue_stats_and_paging(spark):
     assert [r["id"] for r in quarantine.peek(df, -3, 2).collect()] == [0, 1]
     assert quarantine.peek(df, 50, 2).count() == 0
     assert ordering.page(df, [F.col("id")], 0, 0).count() == 9
-    assert ordering.page(spark.range(200), [F.col("id")], 0, 500).count() == 100
+    assert ordering.page(spark.range(200), [F.col("id")], 0, 500).count() == 200
+    with pytest.raises(ValueError):
+        quarantine.peek(df, 0, 0)
 
 
 @pytest.mark.parametrize("width", [1, 2, 10])

@@ -89,7 +89,7 @@ def test_sessions_over_micro_batches_match_the_table(spark, folder):
     for frame in frames:
         add(frame)
     stream = tables.stream_source(spark, path, frames[0].schema, files_per_batch=1)
-    slots = tables.newest_state(jobs.run(jobs.track_sessions, stream, gap_seconds=30), ["worker_id", "slot"])
+    slots = tables.newest_state(jobs.run(jobs.track_sessions, stream, gap_seconds=30, delay="12 hours"), ["worker_id", "slot"])
     streamed = metrics.join_slots(slots, 30).select("session", "beats").orderBy("session").collect()
     batch = metrics.activity_sessions(spark.read.parquet(path), 30).select("session", "beats").orderBy("session").collect()
     assert streamed == batch and [r["beats"] for r in batch] == [2, 1, 2]
