@@ -34,7 +34,7 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch | pa.Table, text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch | pa.Table]:
+def slices(batch: pa.RecordBatch | pa.Table, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch | pa.Table]:
     """Cut a batch into runs of rows with about ``most`` bytes of text; a longer text is a run of its own."""
     if batch.num_rows == 0:
         return
@@ -43,6 +43,7 @@ def slices(batch: pa.RecordBatch | pa.Table, text: str, most: int = 4 << 20) ->
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1, [len(sizes)]])
     for low, high in zip(cuts[:-1], cuts[1:]):
         yield batch.slice(low, high - low)
+    pa.default_memory_pool().release_unused()  # workers live on between tasks
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

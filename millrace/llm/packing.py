@@ -59,20 +59,27 @@ class Encoder:
 
         import public_tokenizers as public
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         back = {c: b for b, c in _byte_letters().items()}
         ranks = {bytes(back[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in self.special}
+        del spec
         self.fast = tiktoken.Encoding("ranks", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.width = np.zeros(max(ranks.values()) + 1, np.int64)
         self.width[list(ranks.values())] = [len(w) for w in ranks]
         self.keys, self.begin, self.size, self.slot = (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
         self.ids = np.zeros(0, "<u4")
 
+    @functools.cached_property
+    def whole(self):
+        """The tokenizer itself, loaded only where a text names a special token."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def alone(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
@@ -90,7 +97,15 @@ class Encoder:
             raise ValueError("a token crosses two units")
         return cuts[:-1], np.diff(cuts), ids
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray, texts: list[str | None]):
+    def _special_texts(self, data: np.ndarray, offsets: np.ndarray) -> dict[int, str]:
+        """Texts that name a special token, by number."""
+        joined, names = data.tobytes(), [s.encode() for s in self.special]
+        if not any(s in joined for s in names):
+            return {}
+        parts = ((k, joined[low:high]) for k, (low, high) in enumerate(zip(offsets[:-1], offsets[1:])))
+        return {k: part.decode() for k, part in parts if any(s in part for s in names)}
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray):
         """Ids of all texts of a slice, where each text's begin, the term slot of each unit and its text."""
         n = len(data)
         if n == 0:
@@ -109,8 +124,8 @@ class Encoder:
         alone = np.zeros(len(starts), bool)
         alone[np.searchsorted(starts, edges)] = True
         alone |= space[ends - 1]
-        special = [k for k, t in enumerate(texts) if t and any(s in t for s in self.special)]
-        alone |= np.isin(of, special)
+        special = self._special_texts(data, offsets)
+        alone |= np.isin(of, list(special))
 
         values, first, inverse = np.unique(keys[~alone], return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.keys, values), max(len(self.keys) - 1, 0))
@@ -138,9 +153,9 @@ class Encoder:
         extra, reach = [pool], len(pool)
         done = set()
         for k in np.flatnonzero(alone):
-            text = of[k]
+            text = int(of[k])
             if text in special:  # the whole text at its first unit
-                ids = np.zeros(0, "<u4") if text in done else self.alone(texts[text])
+                ids = np.zeros(0, "<u4") if text in done else self.alone(special[text])
                 done.add(text)
             else:
                 ids = self.alone(data[starts[k] : ends[k]].tobytes().decode())
@@ -180,10 +195,10 @@ def _tokenised(id_col: str, text_col: str, path: str):
         encode = encoder(path).encode
         sequence = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for rows in slices(batch, text_col, 8 << 20):
+            for rows in slices(batch, text_col):
                 out: dict[str, list] = {n.split()[0]: [] for n in _ROW.split(", ")}
                 data, offsets = flat(rows.column(text_col))
-                tokens, reach, slots, of = encode(data, offsets, rows.column(text_col).to_pylist())
+                tokens, reach, slots, of = encode(data, offsets)
                 bounds = np.searchsorted(of, np.arange(len(offsets)))
                 for k, doc in enumerate(rows.column(id_col).to_pylist()):
                     raw = tokens[reach[k] : reach[k + 1]].tobytes() + END_BYTES

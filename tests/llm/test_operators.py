@@ -90,6 +90,21 @@ def test_packing(spark, rows, odd):
     brute.check_packing(packing.packed(odd, path).toArrow().to_pylist(), [r[:2] for r in ODD], tokenizer)
 
 
+def test_texts_that_name_special_tokens():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from millrace.llm.arrays import flat
+
+    path = public_tokenizers.path(plans.TOKENIZER)
+    coder, whole = packing.Encoder(path), Tokenizer.from_file(path)
+    texts = ["plain words here", *(f"a {s} b\n c{s}" for s in coder.special), None, "日本 é " + "".join(coder.special), "more  words"]
+    ids, reach, _, _ = coder.encode(*flat(pa.array(texts)))
+    for k, text in enumerate(texts):
+        assert ids[reach[k] : reach[k + 1]].tolist() == whole.encode(text or "", add_special_tokens=False).ids
+
+
 def test_checksum_of_a_part():
     import zlib
 
