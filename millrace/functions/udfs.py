@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+#: Rows of a scan that a task holds at a time.
+SCAN_ROWS = 10_000
+
 
 def record_function(
     df: DataFrame,
@@ -36,13 +40,17 @@ def record_function(
 def scan_function(
     df: DataFrame, key: str, value: str, scan: Callable[[object], Iterable[tuple]], schema: str
 ) -> DataFrame:
-    """Table function: every value gives any number of rows ``schema``, returned with the key."""
+    """Table function: every value gives any number of rows ``schema``, returned with the key.
+
+    Rows leave in pieces of ``SCAN_ROWS``, so a value may give more rows than fit in memory.
+    """
     kind = df.schema[key].dataType.simpleString()
     names = [part.strip().split()[0] for part in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(k, *row) for k, v in zip(batch[key], batch[value]) for row in scan(v)]
-            yield pd.DataFrame(rows, columns=[key, *names])
+            rows = ((k, *row) for k, v in zip(batch[key], batch[value]) for row in scan(v))
+            while piece := list(islice(rows, SCAN_ROWS)):
+                yield pd.DataFrame(piece, columns=[key, *names])
 
     return df.select(key, value).mapInPandas(run, f"{key} {kind}, {schema}")

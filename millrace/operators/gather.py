@@ -36,11 +36,13 @@ def reduce(results: DataFrame, keys: Sequence[str], **aggregates: Column) -> Dat
     return completed(results).groupBy(*keys).agg(*[c.alias(name) for name, c in aggregates.items()])
 
 
-def fold(df: DataFrame, keys: Sequence[str], steps: Mapping[str, Callable]) -> DataFrame:
+def fold(df: DataFrame, keys: Sequence[str], steps: Mapping[str, Callable], spread: int = 64) -> DataFrame:
     """Reduce columns per group with associative functions of two values, such as ``math.gcd``.
 
-    A numpy ufunc is used as it is. Every Arrow batch is reduced before the shuffle; afterwards rows of a
-    group come sorted in batches and only the running value of one group is carried between them, so
+    The functions must be commutative too, as rows of a group come in any order. A numpy ufunc is used as it
+    is. Every Arrow batch is reduced before the shuffle. The batches of a group are then reduced in up to
+    ``spread`` tasks, so that its last task gets no more than ``spread`` rows of it, however hot it is. Rows
+    of a group come sorted in batches and only the running value of one group is carried between them, so
     neither a hot group nor many groups need memory.
     """
     names = list(keys)
@@ -72,8 +74,13 @@ def fold(df: DataFrame, keys: Sequence[str], steps: Mapping[str, Callable]) -> D
         if tail is not None:
             yield tail
 
+    def reduced(rows: DataFrame, *salt: str) -> DataFrame:
+        by_group = rows.repartition(*names, *salt).sortWithinPartitions(*names)
+        return by_group.select(*names, *steps).mapInPandas(by_run, schema)
+
     partial = df.select(*names, *steps).mapInPandas(by_batch, schema)
-    return partial.repartition(*names).sortWithinPartitions(*names).mapInPandas(by_run, schema)
+    salted = partial.withColumn("__salt", F.spark_partition_id() % F.lit(spread))
+    return reduced(reduced(salted, "__salt"))
 
 
 def ordered(results: DataFrame, value: Column, shard: str = "shard_id") -> DataFrame:

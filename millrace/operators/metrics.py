@@ -136,20 +136,69 @@ def summary_approx(samples: DataFrame, labels: Sequence[str], quantiles: Sequenc
     return samples.groupBy("metric", *labels).agg(F.percentile_approx("value", wanted, accuracy).alias("values"))
 
 
-def function_rates(tasks: DataFrame, executions: DataFrame, functions: DataFrame) -> DataFrame:
-    """Executions, success and failure rate, mean duration and items per function type and pipeline."""
-    joined = (
-        tasks.select("execution_id", "function_id", "status", "start_time", "end_time", "items")
-        .join(executions.select(F.col("id").alias("execution_id"), "pipeline_id"), "execution_id")
-        .join(functions.select(F.col("id").alias("function_id"), "type"), "function_id")
+def summary_accuracy(
+    samples: DataFrame, labels: Sequence[str], quantiles: Sequence[float], accuracy: int = 10_000
+) -> DataFrame:
+    """Approximate quantiles with their exact ranks, one row per label tuple and quantile.
+
+    ``within`` tells whether the ranks of the value, from ``below`` to ``upto`` of ``n``, come as near to the
+    wanted rank as ``accuracy`` promises: within ``n / accuracy``, and one for rounding.
+    """
+    keys = ["metric", *labels]
+    met = samples.select(*keys, "value").join(summary_approx(samples, labels, quantiles, accuracy), keys)
+    counts = []
+    for i in range(len(quantiles)):
+        picked = F.get("values", F.lit(i))
+        counts += [
+            F.first(picked).alias(f"__value{i}"),
+            F.count_if(F.col("value") < picked).alias(f"__below{i}"),
+            F.count_if(F.col("value") <= picked).alias(f"__upto{i}"),
+        ]
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(float(q)).alias("quantile"),
+                F.col(f"__value{i}").alias("value"),
+                F.col(f"__below{i}").alias("below"),
+                F.col(f"__upto{i}").alias("upto"),
+            )
+            for i, q in enumerate(quantiles)
+        ]
+    )
+    placed = met.groupBy(*keys).agg(F.count("value").alias("n"), *counts).select(*keys, "n", F.explode(rows).alias("__row"))
+    rank, slack = F.col("quantile") * F.col("n"), F.col("n") / F.lit(accuracy) + 1
+    within = (F.col("below") - slack <= rank) & (rank <= F.col("upto") + slack)
+    return placed.select(*keys, "n", "__row.*").withColumn("within", within)
+
+
+def function_rates(
+    tasks: DataFrame, executions: DataFrame, functions: DataFrame, per_node: bool = False
+) -> DataFrame:
+    """Executions, success and failure rate, mean duration and items per function type and pipeline.
+
+    With ``per_node`` per node as well. Tasks are added up per function before they meet the functions, so a
+    function that most tasks use brings few rows to its type.
+    """
+    node = ["node_id"] if per_node else []
+    pipelines = executions.select(F.col("id").alias("execution_id"), "pipeline_id")
+    joined = tasks.select("execution_id", "function_id", *node, "status", "start_time", "end_time", "items").join(
+        pipelines, "execution_id"
     )
     micros = F.unix_micros(F.col("end_time").cast("timestamp")) - F.unix_micros(F.col("start_time").cast("timestamp"))
-    n = F.count(F.lit(1))
-    return joined.groupBy("type", "pipeline_id").agg(
-        n.alias("executions"),
-        (F.count_if(F.col("status") == "completed") / n).alias("success_rate"),
-        (F.count_if(F.col("status") == "failed") / n).alias("failure_rate"),
-        (F.sum(micros) / F.count(micros) / F.lit(1_000_000)).alias("mean_seconds"),
+    counted = joined.groupBy("function_id", "pipeline_id", *node).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("status") == "completed").alias("completed"),
+        F.count_if(F.col("status") == "failed").alias("failed"),
+        F.sum(micros).alias("micros"),
+        F.count(micros).alias("timed"),
+        F.sum("items").alias("items"),
+    )
+    typed = counted.join(functions.select(F.col("id").alias("function_id"), "type"), "function_id")
+    return typed.groupBy("type", "pipeline_id", *node).agg(
+        F.sum("n").alias("executions"),
+        (F.sum("completed") / F.sum("n")).alias("success_rate"),
+        (F.sum("failed") / F.sum("n")).alias("failure_rate"),
+        (F.sum("micros") / F.sum("timed") / F.lit(1_000_000)).alias("mean_seconds"),
         F.sum("items").alias("throughput"),
     )
 
@@ -239,46 +288,59 @@ def metric_help(metric: Column, default: str) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), metric), F.lit(default))
 
 
-def exposition(counters: DataFrame, histograms: DataFrame, label: str, help_text: str) -> DataFrame:
-    """Counters and histograms as sorted text lines: help, type and one line per sample.
+def escaped(value: Column) -> Column:
+    """Label value as it stands between quotes: backslash, quote and line feed escaped; null is empty."""
+    text = F.coalesce(value.cast("string"), F.lit(""))
+    for plain, written in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+        text = F.replace(text, F.lit(plain), F.lit(written))
+    return text
+
+
+def exposition(
+    labels: Sequence[str],
+    help_text: str,
+    counters: DataFrame | None = None,
+    gauges: DataFrame | None = None,
+    histograms: DataFrame | None = None,
+) -> DataFrame:
+    """Metrics as sorted text lines: help, type and one line per sample, with all ``labels``.
 
-    ``help_text`` describes metrics outside the known families.
-    Columns ``metric, ord, line``: lines of one label value stand together in ``ord`` order.
+    ``help_text`` describes metrics outside the known families. Columns ``metric, ord, line``: lines of one
+    label tuple stand together in ``ord`` order. Every frame is read once: its rows give the headings too,
+    of which one is kept.
     """
+    metric = F.col("metric")
+    key = F.concat(F.lit("2/"), F.concat_ws("/", *[escaped(F.col(c)) for c in labels]))
+    tags = F.concat_ws(",", *[F.concat(F.lit(f'{c}="'), escaped(F.col(c)), F.lit('"')) for c in labels])
 
-    def tag(extra: Column | None = None) -> Column:
-        parts = [F.lit(f'{label}="'), F.col(label), F.lit('"')]
-        return F.concat(*parts, *([] if extra is None else [extra]))
+    def line(order: Column, text: Column) -> Column:
+        return F.struct(order.alias("ord"), text.alias("line"))
 
     def sample(suffix: str, inside: Column, number: Column) -> Column:
-        return F.concat(F.col("metric"), F.lit(f"{suffix}{{"), inside, F.lit("} "), number)
+        return F.concat(metric, F.lit(f"{suffix}{{"), inside, F.lit("} "), number)
 
-    def heading(kind: str) -> list[tuple[str, Column]]:
-        return [
-            ("0", F.concat(F.lit("# HELP "), F.col("metric"), F.lit(" "), metric_help(F.col("metric"), help_text))),
-            ("1", F.concat(F.lit("# TYPE "), F.col("metric"), F.lit(f" {kind}"))),
+    def written(df: DataFrame, kind: str, *samples: Column) -> DataFrame:
+        heading = [
+            line(F.lit("0"), F.concat(F.lit("# HELP "), metric, F.lit(" "), metric_help(metric, help_text))),
+            line(F.lit("1"), F.concat(F.lit("# TYPE "), metric, F.lit(f" {kind}"))),
         ]
+        rows = F.explode(F.array(*heading, *samples))
+        return df.select("metric", rows.alias("__row")).select("metric", "__row.*").distinct()
 
-    def headings(df: DataFrame, kind: str) -> DataFrame:
-        lines = F.array(*[F.struct(F.lit(o).alias("ord"), c.alias("line")) for o, c in heading(kind)])
-        return df.select("metric").distinct().select("metric", F.explode(lines).alias("x")).select("metric", "x.*")
-
-    key = F.concat(F.lit("2/"), F.col(label))
-    plain = counters.select("metric", key.alias("ord"), sample("", tag(), F.format_string("%f", "value")).alias("line"))
-    totals = histograms.select("metric", label, "n", "total").distinct()
-    sums = totals.select(
-        "metric", F.concat(key, F.lit("/sum")).alias("ord"), sample("_sum", tag(), F.format_string("%f", "total")).alias("line")
-    )
-    counts = totals.select(
-        "metric", F.concat(key, F.lit("/count")).alias("ord"), sample("_count", tag(), F.col("n").cast("string")).alias("line")
-    )
+    value = line(key, sample("", tags, F.format_string("%f", "value")))
     bound = F.format_string("%f", "le")
-    buckets = histograms.select(
-        "metric",
-        F.concat(key, F.lit("/bucket/"), F.lpad(bound, 20, "0")).alias("ord"),
-        sample("_bucket", tag(F.concat(F.lit(',le="'), bound, F.lit('"'))), F.col("bucket").cast("string")).alias("line"),
-    )
-    lines = headings(counters, "counter").unionByName(plain)
-    for part in (headings(histograms, "histogram"), sums, counts, buckets):
+    bucket = sample("_bucket", F.concat(tags, F.lit(',le="'), bound, F.lit('"')), F.col("bucket").cast("string"))
+    parts = []
+    if counters is not None:
+        parts.append(written(counters, "counter", value))
+    if gauges is not None:
+        parts.append(written(gauges, "gauge", value))
+    if histograms is not None:
+        sums = line(F.concat(key, F.lit("/sum")), sample("_sum", tags, F.format_string("%f", "total")))
+        counts = line(F.concat(key, F.lit("/count")), sample("_count", tags, F.col("n").cast("string")))
+        buckets = line(F.concat(key, F.lit("/bucket/"), F.lpad(bound, 20, "0")), bucket)
+        parts.append(written(histograms, "histogram", sums, counts, buckets))
+    lines = parts[0]
+    for part in parts[1:]:
         lines = lines.unionByName(part)
     return lines.orderBy("metric", "ord")

@@ -70,6 +70,39 @@ def text_stats(t):
     )
 
 
+@query(
+    "image_sizes",
+    """SELECT p_partkey AS file_id, ['png', 'gif', 'bmp', 'jpg'][CAST(p_partkey % 4 AS BIGINT) + 1] AS kind,
+              CAST(p_size * 7 AS BIGINT) AS width, CAST(p_partkey % 5000 + 1 AS BIGINT) AS height
+       FROM part""",
+)
+def image_sizes(t):
+    """Headers written from the columns of ``part`` and read again."""
+    kinds = F.array(*[F.lit(k) for k in ("png", "gif", "bmp", "jpg")])
+    wide, high = F.col("p_size") * 7, F.col("p_partkey") % 5000 + 1
+
+    def big(number, n_bytes: int):
+        return F.lpad(F.hex(number.cast("bigint")), 2 * n_bytes, "0")
+
+    def little(number, n_bytes: int):
+        return F.concat(*[F.substring(big(number, n_bytes), 2 * i + 1, 2) for i in reversed(range(n_bytes))])
+
+    turn = F.col("p_partkey") % 4
+    digits = (
+        F.when(turn == 0, F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(wide, 4), big(high, 4)))
+        .when(turn == 1, F.concat(F.lit("474946383961"), little(wide, 2), little(high, 2)))
+        .when(turn == 2, F.concat(F.lit("424D" + "00" * 16), little(wide, 4), little(high, 4), F.lit("00" * 28)))
+        .otherwise(F.concat(F.lit("FFD8FFC0001108"), big(high, 2), big(wide, 2)))
+    )
+    images = t.part.select(
+        F.col("p_partkey").alias("file_id"), F.get(kinds, turn.cast("int")).alias("kind"), F.unhex(digits).alias("content")
+    )
+    jpeg = F.col("kind") == "jpg"
+    plain = images.where(~jpeg).withColumn("size", documents.header_size(F.col("content"), F.col("kind")))
+    walked = documents.jpeg_sizes(images.where(jpeg), "file_id").withColumn("kind", F.lit("jpg"))
+    return plain.select("file_id", "kind", "size.*").unionByName(walked)
+
+
 @query(
     "docs_size_capped",
     """SELECT file_id, path, strlen(content) AS size, CASE WHEN strlen(content) <= 4000 THEN 'processed' ELSE 'rejected' END AS outcome

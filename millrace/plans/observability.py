@@ -216,10 +216,30 @@ def run_duration_histogram(t):
     return metrics.histogram(samples, ["status"], metrics.PIPELINE_BOUNDS)
 
 
-@query("metric_summary_approx")
+@query(
+    "metric_summary_approx",
+    """SELECT metric, label_type, q.q AS quantile, count(value) AS n, true AS within
+       FROM metric_samples CROSS JOIN (VALUES (CAST(0.5 AS DOUBLE)), (CAST(0.9 AS DOUBLE)), (CAST(0.99 AS DOUBLE))) q(q)
+       GROUP BY metric, label_type, q.q""",
+)
 def metric_summary_approx(t):
-    sketched = metrics.summary_approx(t.metric_samples, ["label_type"], [0.5, 0.9, 0.99])
-    return sketched.select("metric", "label_type", F.posexplode("values").alias("quantile_no", "value"))
+    """The sketched values depend on the partitions; that their ranks are as near as promised doesn't."""
+    ranked = metrics.summary_accuracy(t.metric_samples, ["label_type"], [0.5, 0.9, 0.99])
+    return ranked.select("metric", "label_type", "quantile", "n", "within")
+
+
+@query(
+    "function_rates_node",
+    """SELECT f.type, e.pipeline_id, k.node_id, count(*) AS executions,
+              count(*) FILTER (k.status = 'completed') / count(*) AS success_rate,
+              count(*) FILTER (k.status = 'failed') / count(*) AS failure_rate,
+              sum(epoch_us(k.end_time) - epoch_us(k.start_time)) / count(k.end_time) / 1000000 AS mean_seconds,
+              CAST(sum(k.items) AS BIGINT) AS throughput
+       FROM tasks k JOIN executions e ON k.execution_id = e.id JOIN functions f ON k.function_id = f.id
+       GROUP BY f.type, e.pipeline_id, k.node_id""",
+)
+def function_rates_node(t):
+    return metrics.function_rates(t.tasks, t.executions, t.functions, per_node=True)
 
 
 @query(
@@ -296,4 +316,38 @@ def metrics_lines(t):
     samples = t.metric_samples.withColumnRenamed("label_type", "kind")
     counters = metrics.counter(samples.withColumn("metric", F.lit("events_total")), ["kind"])
     histograms = metrics.histogram(samples.withColumn("metric", F.lit("event_seconds")), ["kind"], metrics.DATABASE_BOUNDS)
-    return metrics.exposition(counters, histograms, "kind", "Samples")
+    return metrics.exposition(["kind"], "Samples", counters, histograms=histograms)
+
+
+@query(
+    "metrics_lines_gauges",
+    f"""WITH s AS (SELECT *, {_OP} AS op FROM metric_samples),
+             l AS (SELECT label_type AS t, label_user AS u, max(sample_id) AS at, arg_max(value, sample_id) AS base
+                   FROM s WHERE op = 'set' GROUP BY 1, 2),
+             d AS (SELECT label_type AS t, label_user AS u,
+                          sum(CAST(CASE WHEN op = 'dec' THEN -value ELSE value END AS DECIMAL(28, 6)))
+                              FILTER (l.at IS NULL OR s.sample_id > l.at) AS delta
+                   FROM s LEFT JOIN l ON s.label_type = l.t AND s.label_user = l.u WHERE op <> 'set' GROUP BY 1, 2),
+             g AS (SELECT coalesce(l.t, d.t) AS t, coalesce(l.u, d.u) AS u,
+                          coalesce(base, 0) + coalesce(CAST(delta AS DOUBLE), 0) AS value
+                   FROM l FULL JOIN d ON l.t = d.t AND l.u = d.u)
+        SELECT 'node_status' AS metric, '0' AS ord, '# HELP node_status Node status (1=active, 0=inactive)' AS line
+        UNION ALL SELECT 'node_status', '1', '# TYPE node_status gauge'
+        UNION ALL SELECT 'node_status', '2/' || t || '\\"/' || u,
+                         'node_status{{kind="' || t || '\\"",user="' || u || '"}} ' || printf('%f', value) FROM g""",
+)
+def metrics_lines_gauges(t):
+    """Gauges of two labels, one of which needs escaping."""
+    turn = F.col("sample_id") % 5
+    samples = t.metric_samples.select(
+        F.lit("node_status").alias("metric"),
+        F.concat("label_type", F.lit('"')).alias("kind"),
+        F.col("label_user").alias("user"),
+        "timestamp",
+        "sample_id",
+        "value",
+        F.when(turn == 0, "set").when(turn == 1, "dec").otherwise("inc").alias("op"),
+    )
+    day = ordering.time_slice("timestamp", "day")
+    gauges = metrics.gauge(samples, ["kind", "user"], ["timestamp", "sample_id"], day)
+    return metrics.exposition(["kind", "user"], "Samples", gauges=gauges)

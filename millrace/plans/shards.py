@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -194,7 +196,24 @@ def udtf_scan(t):
 )
 def udaf_custom(t):
     single = t.lineitem.select("l_suppkey", F.lit(1).cast("bigint").alias("n"), F.col("l_orderkey").alias("fingerprint"))
-    return gather.fold(single, ["l_suppkey"], {"n": np.add, "fingerprint": lambda a, b: a ^ b})
+    return gather.fold(single, ["l_suppkey"], {"n": np.add, "fingerprint": np.bitwise_xor})
+
+
+@query(
+    "udf_setup",
+    "SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[0-9]+')) AS BIGINT) AS numbers FROM documents",
+)
+def udf_setup(t):
+    """A pattern compiled once per task and handed back when the task ends."""
+
+    def execute(rows: pd.DataFrame, state: dict) -> pd.DataFrame:
+        counts = [len(state["number"].findall(text)) for text in rows["text"].fillna("")]
+        return pd.DataFrame({"doc_id": rows["doc_id"], "numbers": counts})
+
+    documents = t.documents.select("doc_id", "text")
+    return record_function(
+        documents, execute, "doc_id bigint, numbers bigint", lambda: {"number": re.compile("[0-9]+")}, dict.clear
+    )
 
 
 @registry.register("net_price", "v1", "normal")
@@ -203,6 +222,12 @@ def net_price(df):
     return df.withColumn("net", F.col("l_extendedprice") * (1 - F.col("l_discount")))
 
 
+@registry.register("net_price", "v2", "normal")
+def list_price(df):
+    """Price without discount."""
+    return df.withColumn("net", F.col("l_extendedprice"))
+
+
 @registry.register("gross_price", "v1", "normal")
 def gross_price(df):
     """Net price with tax; uses the output of the step before."""
@@ -223,3 +248,14 @@ def revenue(df):
 def function_chain(t):
     columns = ["l_returnflag", "l_extendedprice", "l_discount", "l_tax"]
     return chain(t.lineitem.select(*columns), ["identity", "net_price", "gross_price", "revenue"])
+
+
+@query(
+    "function_lookup",
+    """SELECT l_returnflag, CAST(sum(CAST(l_extendedprice * (1 + l_tax) AS DECIMAL(28, 6))) AS DOUBLE) AS gross, count(*) AS n
+       FROM lineitem GROUP BY l_returnflag""",
+)
+def function_lookup(t):
+    """One step by its version, one by the first default version and one by the second."""
+    steps = [registry.get("net_price", "v2"), registry.get("gross_price"), registry.get("revenue")]
+    return chain(t.lineitem.select("l_returnflag", "l_extendedprice", "l_discount", "l_tax"), steps)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions.registry import Registry, chain
-from millrace.functions.udfs import record_function
+from millrace.functions.udfs import record_function, scan_function
 from millrace.operators import documents
 from millrace.session import scratch
 from millrace.sources import files, sinks
@@ -182,3 +182,18 @@ def test_validators_from_settings(spark):
     for settings in ({"type": "schema"}, {"type": "checksum", "column": "name", "algorithm": "crc"}, {"type": "other"}):
         with pytest.raises(ValueError):
             from_settings(settings)
+
+
+def test_label_values_are_escaped(spark):
+    from millrace.operators import metrics
+
+    rows = spark.createDataFrame([("m", 'a"b\\c\nd', None, 1.5)], "metric string, x string, y string, value double")
+    lines = [r["line"] for r in metrics.exposition(["x", "y"], "Own", counters=rows, gauges=rows.limit(0)).collect()]
+    assert lines == ["# HELP m Own", "# TYPE m counter", 'm{x="a\\"b\\\\c\\nd",y=""} 1.500000']
+
+
+def test_scans_of_more_rows_than_a_piece(spark):
+    found = scan_function(spark.range(3).withColumn("v", F.col("id")), "id", "v", lambda v: ((i,) for i in range(v * 15_000)), "n int")
+    assert {(r["id"], r["c"], r["top"]) for r in found.groupBy("id").agg(F.count("*").alias("c"), F.max("n").alias("top")).collect()} == {
+        (1, 15_000, 14_999), (2, 30_000, 29_999)
+    }

@@ -5,7 +5,9 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from millrace.operators import metrics
 from millrace.plans import catalog
+from millrace.plans.views import Tables
 from oracle_check import compare, duck
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -35,8 +37,12 @@ def test_entry_is_the_flagship(spark):
 
 def test_approximate_quantiles_are_close(spark):
     exact = QUERIES["metric_summary"](spark, SF_DIR).toPandas()
-    rough = QUERIES["metric_summary_approx"](spark, SF_DIR).toPandas()
-    rough["quantile"] = rough["quantile_no"].map({0: 0.5, 1: 0.9, 2: 0.99})
+    samples = Tables(spark, SF_DIR).metric_samples
+    rough = metrics.summary_accuracy(samples, ["label_type"], [0.5, 0.9, 0.99]).toPandas()
+    values = samples.select("label_type", "value").toPandas().groupby("label_type")["value"]
+    for r in rough.itertuples():
+        group = values.get_group(r.label_type)
+        assert (r.n, r.below, r.upto) == (len(group), (group < r.value).sum(), (group <= r.value).sum()) and r.within
     both = exact.merge(rough, on=["metric", "label_type", "quantile"])
     assert len(both) == len(exact)
     medians = both[both["quantile"] == 0.5]

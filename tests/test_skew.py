@@ -94,6 +94,17 @@ def test_folding_over_small_batches(spark, skewed):
     assert folded == {r["key"]: r["m"] for r in rows.groupBy("key").agg(F.max("value").alias("m")).collect()}
 
 
+@pytest.mark.parametrize("spread", [1, 3, 64])
+def test_folding_one_group_of_nearly_all_rows(spark, spread):
+    rows = spark.range(0, 20_000, 1, 16).select(F.when(F.col("id") % 20 == 0, F.col("id") % 7).otherwise(-1).alias("key"), F.col("id").alias("x"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        folded = {r["key"]: r["x"] for r in gather.fold(rows, ["key"], {"x": np.add}, spread).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert folded == {r["key"]: r["s"] for r in rows.groupBy("key").agg(F.sum("x").alias("s")).collect()}
+
+
 def test_exact_quantiles_of_a_hot_label(skewed):
     samples = skewed.select(F.lit("m").alias("metric"), F.coalesce("key", F.lit("-")).alias("l"), F.col("value").cast("double").alias("value"))
     found = {(r["l"], r["quantile"]): r["value"] for r in metrics.summary(samples, ["l"], [0.0, 0.25, 1.0], 7.0).collect()}
