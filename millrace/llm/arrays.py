@@ -14,8 +14,8 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 _RANDOM = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = np.arange(256)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 _powers: dict[str, np.ndarray] = {}
@@ -69,7 +69,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def prefix_hashes(data: np.ndarray, lower: bool = False) -> np.ndarray:
     """Running sums from which the hash of any substring follows, see ``hash_of``."""
-    table = _RANDOM[_LOWER] if lower else _RANDOM
+    table = _RANDOM[LOWER] if lower else _RANDOM
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(table[data] * powers(len(data) + 1)[0][: len(data)], out=sums[1:])
     return sums

@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import exact, fingerprints, licences, mixing, packing, pages, quality, repeats, sketches, urls
+from millrace.llm import bytepairs, collocations, exact, fingerprints, licences, mixing, packing, pages, quality, repeats, sketches, spellings, urls
 from millrace.llm.tables import load
 
 TOKENIZER = "byte_bpe_50k.json"
+WORD_TOKENIZER = "word_bpe_49k.json"
 
 #: Weights of the mixture's tree.
 WEIGHTS = [{"d0": 4, "d1": 3, "d2": 2, "d3": 1}, {"en": 5, "de": 2, "fr": 2, "es": 1}, {"src0": 2}]
@@ -101,6 +102,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "mix.domain", "mix.lang", "mix.source", "mix.tokens", "mix.epoch")
 
 
+def op11_bytepairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(WORD_TOKENIZER)
+    out = bytepairs.decoded(bytepairs.encoded(load(spark, sf_dir, "documents"), path), path)
+    decoded = F.sha2(F.col("decoded").cast("binary"), 256)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), decoded.alias("decoded_sha256"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(load(spark, sf_dir, "documents"), least=10, percent=50, top=2000)
+
+
+def op13_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spellings.vocabulary(load(spark, sf_dir, "documents"), chars=6, least=5, one_in=199)
+    return spellings.grouped(words, times=5)
+
+
 # ---- SQL
 
 _FORM = "trim(regexp_replace({}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'))"
@@ -186,8 +203,29 @@ o AS (SELECT d.*, f.whole, f.rest, sum(d.tokens) OVER (PARTITION BY d.domain, d.
 t AS (SELECT *, whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS times FROM o)
 SELECT doc_id, domain, lang, source, tokens, CAST(unnest(range(0, CAST(times AS BIGINT))) AS BIGINT) AS epoch FROM t"""
 
+OP12_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, unnest(w) AS a, unnest(w[2:]) AS b, unnest(w[3:]) AS c FROM w),
+f AS (SELECT lang, 1 AS k, a AS phrase, count(*) AS a, [a] AS w FROM g GROUP BY lang, g.a
+      UNION ALL SELECT lang, 2, a || ' ' || b, count(*), [a, b] FROM g WHERE b IS NOT NULL GROUP BY lang, g.a, b
+      UNION ALL SELECT lang, 3, a || ' ' || b || ' ' || c, count(*), [a, b, c] FROM g WHERE c IS NOT NULL GROUP BY lang, g.a, b, c),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+e AS (SELECT * FROM f WHERE a >= 10),
+x AS (SELECT e.lang, e.phrase, e.a, cut, l.a AS l, r.a AS r, CAST((1000000::HUGEINT * e.a * e.a) // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+      FROM e JOIN (VALUES (1), (2)) t(cut) ON cut < e.k
+      JOIN e l ON l.lang = e.lang AND l.phrase = array_to_string(e.w[1:cut], ' ') JOIN e r ON r.lang = e.lang AND r.phrase = array_to_string(e.w[cut + 1:], ' ')),
+s AS (SELECT lang, phrase, a, arg_min(l, (score, cut)) AS l, arg_min(r, (score, cut)) AS r, min(score) AS score FROM x GROUP BY lang, phrase, a),
+o AS (SELECT lang, part, max(a) AS most FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part FROM e WHERE k = 3) GROUP BY lang, part),
+b AS (SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+      FROM s LEFT JOIN o ON o.lang = s.lang AND o.part = s.phrase WHERE o.most IS NULL OR 100 * o.most < 50 * s.a)
+SELECT b.lang, b.rank, b.phrase, b.a, b.l, b.r, n.n, b.score FROM b JOIN n ON b.lang = n.lang WHERE b.rank <= 2000"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op2_packing, op3_fingerprints, op4_licences, op5_repeats, op6_sketches, op7_urls, op8_pages, op9_exact, op10_mixing)
+    for f in (
+        op1_quality, op2_packing, op3_fingerprints, op4_licences, op5_repeats, op6_sketches, op7_urls, op8_pages, op9_exact, op10_mixing,
+        op11_bytepairs, op12_collocations, op13_spellings,
+    )
 }
-ORACLES = {"op4_licences": OP4_SQL, "op7_urls": OP7_SQL, "op9_exact": OP9_SQL, "op10_mixing": OP10_SQL}
+ORACLES = {"op4_licences": OP4_SQL, "op7_urls": OP7_SQL, "op9_exact": OP9_SQL, "op10_mixing": OP10_SQL, "op12_collocations": OP12_SQL}
