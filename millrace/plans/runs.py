@@ -224,7 +224,7 @@ def task_timeline(t):
 
 @query(
     "status_fold",
-    """SELECT pipeline_id, arg_max(status, event_seq) AS status,
+    """SELECT pipeline_id, arg_max(status, ("timestamp", event_seq)) AS status,
               max("timestamp") FILTER (status = 'active') AS start_time,
               max("timestamp") FILTER (status IN ('stopped', 'failed')) AS end_time,
               count(*) FILTER (status = 'failed') AS errors, count(*) AS updates
@@ -234,10 +234,10 @@ def status_fold(t):
     return runs.fold_status(t.status_events)
 
 
-_FOLDED = """arg_max(CASE WHEN error IS NOT NULL THEN 'failed' ELSE status END, seq) AS status,
+_FOLDED = """arg_max(CASE WHEN error IS NOT NULL THEN 'failed' ELSE status END, (ts, seq)) AS status,
               min(ts) FILTER (status IN ({starts})) AS start_time,
               max(ts) FILTER (status IN ('completed', 'failed', 'cancelled') OR error IS NOT NULL) AS end_time,
-              arg_max(error, seq) FILTER (error IS NOT NULL) AS error_message,
+              arg_max(error, (ts, seq)) FILTER (error IS NOT NULL) AS error_message,
               count(*) FILTER (retry) AS retries, count(*) AS updates"""
 _ENDS = ("completed", "failed", "cancelled")
 

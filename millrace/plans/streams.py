@@ -11,7 +11,7 @@ from millrace.plans.registry import query
 from millrace.plans.views import TASK_COLUMNS
 from millrace.session import scratch
 from millrace.sources import sinks
-from millrace.streaming import jobs, tables
+from millrace.streaming import jobs, stateful, tables
 
 
 def stream_of(t, name: str):
@@ -160,3 +160,68 @@ def stream_sessions(t):
     states = jobs.run(jobs.track_sessions, beat_stream(t), gap_seconds=14_400, delay="40 days")
     sessions = metrics.join_slots(tables.newest_state(states, ["worker_id", "slot"]), 14_400)
     return sessions.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
+
+
+DAY = 86_400
+
+
+@query(
+    "stream_completion",
+    """SELECT execution_id, count(*) AS tasks, count(*) FILTER (status = 'failed') AS failed, max(end_time) AS ended_at,
+              CASE WHEN bool_or(status = 'failed') THEN 'failed' ELSE 'completed' END AS status
+       FROM tasks GROUP BY execution_id HAVING bool_and(status IN ('completed', 'failed'))""",
+)
+def stream_completion(t):
+    """Executions and tasks arrive as two streams in spans of time; those whose tasks never all end time out."""
+    tasks = t.tasks.where("end_time is not null").select("execution_id", "status", F.col("end_time").alias("timestamp"))
+    expected = t.tasks.groupBy("execution_id").agg(F.count("*").alias("expected"), F.min("start_time").alias("timestamp"))
+    started = tables.sliced(expected, "timestamp", scratch(t.spark, "started"), 3, tick=8000 * DAY)
+    ended = tables.sliced(tasks, "timestamp", scratch(t.spark, "ended"), 3, tick=8000 * DAY)
+    done = jobs.run(lambda s, **to: stateful.complete_executions(s, ended, **to), started, delay="1000 days", patience_seconds=3000 * DAY)
+    done = done.where("status <> 'timed_out'").withColumn("ended_at", F.col("ended_at").cast("timestamp_ntz"))
+    return done.select("execution_id", "tasks", "failed", "ended_at", "status")
+
+
+@query(
+    "stream_offline",
+    """WITH b AS (SELECT worker_id, "timestamp" AS ts, lead("timestamp") OVER (PARTITION BY worker_id ORDER BY "timestamp") AS following FROM heartbeats)
+       SELECT worker_id, ts + INTERVAL 12 HOUR AS went_at, CASE WHEN following <= ts + INTERVAL 60 HOUR THEN following END AS back_at
+       FROM b WHERE following IS NULL OR following > ts + INTERVAL 12 HOUR""",
+)
+def stream_offline(t):
+    """Heartbeats in spans of time, then a tick of the clock: who fell silent for twelve hours, and when they came back."""
+    beats = tables.sliced(t.heartbeats.select("worker_id", "timestamp"), "timestamp", scratch(t.spark, "beats"), 3, tick=100 * DAY)
+    told = jobs.run(stateful.watch_silence, beats, delay="12 days", silence_seconds=DAY // 2, forget_seconds=5 * DAY // 2)
+    newest = tables.newest_state(told, ["worker_id", "went_at"])
+    return newest.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("went_at", "back_at")})
+
+
+_LATE_SQL = """
+WITH s AS (SELECT *, CASE WHEN sample_id % 3 = 0 THEN 2 ELSE CAST(floor(2 * (epoch("timestamp") - min(epoch("timestamp")) OVER ()) / (1 + max(epoch("timestamp")) OVER () - min(epoch("timestamp")) OVER ())) AS INTEGER) END AS batch
+           FROM metric_samples),
+w AS (SELECT b.batch, max(s."timestamp") - INTERVAL 1 DAY AS watermark FROM (VALUES (1), (2)) b(batch) JOIN s ON s.batch < b.batch GROUP BY b.batch),
+x AS (SELECT s.*, time_bucket(INTERVAL 1 HOUR, s."timestamp") AS window_start FROM s),
+y AS (SELECT x.*, coalesce(x.window_start + INTERVAL 1 HOUR <= w.watermark, false) AS late FROM x LEFT JOIN w USING (batch))
+SELECT label_type, count(*) AS n, count(*) FILTER (NOT late) AS counted, count(*) FILTER (late) AS late,
+       count(DISTINCT window_start) FILTER (NOT late) AS windows
+FROM y GROUP BY label_type"""
+
+
+@query("stream_metrics_late", _LATE_SQL)
+def stream_metrics_late(t):
+    """Three micro-batches; a third of the samples comes in the last one, most of them too late."""
+    samples = t.metric_samples.select("sample_id", "metric", "label_type", "timestamp", "value")
+    seconds = F.unix_micros(F.col("timestamp").cast("timestamp")) / 1e6
+    low, high = samples.agg(F.min(seconds), F.max(seconds)).first()
+    turn = F.when(F.col("sample_id") % 3 == 0, 2).otherwise(F.floor(2 * (seconds - low) / (1 + high - low)))
+    folder = scratch(t.spark, "samples")
+    for k in range(3):
+        samples.where(turn == k).coalesce(1).write.mode("append").parquet(folder)
+    stream = tables.stream_source(t.spark, folder, samples.schema, files_per_batch=1)
+    path, checkpoint = scratch(t.spark, "stream"), scratch(t.spark, "progress")
+    stateful.count_with_late(stream, ["label_type"], path, checkpoint, width_seconds=3600, delay_seconds=DAY)
+    counted = stateful.counted(t.spark.read.parquet(f"{path}/{stateful.ON_TIME}"), ["label_type"])
+    late = t.spark.read.parquet(f"{path}/{stateful.LATE}").groupBy("label_type").agg(F.count("*").alias("late"))
+    kept = counted.groupBy("label_type").agg(F.sum("n").alias("counted"), F.count("*").alias("windows"))
+    both = kept.join(late, "label_type", "full").na.fill(0, ["counted", "late", "windows"])
+    return both.select("label_type", (F.col("counted") + F.col("late")).alias("n"), "counted", "late", "windows")

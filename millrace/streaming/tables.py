@@ -56,8 +56,11 @@ def each_batch(
     transform: Callable[[DataFrame], DataFrame] = lambda batch: batch,
     mode: str = "append",
     partition_by: Sequence[str] = (),
-) -> None:
-    """Write each micro-batch to a folder of its own; a batch that is run again replaces its folder."""
+) -> dict | None:
+    """Write each micro-batch to a folder of its own; a batch that is run again replaces its folder.
+
+    Returns the progress of the last micro-batch, which tells the size of the state.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         writer = transform(batch).write.mode("overwrite")
@@ -65,14 +68,10 @@ def each_batch(
             writer = writer.partitionBy(*partition_by)
         writer.parquet(f"{path}/{BATCH}={batch_id}")
 
-    (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(write)
-        .start()
-        .awaitTermination()
-    )
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    query = writer.foreachBatch(write).start()
+    query.awaitTermination()
+    return query.lastProgress
 
 
 def newest_state(table: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -80,3 +79,26 @@ def newest_state(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     rest = [c for c in table.columns if c not in (*keys, BATCH)]
     newest = F.max_by(F.struct(*rest), F.col(BATCH)).alias("__state")
     return table.groupBy(*keys).agg(newest).select(*keys, "__state.*")
+
+
+def sliced(rows: DataFrame, time: str, path: str, slices: int, tick: float | None = None) -> DataFrame:
+    """Write ``rows`` to a folder in ``slices`` equal spans of ``time``, the oldest first, and read it as a stream of
+    that order. With ``tick`` a last file has one row of nulls whose time is that many seconds after the newest.
+
+    Micro-batches take at least one file; rows of a span may come in any order, so a watermark's delay must be at least
+    a span for none to be late.
+    """
+    at = F.unix_seconds(F.col(time).cast("timestamp"))
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    if low is not None:
+        width = (high - low) // slices + 1
+        for k in range(slices):
+            rows.where((at >= low + k * width) & (at < low + (k + 1) * width)).write.mode("append").parquet(path)
+        if tick is not None:
+            spark = rows.sparkSession
+            end = F.timestamp_seconds(F.lit(high + tick)).cast(rows.schema[time].dataType)
+            nulls = [end.alias(f.name) if f.name == time else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]
+            spark.range(1).select(*nulls).write.mode("append").parquet(path)
+    else:
+        rows.write.mode("append").parquet(path)
+    return stream_source(rows.sparkSession, path, rows.schema, files_per_batch=1)
