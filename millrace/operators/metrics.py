@@ -94,6 +94,25 @@ def histogram(samples: DataFrame, labels: Sequence[str], bounds: Sequence[float]
     )
 
 
+def sketched(samples: DataFrame, labels: Sequence[str], width: str, k: int = 1024) -> DataFrame:
+    """One KLL sketch per label tuple and window: ``metric``, labels, ``window_start``, ``sketch``.
+
+    Sketches of a few kilobytes are merged in the map tasks, so a hot label costs no more than another. Ranks are
+    within about 2.3 / k^0.9 of the true ones. Null values are left out.
+    """
+    window = F.window(F.col("timestamp"), width)["start"].alias("window_start")
+    return samples.where(F.col("value").isNotNull()).groupBy("metric", *labels, window).agg(F.kll_sketch_agg_double(F.col("value").cast("double"), F.lit(k)).alias("sketch"))
+
+
+def merged_quantiles(sketches: DataFrame, keys: Sequence[Column | str], quantiles: Sequence[float]) -> DataFrame:
+    """Quantiles of ``keys`` from their sketches alone: keys, ``n``, ``quantile``, ``value``."""
+    whole = sketches.groupBy(*keys).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+    names = [c for c in whole.columns if c != "sketch"]
+    ranks = F.array(*[F.lit(float(q)) for q in quantiles])
+    pairs = F.arrays_zip(ranks.alias("quantile"), F.kll_sketch_get_quantile_double("sketch", ranks).alias("value"))
+    return whole.select(*names, F.kll_sketch_get_n_double("sketch").alias("n"), F.inline(pairs).alias("quantile", "value"))
+
+
 def summary(samples: DataFrame, labels: Sequence[str], quantiles: Sequence[float], slice_width: float = 1.0) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per label tuple and quantile.
 

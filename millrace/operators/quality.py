@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StringType
 
@@ -61,6 +61,34 @@ def scores(df: DataFrame, columns: Sequence[str], group: Sequence[str] = ()) ->
     return score_rows(profile_rows(df, columns), len(columns), group)
 
 
+def judged_while(df: DataFrame, columns: Sequence[str], write: Callable[[DataFrame], None]) -> DataFrame:
+    """Run ``write`` on ``df`` and give the verdict on the rows it wrote, counted on the way: one scan for both.
+
+    Observed metrics count what passes the last stage, so ``write`` should do no more than write. See ``verdict``.
+    """
+    filled = reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("int") for c in columns])
+    seen = Observation()
+    write(
+        df.observe(
+            seen,
+            F.count(F.lit(1)).alias("record_count"),
+            F.coalesce(F.sum(filled), F.lit(0)).cast("long").alias("filled"),
+            F.count_if(row_accurate(df, columns)).alias("accurate"),
+        )
+    )
+    totals = seen.get
+    one = df.sparkSession.createDataFrame([tuple(totals[c] for c in ("record_count", "filled", "accurate"))], "record_count long, filled long, accurate long")
+    cells = F.col("record_count") * len(columns)
+    return verdict(
+        one.select(
+            "record_count",
+            F.try_divide("filled", cells).alias("completeness"),
+            F.try_divide("accurate", "record_count").alias("accuracy"),
+            F.try_divide(cells - F.col("filled"), cells).alias("null_percent"),
+        )
+    )
+
+
 def verdict(
     scored: DataFrame,
     min_completeness: float = MIN_COMPLETENESS,

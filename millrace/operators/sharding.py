@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -14,7 +15,8 @@ from millrace.operators import ordering
 
 @dataclass(frozen=True)
 class ShardSpec:
-    """How to shard: ``hash``, ``range`` or ``round_robin``; any other strategy means hash. ``order_by`` and ``slice_by`` serve round robin, ``bounds`` serve range."""
+    """How to shard: ``hash``, ``range``, ``round_robin`` or ``ring``; any other strategy means hash. ``order_by`` and
+    ``slice_by`` serve round robin, ``bounds`` range, ``virtual_nodes`` ring; ``consistent`` makes a ring of hash."""
 
     shards: int
     strategy: str = "hash"
@@ -23,6 +25,8 @@ class ShardSpec:
     order_by: Sequence[str] = field(default_factory=tuple)
     slice_by: Column | None = None
     metadata: dict[str, str] = field(default_factory=dict)
+    consistent: bool = False
+    virtual_nodes: int = 64
 
 
 def hash_shard(key: Column, shards: int) -> Column:
@@ -42,6 +46,35 @@ def range_shard(key: Column, bounds: Sequence[str], shards: int) -> Column:
     return placed.otherwise(F.lit(len(bounds) % shards))
 
 
+def _ring_hash(text: Column) -> Column:
+    """The first 60 bits of the MD5, a number below 2^60."""
+    return F.conv(F.substring(F.md5(text.cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def ring(shards: int, virtual_nodes: int) -> list[tuple[int, int]]:
+    """Places of the virtual nodes ``shard#number`` on the ring, in order, each with its shard."""
+    names = [(f"{s}#{v}", s) for s in range(max(shards, 1)) for v in range(max(virtual_nodes, 1))]
+    return sorted((int(hashlib.md5(name.encode()).hexdigest()[:15], 16), s) for name, s in names)
+
+
+def ring_shard(key: Column, shards: int, virtual_nodes: int = 64) -> Column:
+    """Shard of the first virtual node at or after the key's place on the ring, past the last one the first.
+
+    When a shard is added only keys that it takes over move, about one in ``shards + 1``. The ring is a constant of
+    the plan, searched by bisection; its size is the number of virtual nodes. A null key has no shard.
+    """
+    nodes = ring(shards, virtual_nodes)
+    places, owners = (F.split(F.lit(",".join(str(n[k]) for n in nodes)), ",").cast("array<long>") for k in (0, 1))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(nodes).bit_length()))])
+
+    def search(place: Column) -> Column:
+        """How many virtual nodes lie before the place."""
+        return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(places, at + step - 1) < place, step).otherwise(0))
+
+    found = F.transform(F.array(_ring_hash(key)), lambda place: F.get(owners, search(place) % len(nodes)).cast("int"))
+    return F.when(key.isNotNull(), F.get(found, F.lit(0)))
+
+
 def shard(df: DataFrame, spec: ShardSpec) -> DataFrame:
     """Add ``shard_id``, and ``shard_meta`` when the settings carry metadata."""
     shards = max(spec.shards, 1)
@@ -52,6 +85,8 @@ def shard(df: DataFrame, spec: ShardSpec) -> DataFrame:
         out = numbered.withColumn("shard_id", ((F.col("__position") - 1) % shards).cast("int")).drop("__position")
     elif spec.strategy == "range":
         out = df.withColumn("shard_id", range_shard(F.col(spec.key), spec.bounds, shards))
+    elif spec.strategy == "ring" or spec.consistent:
+        out = df.withColumn("shard_id", ring_shard(F.col(spec.key), shards, spec.virtual_nodes))
     else:
         out = df.withColumn("shard_id", hash_shard(F.col(spec.key), shards))
     if spec.metadata:

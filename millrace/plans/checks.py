@@ -11,6 +11,7 @@ from millrace.operators.validation import FieldRule, issues_text
 from millrace.operators.validators import from_settings
 from millrace.plans.registry import query
 from millrace.session import scratch
+from millrace.sources import sinks
 
 DOCUMENT_RULES = (
     FieldRule("text", required=True, type="string", min_length=200, max_length=20_000),
@@ -299,6 +300,23 @@ def dq_verdict(t):
     ).drop("errors", "warnings")
 
 
+@query(
+    "sink_with_verdict",
+    """WITH s AS (SELECT count(*) AS record_count, (count(doc_id) + count(text) + count(lang) + count(source)) / (count(*) * 4) AS completeness,
+                         count(*) FILTER (strlen(text) >= 200) / count(*) AS accuracy,
+                         (count(*) * 4 - (count(doc_id) + count(text) + count(lang) + count(source))) / (count(*) * 4) AS null_percent
+                  FROM documents)
+       SELECT s.*, completeness >= 0.8 AND accuracy >= 0.9 AS valid, record_count AS written FROM s""",
+)
+def sink_with_verdict(t):
+    """Documents are written once, and judged in the same pass."""
+    blanked = t.documents.select("doc_id", "text", F.when(F.octet_length("text") < 200, "").otherwise(F.col("lang")).alias("lang"), "source")
+    path = scratch(t.spark, "judged")
+    judged = quality.judged_while(blanked, blanked.columns, lambda rows: sinks.write(rows, path))
+    written = t.spark.read.schema(blanked.schema).parquet(path).count()
+    return judged.drop("errors", "warnings").withColumn("written", F.lit(written).cast("long"))
+
+
 @query("dq_duplicates", "SELECT p_name, p_type, count(*) AS copies FROM part GROUP BY ALL HAVING count(*) > 1")
 def dq_duplicates(t):
     return quality.duplicates(t.part, ["p_name", "p_type"])

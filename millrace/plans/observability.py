@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace.functions import dates
 from millrace.operators import logs, metrics, ordering
 from millrace.plans.registry import query
+from millrace.session import scratch
 from millrace.sources import sinks
 
 LATEST = "2024-01-30 23:59:59"
@@ -32,6 +33,40 @@ def log_query(t):
     )
 
 
+@query(
+    "log_search_stored",
+    """SELECT log_id, "timestamp", level, service, pipeline_id, message FROM logs
+       WHERE pipeline_id BETWEEN 10 AND 10 AND "timestamp" BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25 12:30:00'""",
+)
+def log_search_stored(t):
+    """A log table laid out for skipping, then a search by pipeline and time."""
+    path = scratch(t.spark, "logs")
+    logs.store(t.logs, path, ["pipeline_id", "log_id"])
+    stored = t.spark.read.parquet(path)
+    return logs.search(stored, start="2024-01-05", end="2024-01-25 12:30:00", pipeline_id=10).select(
+        "log_id", "timestamp", "level", "service", "pipeline_id", "message"
+    )
+
+
+@query(
+    "metric_quantile_rollup",
+    """SELECT label_type, CAST("timestamp" AS DATE) AS day, q.quantile, count(*) AS n, true AS near
+       FROM metric_samples, (VALUES (0.5::DOUBLE), (0.95::DOUBLE)) q(quantile) GROUP BY ALL""",
+)
+def metric_quantile_rollup(t):
+    """A day's quantiles from hourly sketches, and whether their ranks among the samples are as near as promised."""
+    hourly = metrics.sketched(t.metric_samples, ["label_type"], "1 hour")
+    day = F.to_date("window_start").alias("day")
+    found = metrics.merged_quantiles(hourly, ["label_type", day], [0.5, 0.95])
+    samples = t.metric_samples.select("label_type", F.to_date("timestamp").alias("day"), F.col("value").alias("sample"))
+    ranked = samples.join(found, ["label_type", "day"]).groupBy("label_type", "day", "quantile", "n").agg(
+        F.count_if(F.col("sample") < F.col("value")).alias("below"), F.count_if(F.col("sample") <= F.col("value")).alias("upto")
+    )
+    slack = F.col("n") * 0.01 + 1
+    near = (F.col("below") <= F.col("quantile") * F.col("n") + slack) & (F.col("upto") >= F.col("quantile") * F.col("n") - slack)
+    return ranked.select("label_type", "day", "quantile", "n", near.alias("near"))
+
+
 @query("log_level_threshold", "SELECT log_id, level FROM logs WHERE level IN ('WARN', 'ERROR', 'FATAL')")
 def log_level_threshold(t):
     spelled = t.logs.withColumn("level_text", F.when(F.col("level") == "WARN", "warning").otherwise(F.lower("level")))

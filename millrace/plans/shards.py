@@ -259,3 +259,33 @@ def function_lookup(t):
     """One step by its version, one by the first default version and one by the second."""
     steps = [registry.get("net_price", "v2"), registry.get("gross_price"), registry.get("revenue")]
     return chain(t.lineitem.select("l_returnflag", "l_extendedprice", "l_discount", "l_tax"), steps)
+
+
+def _ring_sql(shards: int) -> str:
+    return f"""SELECT CAST(s.range AS INTEGER) AS shard_id, ('0x' || substr(md5(s.range || '#' || v.range), 1, 15))::BIGINT AS place
+               FROM range({shards}) s, range(64) v"""
+
+
+def _placed_sql(shards: int) -> str:
+    return f"""SELECT k.o_orderkey, coalesce(r.shard_id, (SELECT arg_min(shard_id, place) FROM ({_ring_sql(shards)}))) AS shard_id
+               FROM (SELECT o_orderkey, ('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 15))::BIGINT AS place FROM orders) k
+               ASOF LEFT JOIN ({_ring_sql(shards)}) r ON k.place <= r.place"""
+
+
+@query("shard_ring", _placed_sql(16))
+def shard_ring(t):
+    return sharding.shard(t.orders.select("o_orderkey"), ShardSpec(16, "hash", "o_orderkey", consistent=True, virtual_nodes=64))
+
+
+@query(
+    "shard_ring_moves",
+    f"""SELECT count(*) AS keys, count(*) FILTER (a.shard_id <> b.shard_id) AS moved, count(*) FILTER (a.shard_id <> b.shard_id AND b.shard_id <> 16) AS between_old,
+               count(*) FILTER (a.shard_id <> b.shard_id) <= 1.3 / 17 * count(*) AS few
+        FROM ({_placed_sql(16)}) a JOIN ({_placed_sql(17)}) b USING (o_orderkey)""",
+)
+def shard_ring_moves(t):
+    """What moves when a seventeenth shard comes: only keys that it takes over."""
+    before, after = (sharding.ring_shard(F.col("o_orderkey"), n, 64) for n in (16, 17))
+    both = t.orders.select(before.alias("a"), after.alias("b"))
+    moved = both.agg(F.count("*").alias("keys"), F.count_if(F.col("a") != F.col("b")).alias("moved"), F.count_if((F.col("a") != F.col("b")) & (F.col("b") != 16)).alias("between_old"))
+    return moved.withColumn("few", F.col("moved") <= 1.3 / 17 * F.col("keys"))
