@@ -24,7 +24,7 @@ from millrace.llm.bloom import filled, holds
 from millrace.llm.tables import written
 
 #: Bytes of text whose grams a task counts at once; bounds memory, not what is counted.
-BLOCK = 1 << 24
+BLOCK = 1 << 23
 #: Rows of a batch that leaves a task.
 ROWS = 1 << 16
 #: Parts of a language that are ranked on their own before its best phrases meet.

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.tables import written
+from millrace.llm.tables import fresh, written
 
 #: Hexadecimal digits of the order key that name a slice of a leaf; only one slice of a leaf is ever sorted.
 _DIGITS = 3
@@ -104,8 +104,9 @@ def mixed(
     seed: int = 1,
     id_col: str = "doc_id",
     text_col: str = "text",
+    out: str = "mix",
 ) -> DataFrame:
-    """The rows of ``docs`` that the mixture takes, with a struct ``mix`` of the levels, ``tokens`` and ``epoch``.
+    """The rows of ``docs`` that the mixture takes, with a struct ``out`` (in place of a column of that name) of the levels, ``tokens`` and ``epoch``.
 
     ``levels`` names the levels of the tree from the top and gives each row's node there; ``weights`` holds each
     level's weights by name (1 if not listed; 0 takes nothing). The budget is ``share`` of all tokens, at most
@@ -118,11 +119,12 @@ def mixed(
     narrow = written(docs.select(F.col(id_col).alias("doc_id"), *ids.values(), tokens), "tokens")
     total = narrow.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first().n
     planned = plan(narrow, list(levels), weights, F.lit(int(share * total)).cast("long"), epochs, seed)
-    leaf = written(planned, "plan").select(F.struct(*levels).alias("_leaf"), F.col("full").alias("_full"), F.col("cut").alias("_cut"))
-    others = [c for c in docs.columns if c != "mix"]
-    rows = docs.withColumn("mix", F.struct(*ids.values(), tokens)).withColumn("_leaf", F.struct(*[F.col(f"mix.{n}").alias(n) for n in levels]))
-    joined = rows.join(leaf, "_leaf")
-    again = F.col("_cut").isNotNull() & (order_key(seed, F.col("_full"), F.col(id_col)) <= F.col("_cut"))
-    times = F.col("_full") + again.cast("long")
-    taken = joined.where(times > 0).withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
-    return taken.withColumn("mix", F.struct("mix.*", F.col("_epoch").alias("epoch"))).select(*others, "mix")
+    own_, leaf_, full_, cut_, epoch_ = fresh(docs, "_mix", "_leaf", "_full", "_cut", "_epoch")
+    leaf = written(planned, "plan").select(F.struct(*levels).alias(leaf_), F.col("full").alias(full_), F.col("cut").alias(cut_))
+    others = [c for c in docs.columns if c != out]
+    rows = docs.withColumn(own_, F.struct(*ids.values(), tokens)).withColumn(leaf_, F.struct(*[F.col(f"{own_}.{n}").alias(n) for n in levels]))
+    joined = rows.join(leaf, leaf_)
+    again = F.col(cut_).isNotNull() & (order_key(seed, F.col(full_), F.col(id_col)) <= F.col(cut_))
+    times = F.col(full_) + again.cast("long")
+    taken = joined.where(times > 0).withColumn(epoch_, F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
+    return taken.select(*others, F.struct(f"{own_}.*", F.col(epoch_).alias("epoch")).alias(out))

@@ -51,7 +51,8 @@ class Encoder:
     """Ids of a byte-level BPE, the same as those of ``Tokenizer.encode(text, add_special_tokens=False)``.
 
     A single space or line feed between two other characters always begins a new word of such a tokenizer, so texts
-    are cut there, each distinct unit is encoded once, and up to ``REMEMBER`` units are kept by their 64-bit hash.
+    are cut there, each distinct unit is encoded once, and up to ``REMEMBER`` units are kept by their 64-bit hash; a
+    second hash tells whether it is the same unit, and one that shares only the first is encoded by itself.
     """
 
     def __init__(self, path: str):
@@ -71,6 +72,7 @@ class Encoder:
         self.width = np.zeros(max(ranks.values()) + 1, np.int64)
         self.width[list(ranks.values())] = [len(w) for w in ranks]
         self.keys, self.begin, self.size, self.slot = (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
+        self.second = np.zeros(0, np.uint64)
         self.ids = np.zeros(0, "<u4")
 
     @functools.cached_property
@@ -120,16 +122,24 @@ class Encoder:
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], n)
         of = np.searchsorted(offsets, starts, side="right") - 1
-        keys = word_hashes(data, starts, ends, lower=False)
+        keys, second = (word_hashes(data, starts, ends, lower=False, seed=k) for k in (0, 1))
         alone = np.zeros(len(starts), bool)
         alone[np.searchsorted(starts, edges)] = True
         alone |= space[ends - 1]
         special = self._special_texts(data, offsets)
         alone |= np.isin(of, list(special))
 
-        values, first, inverse = np.unique(keys[~alone], return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, values), max(len(self.keys) - 1, 0))
-        known = self.keys[at] == values if len(self.keys) else np.zeros(len(values), bool)
+        while True:
+            values, first, inverse = np.unique(keys[~alone], return_index=True, return_inverse=True)
+            at = np.minimum(np.searchsorted(self.keys, values), max(len(self.keys) - 1, 0))
+            known = self.keys[at] == values if len(self.keys) else np.zeros(len(values), bool)
+            own = second[~alone]
+            other = own != own[first][inverse]
+            if len(self.keys):
+                other |= (known & (self.second[at] != own[first]))[inverse]
+            if not other.any():
+                break
+            alone[np.flatnonzero(~alone)[other]] = True
         begin, size, slot = np.zeros(len(values), np.int64), np.zeros(len(values), np.int64), np.zeros(len(values), np.int64)
         begin[known], size[known], slot[known] = self.begin[at[known]], self.size[at[known]], self.slot[at[known]]
         pool = self.ids
@@ -143,6 +153,7 @@ class Encoder:
                 merged = np.concatenate([self.keys, values[~known]])
                 order = np.argsort(merged, kind="stable")
                 self.keys, self.ids = merged[order], pool
+                self.second = np.concatenate([self.second, own[fresh]])[order]
                 self.begin = np.concatenate([self.begin, begin[~known]])[order]
                 self.size = np.concatenate([self.size, size[~known]])[order]
                 self.slot = np.concatenate([self.slot, slot[~known]])[order]
@@ -217,7 +228,7 @@ def _tokenised(id_col: str, text_col: str, path: str):
                         crcs.append(crc)
                     _add(
                         out, doc, whole, n - whole, n, np.array(crcs, "<u4").tobytes(), terms.astype("<u2").tobytes(),
-                        np.minimum(counts, 255).astype(np.uint8).tobytes(), int(counts.sum()), None, None,
+                        counts.astype("<u4").tobytes(), int(counts.sum()), None, None,
                     )
                 yield _batch(_ROW, out)
 
@@ -285,7 +296,7 @@ def _frequencies(batches):
 
 
 def _weights(terms, counts, n_words: int, idf: np.ndarray, mean: float) -> np.ndarray:
-    tf = np.frombuffer(counts, np.uint8).astype(np.float32)
+    tf = np.frombuffer(counts, "<u4").astype(np.float32)
     return idf[np.frombuffer(terms, "<u2")] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n_words / mean))
 
 

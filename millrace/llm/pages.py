@@ -34,73 +34,133 @@ NOT_WORDS = set(
     "pager toolbar skip copyright".split()
 )
 CONTENT = {"article", "main"}
-LISTS = {"ul", "ol", "dl", "div", "section", "table", "menu"}
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S)
+#: Blocks that may be menus: nearly all links. Lists and tables of links within the article are its own.
+MENUS = {"div", "section", "menu"}
+LISTS = MENUS | {"ul", "ol", "dl", "table"}
+#: A block with more than this share of a page's text is not set aside for its name.
+MOST = 0.75
+
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_QUOTED = re.compile(r"""((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 
 class Node:
-    __slots__ = ("tag", "marks", "role", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "hidden")
+    __slots__ = ("tag", "marks", "role", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "hidden", "depth")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
+        self.depth = parent.depth + 1 if parent else 0
         self.children: list[Node | str] = []
         self.marks: set[str] = set()
         self.role, self.hidden = "", False
 
 
+class _Open:
+    """The elements that are open, from the root to the innermost, and how deep each tag's innermost ones lie."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.depths, self.blocks, self.not_p = [root], {}, [], []
+
+    def push(self, node: Node) -> None:
+        depth = len(self.nodes)
+        self.nodes.append(node)
+        self.depths.setdefault(node.tag, []).append(depth)
+        if node.tag in BLOCK:
+            self.blocks.append(depth)
+            if node.tag != "p":
+                self.not_p.append(depth)
+
+    def close(self, tags: set[str], limit: int) -> bool:
+        """Close the innermost element of ``tags`` that lies deeper than ``limit``, with all it holds."""
+        depth = max((d[-1] for t in tags if (d := self.depths.get(t))), default=-1)
+        if depth <= limit:
+            return False
+        while len(self.nodes) > depth:
+            node = self.nodes.pop()
+            self.depths[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+                if node.tag != "p":
+                    self.not_p.pop()
+        return True
+
+    def deepest(self, tags: set[str]) -> int:
+        return max((d[-1] for t in tags if (d := self.depths.get(t))), default=0)
+
+
 def parse(source: str) -> Node:
-    """The tree of a page. Wrong nesting is mended: end tags without a start are passed over, missing ones are added."""
+    """The tree of a page, in one pass whose time grows with the page's length.
+
+    Wrong nesting is mended: end tags without a start are passed over, missing ones are added. A quote that no other
+    closes is not one, and from there on no quotes are looked for.
+    """
     root = Node("html", None)
-    top, at, end = root, 0, len(source)
+    opened, at, end = _Open(root), 0, len(source)
+    last_end, last_cdata = source.rfind(">"), source.rfind("]]>")
+    quotes, body = True, False
 
     def text(piece: str) -> None:
         if piece:
-            top.children.append(entities.unescape(piece))
-
-    def open_in(tags: set[str], limits: set[str]) -> Node | None:
-        node = top
-        while node is not root and node.tag not in limits:
-            if node.tag in tags:
-                return node
-            node = node.parent
-        return None
+            opened.nodes[-1].children.append(entities.unescape(piece))
 
     while at < end:
-        match = _TOKEN.search(source, at)
-        if match is None:
+        begin = source.find("<", at)
+        if begin < 0 or begin > last_end and not source.startswith("<!--", begin):
             text(source[at:])
             break
-        text(source[at : match.start()])
-        at = match.end()
-        if match[1] is not None:
-            top.children.append(match[1])
-        if match[3] is None:
+        text(source[at:begin])
+        if source.startswith("<!--", begin):
+            close = source.find("-->", begin + 4)
+            at = close + 3 if close >= 0 else end
+            continue
+        if source.startswith("<![CDATA[", begin) and last_cdata > begin:
+            at = source.find("]]>", begin)
+            opened.nodes[-1].children.append(source[begin + 9 : at])
+            at += 3
+            continue
+        if source[begin + 1 : begin + 2] in ("!", "?"):
+            at = source.find(">", begin) + 1
             continue
-        tag = match[3].lower()
-        if match[2]:
-            node = open_in({tag}, set() if tag in BLOCK else BLOCK)
-            if node is not None:
-                top = node.parent
+        leaves = source.startswith("/", begin + 1)
+        name = _NAME.match(source, begin + 1 + leaves)
+        if name is None:
+            text("<")
+            at = begin + 1
             continue
-        if tag in CLOSES_P and (p := open_in({"p"}, BLOCK - {"p"})) is not None:
-            top = p.parent
-        while tag in SELF_CLOSING and (old := open_in(*SELF_CLOSING[tag])) is not None:
-            top = old.parent
+        whole = _QUOTED.match(source, name.end()) if quotes else None
+        if whole is None:
+            quotes = False
+            at = source.find(">", name.end()) + 1
+            attributes = source[name.end() : at - 1]
+        else:
+            at, attributes = whole.end(), whole[1]
+        tag = name[0].lower()
+        if leaves:
+            opened.close({tag}, 0 if tag in BLOCK or not opened.blocks else opened.blocks[-1])
+            continue
+        if tag in CLOSES_P:
+            opened.close({"p"}, opened.not_p[-1] if opened.not_p else 0)
+        if tag in SELF_CLOSING:
+            ends, limits = SELF_CLOSING[tag]
+            while opened.close(ends, opened.deepest(limits)):
+                pass
         if tag in ("html", "body"):
-            if tag == "body" and not any(isinstance(c, Node) and c.tag == "body" for c in root.children):
-                top = Node("body", root)
-                root.children.append(top)
+            if tag == "body" and not body:
+                body = True
+                opened.close(set(opened.depths), 0)
+                opened.push(Node("body", root))
+                root.children.append(opened.nodes[-1])
             continue
+        top = opened.nodes[-1]
         new = Node(tag, top)
-        _attributes(new, match[4])
+        _attributes(new, attributes)
         top.children.append(new)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
             at = close.end() if close else end
-        elif tag not in VOID and not match[4].rstrip().endswith("/"):
-            top = new
+        elif tag not in VOID and not attributes.rstrip().endswith("/"):
+            opened.push(new)
     return root
 
 
@@ -119,23 +179,45 @@ def _attributes(node: Node, source: str) -> None:
         node.hidden = True
 
 
-def _dropped(node: Node, in_content: bool) -> bool:
+def _dropped(node: Node, in_content: bool, titled: set[Node]) -> bool:
+    """Elements that are never text of the article, by tag, role or being hidden."""
     if node.tag in NOT_TEXT or node.hidden or node.role in NOT_ROLES:
         return True
-    if node.tag == "header":
-        return not in_content
-    return node.tag not in CONTENT and node.tag not in ("html", "body") and bool(node.marks & NOT_WORDS)
+    return node.tag == "header" and not in_content and (node.parent.tag in ("html", "body") or node not in titled)
 
 
 def _prune(root: Node) -> None:
+    titled: set[Node] = set()  # nodes with a title below them
+    for node in reversed(_in_order(root)):
+        if node.tag == "h1" or node in titled:
+            titled.add(node.parent)
     todo = [(root, False)]
     while todo:
         node, inside = todo.pop()
         inside = inside or node.tag in CONTENT
-        node.children = [c for c in node.children if isinstance(c, str) or not _dropped(c, inside)]
+        node.children = [c for c in node.children if isinstance(c, str) or not _dropped(c, inside, titled)]
         todo += [(c, inside) for c in node.children if isinstance(c, Node)]
 
 
+def _set_aside(root: Node) -> None:
+    """Take out blocks whose class or id names a notice, advert, menu or comments, unless the page says otherwise.
+
+    A word proves little: a block stays if it holds an ``article``, ``main`` or ``h1`` that is not itself so named, or
+    more than ``MOST`` of the text that isn't links, and an inline element always stays. Expects measured nodes.
+    """
+    nodes = _in_order(root)
+    holds = set()
+    for node in reversed(nodes):
+        if node.tag in CONTENT | {"h1"} and not node.marks & NOT_WORDS or any(isinstance(c, Node) and c in holds for c in node.children):
+            holds.add(node)
+    text = root.chars - root.link_chars
+    for node in nodes:
+        node.children = [
+            c for c in node.children
+            if isinstance(c, str) or c.tag not in BLOCK or not c.marks & NOT_WORDS or c in holds or c.chars - c.link_chars > MOST * text
+        ]
+
+
 def _in_order(root: Node) -> list[Node]:
     """Every node, parents first."""
     out, todo = [], [root]
@@ -168,8 +250,8 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
-def _is_menu(node: Node) -> bool:
-    return node.tag in LISTS and node.link_tags >= 2 and node.link_chars > 0.6 * node.chars
+def _is_menu(node: Node, tags: set[str] = LISTS) -> bool:
+    return node.tag in tags and node.link_tags >= 2 and node.link_chars > 0.6 * node.chars
 
 
 def _blocks(node: Node, out: list[list[str]]) -> None:
@@ -183,7 +265,7 @@ def _blocks(node: Node, out: list[list[str]]) -> None:
             out.append([])
         elif item.tag == "br":
             out[-1].append(" ")
-        elif not _is_menu(item) or item is node:
+        elif not _is_menu(item, MENUS) or item is node:
             if item.tag in BLOCK:
                 out.append([])
                 todo.append((item, True))
@@ -200,6 +282,8 @@ def main_text(source: str | None) -> str:
         return ""
     root = parse(source)
     _prune(root)
+    measure(root)
+    _set_aside(root)
     nodes = measure(root)
     blocks = [n for n in nodes if n.tag in BLOCK]
     best = max(blocks, key=lambda n: n.total, default=root)
@@ -241,7 +325,7 @@ def _extracted(html_col: str):
 def extracted(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:
     """The columns ``keep`` of each page, ``text`` (its main text, empty if there is none) and ``n_chars`` (code points).
 
-    Null and empty pages give an empty text; markup may be broken in any way; equal pages give equal texts.
+    Null and empty pages give an empty text; time grows with the length of a page; markup may be broken in any way; equal pages give equal texts.
     """
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "text string", "n_chars long"])

@@ -124,10 +124,12 @@ def _fit(grade: np.ndarray, row: np.ndarray, slot: np.ndarray, share: np.ndarray
     return OrdinalModel(value[:SLOTS].copy(), value[SLOTS] + np.concatenate([[0], np.cumsum(gaps)]))
 
 
-def graded(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", keep_grade: int = 1, least: float = 0.5) -> DataFrame:
+def graded(
+    docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", keep_grade: int = 1, least: float = 0.5, out: str = "quality"
+) -> DataFrame:
     """Expected grade and tail probabilities of each row of ``docs``, from its whole text.
 
-    Returns the columns of ``docs`` and a struct ``quality``: ``expected`` grade, ``tails`` (P(grade >= 1),
+    Returns the columns of ``docs`` and a struct ``out`` (in place of a column of that name): ``expected`` grade, ``tails`` (P(grade >= 1),
     P(grade >= 2), ...), ``keep`` (P(grade >= ``keep_grade``) is at least ``least``). Null texts and texts without words
     show nothing to grade: expected 0, tails 0, not kept.
     """
@@ -147,10 +149,10 @@ def graded(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_co
                     names=["expected", "tails", "keep"],
                 )
                 names = list(rows.schema.names)
-                place = names.index("quality") if "quality" in names else len(names)
+                place = names.index(out) if out in names else len(names)
                 columns = [*rows.columns[:place], quality, *rows.columns[place + 1 :]]
-                yield pa.RecordBatch.from_arrays(columns, names=names if place < len(names) else [*names, "quality"])
+                yield pa.RecordBatch.from_arrays(columns, names=names if place < len(names) else [*names, out])
 
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    fields["quality"] = "struct<expected:double,tails:array<double>,keep:boolean>"
+    fields[out] = "struct<expected:double,tails:array<double>,keep:boolean>"
     return docs.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in fields.items()))

@@ -31,3 +31,38 @@ def bit_set(slots: DataFrame, bits: int) -> DataFrame:
 
 def bit_test(words: Column, slot: Column) -> Column:
     return F.call_function("bit_get", F.get(words, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(63).cast("int")) == 1
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores until no column of ``df`` (whatever its case) has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", bits: int = 1 << 24) -> DataFrame:
+    """Rows of ``docs`` whose id isn't among the column ``id`` of ``dropped``; texts stay where they are read.
+
+    A filter of fixed size (2 MB) lets rows pass whose id it doesn't hold. Ids that it holds by chance get a second
+    filter: rows in the first alone are dropped. Only rows in both, a small share of a small share, are moved to be
+    joined exactly. Filters that fill up, beyond some millions of dropped ids, move more rows; the result is the same.
+    """
+    held_, kept_ = fresh(docs, "held", "kept")
+
+    def slot(column: Column | str, seed: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), column), F.lit(bits))
+
+    first = bit_set(dropped.select(slot("id", 1).alias("slot")), bits).scalar()
+    ids = docs.select(F.col(id_col).alias("id"))
+    by_chance = ids.where(bit_test(first, slot("id", 1))).join(dropped, "id", "left_anti")
+    second = bit_set(by_chance.select(slot("id", 2).alias("slot")), bits).scalar()
+    marked = docs.withColumn(held_, bit_test(first, slot(id_col, 1))).withColumn(kept_, F.col(held_) & bit_test(second, slot(id_col, 2)))
+    passed = marked.where(~F.coalesce(F.col(held_), F.lit(False)))
+    doubtful = marked.where(kept_)
+    exact = doubtful.join(dropped.select(F.col("id").alias(held_ + "_id")), doubtful[id_col] == F.col(held_ + "_id"), "left_anti")
+    return passed.select(*docs.columns).unionByName(exact.select(*docs.columns))
