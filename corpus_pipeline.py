@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.llm import exact, mixing, packing, plans, quality, sketches
-from millrace.llm.tables import load, written
+from millrace.llm.tables import fresh, load, without, written
 
 #: Share of the tokens left after deduplication that the mixture takes, each document at most once.
 SHARE = 0.8
@@ -16,28 +17,29 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model doesn't reject as junk. It is fitted on the rated documents of the table."""
     rated = load(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(rated, plans.ratings(load(spark, sf_dir, "labels")))
-    return quality.graded(docs, model).where("quality.keep").select(*docs.columns)
+    (grade,) = fresh(docs, "quality")
+    return quality.graded(docs, model, out=grade).where(f"{grade}.keep").select(*docs.columns)
 
 
-def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Rows whose id isn't among the dropped ones. Dropped ids are few, so that they, not the texts, may be moved."""
-    dropped = decisions.where("not kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+def _kept(docs: DataFrame, decisions: DataFrame, label: str) -> DataFrame:
+    """Rows whose id isn't among the dropped ones, without moving texts."""
+    return without(docs, written(decisions.where("not kept").select(F.col("doc_id").alias("id")), label))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, that of the smallest id."""
-    return _kept(docs, exact.exact_duplicates(docs))
+    return _kept(docs, exact.exact_duplicates(docs), "exact-dropped")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates: five-word shingles, similarity of 0.8 or more."""
-    return _kept(docs, sketches.near_duplicates(docs, width=5, percent=80))
+    return _kept(docs, sketches.near_duplicates(docs, width=5, percent=80), "near-dropped")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture of domains, languages and sources."""
-    return mixing.mixed(docs, plans.levels(), plans.WEIGHTS, SHARE, 1, plans.SEED).select(*docs.columns)
+    (mix_,) = fresh(docs, "mix")
+    return mixing.mixed(docs, plans.levels(), plans.WEIGHTS, SHARE, 1, plans.SEED, out=mix_).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
