@@ -393,6 +393,21 @@ def dag_cycles(t):
     return graph.cyclic_nodes(cyclic_edges(t))
 
 
+@query(
+    "dag_components",
+    f"""WITH RECURSIVE {_CYCLIC},
+        reach AS (SELECT graph, src, dst FROM e
+                  UNION SELECT r.graph, r.src, e.dst FROM reach r JOIN e ON r.graph = e.graph AND r.dst = e.src),
+        n AS (SELECT graph, src AS node FROM e UNION SELECT graph, dst FROM e),
+        mutual AS (SELECT a.graph, a.src AS node, a.dst AS other FROM reach a JOIN reach b ON a.graph = b.graph AND a.src = b.dst AND a.dst = b.src),
+        c AS (SELECT n.graph, n.node, least(n.node, coalesce(min(mutual.other), n.node)) AS component, count(mutual.other) > 0 AS cyc
+              FROM n LEFT JOIN mutual ON n.graph = mutual.graph AND n.node = mutual.node GROUP BY n.graph, n.node)
+        SELECT graph, component, count(*) AS nodes, bool_or(cyc) AS is_cycle FROM c GROUP BY graph, component""",
+)
+def dag_components(t):
+    return graph.components(cyclic_edges(t))
+
+
 @query(
     "dag_levels",
     """WITH RECURSIVE e AS (SELECT graph, src, dst FROM acyclic_edges
