@@ -104,8 +104,8 @@ def _peeled(edges: DataFrame) -> tuple[DataFrame, int]:
     return levels.where("came = ins").select(*_NODE, "level"), number
 
 
-def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(graph, node, level)``: the longest distance from a source. Nodes on or below a cycle have none."""
+def _placed(edges: DataFrame) -> DataFrame:
+    """``(graph, node, level)`` of the nodes of edges that an order can place."""
     short = shortened(edges)
     levels, _ = _peeled(short.edges)
     # A node within a chain lies as far below the chain's entry as its end does, less its distance to the end.
@@ -114,15 +114,19 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     entered = whole.join(into, ["graph", "dst"]).join(levels.withColumnRenamed("node", "src"), ["graph", "src"])
     begun = entered.select("graph", "last", (F.col("level") + F.col("whole") + 1).alias("end"))
     within = short.inside.join(begun, ["graph", "last"]).select(*_NODE, (F.col("end") - F.col("len")).alias("level"))
-    placed = levels.unionByName(within).select(*_NODE, F.col("level").cast("int").alias("level"))
-    alone = nodes.select(*_NODE).distinct().join(_ends(edges), _NODE, "left_anti").withColumn("level", F.lit(0))
-    return placed.unionByName(alone)
+    return levels.unionByName(within).select(*_NODE, F.col("level").cast("int").alias("level"))
+
+
+def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(graph, node, level)``: the longest distance from a source. Nodes on or below a cycle have none: null."""
+    ends = _ends(edges)
+    alone = nodes.select(*_NODE).distinct().join(ends, _NODE, "left_anti").withColumn("level", F.lit(0))
+    return ends.join(_placed(edges), _NODE, "left").select(*_NODE, "level").unionByName(alone)
 
 
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
     """``(graph, node)`` of the nodes that no order can place: those on a cycle or below one."""
-    placed = topological_levels(edges.select("graph", F.col("src").alias("node")).limit(0), edges)
-    return _ends(edges).join(placed, _NODE, "left_anti")
+    return _ends(edges).join(_placed(edges), _NODE, "left_anti")
 
 
 def components(edges: DataFrame) -> DataFrame:
