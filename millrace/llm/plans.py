@@ -144,7 +144,7 @@ WITH known AS (SELECT sha256({_canonical_sql('text')}) AS digest, min(licence) A
 d AS (SELECT doc_id, CASE WHEN {_canonical_sql('text')} <> '' THEN sha256({_canonical_sql('text')}) END AS digest, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line FROM d),
 n AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices FROM l JOIN known ON sha256({_canonical_sql('line')}) = known.digest
-      WHERE regexp_matches(lower(line), 'licen[cs]e|copying|spdx') GROUP BY doc_id)
+      GROUP BY doc_id)
 SELECT d.doc_id, d.digest, known.licence, coalesce(n.notices, '') AS notices
 FROM d LEFT JOIN known ON d.digest = known.digest LEFT JOIN n ON d.doc_id = n.doc_id"""
 

@@ -193,6 +193,22 @@ def test_licences(spark):
     assert found == {1: ("MIT", ""), 2: (None, "MIT"), 3: (None, ""), 4: (None, "")}
 
 
+def test_every_known_text_and_line_is_found(spark):
+    """Whole texts with another owner, case and wrapping; lines of a list given as a table, whatever words they hold."""
+    reflow = lambda text: text.upper().replace("\n", "\r\n").replace(". ", ".\n    ").replace("<YEAR>", "2001")
+    docs = [(n, reflow(text)) for n, text in enumerate(licences.LICENCES.values())]
+    docs += [(n + 100, "Preface\n" + text) for n, text in docs] + [(300, "a\n * This work is in the public domain.\nb"), (301, "\n\n"), (302, "public domain")]
+    table = licences.known(spark).unionByName(spark.createDataFrame([("PD", "This work is in the public domain."), ("none", "--")], "licence string, text string"))
+    rows = licences.scan(spark.createDataFrame(docs, "doc_id long, text string"), table).collect()
+    found = {r.doc_id: (r.licence, r.notices) for r in rows}
+    assert len(rows) == len(docs)
+    assert [found[n][0] for n in range(len(licences.LICENCES))] == list(licences.LICENCES)
+    assert all(found[n + 100][0] is None for n in range(len(licences.LICENCES)))
+    assert (found[300], found[301], found[302]) == ((None, "PD"), (None, ""), (None, ""))
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert licences.scan(empty, table).count() == 0
+
+
 def test_urls(spark):
     at = lambda h: f"2024-01-01 {h:02d}:00:00"
     captures = spark.createDataFrame(
