@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import dates
-from millrace.operators import logs, metrics, ordering
+from millrace.operators import logs, metrics, ordering, rollover
 from millrace.plans.registry import query
 from millrace.session import scratch
 from millrace.sources import sinks
@@ -139,6 +139,29 @@ def log_retention(t):
     return logs.retained(t.logs.select("log_id", "timestamp"), "2024-02-10", 30)
 
 
+@query(
+    "log_rollover",
+    """WITH RECURSIVE r AS (
+           SELECT CAST("timestamp" AS DATE) AS day, "timestamp" AS ts, log_id, strlen(message) + 1 AS size,
+                  CAST(sum(strlen(message) + 1) OVER w AS BIGINT) - strlen(message) - 1 AS before, row_number() OVER w AS place
+           FROM logs WINDOW w AS (PARTITION BY CAST("timestamp" AS DATE) ORDER BY "timestamp", log_id)),
+       s AS (SELECT day, before AS opened FROM r WHERE place = 1
+             UNION ALL
+             SELECT s.day, min(r.before) FROM s JOIN r ON r.day = s.day AND r.before >= s.opened + 500 GROUP BY s.day),
+       g AS (SELECT day, opened, lead(opened) OVER w AS closed, row_number() OVER w AS segment
+             FROM s WINDOW w AS (PARTITION BY day ORDER BY opened))
+       SELECT g.day, g.segment, arg_min(ts, place) AS first_timestamp, arg_min(log_id, place) AS first_log_id,
+              arg_max(ts, place) AS last_timestamp, arg_max(log_id, place) AS last_log_id, count(*) AS entries,
+              CAST(sum(size) AS BIGINT) AS bytes
+       FROM g JOIN r ON r.day = g.day AND r.before >= g.opened AND (g.closed IS NULL OR r.before < g.closed)
+       GROUP BY g.day, g.segment""",
+)
+def log_rollover(t):
+    """Segments of a day or of 500 bytes, a line feed counted with every message."""
+    size = F.octet_length("message") + 1
+    return rollover.rollover(t.logs, 500, size, ["timestamp", "log_id"], ordering.time_slice("timestamp"))
+
+
 @query(
     "worker_liveness",
     f"""WITH b AS (SELECT * FROM heartbeats
