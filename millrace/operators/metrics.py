@@ -51,35 +51,34 @@ def gauge(samples: DataFrame, labels: Sequence[str], order_by: Sequence[str], sl
     """Current value per label tuple: the last set value plus the steps after it.
 
     ``samples`` has ``op`` (``set``, ``inc`` or ``dec``) and ``value``; ``slice_by`` grows with the order.
-    Steps in slices after that of the last set are added up before the shuffle. Only the slice of the last
-    set is looked at row by row, so a hot label tuple does not meet in one task.
+    One pass finds the last set and the sum of the steps of every slice; of a label tuple only slices meet in a task.
+    A second pass looks at the rows of the last set's slice.
     """
     keys = ["metric", *labels]
     is_set = F.col("op") == "set"
     placed = samples.withColumns({"__at": F.struct(*order_by), "__slice": slice_by})
-    last = (
-        placed.where(is_set)
+    step = F.when(F.col("op") == "dec", -F.col("value")).otherwise(F.col("value")).cast("decimal(28,6)")
+    slices = placed.groupBy(*keys, "__slice").agg(
+        F.max(F.when(is_set, F.struct("__at", "value"))).alias("__set"), F.sum(F.when(~is_set, step)).alias("__step")
+    )
+    set_in = F.when(F.col("__set").isNotNull(), F.struct(F.col("__slice").alias("slice"), "__set"))
+    last = F.max(set_in).over(Window.partitionBy(*keys))
+    later = F.col("__last").isNull() | (F.col("__slice") > F.col("__last.slice"))
+    totals = (
+        slices.withColumn("__last", last)
         .groupBy(*keys)
-        .agg(F.max(F.struct("__at", F.col("__slice").alias("slice"), "value")).alias("__last"))
+        .agg(F.max("__last").alias("__last"), F.sum(F.when(later, F.col("__step"))).alias("__later"))
     )
-    step = F.when(F.col("op") == "dec", -F.col("value")).otherwise(F.col("value"))
-    steps = placed.where(~is_set).select(*keys, "__at", "__slice", step.cast("decimal(28,6)").alias("__step"))
-
-    sums = steps.groupBy(*keys, "__slice").agg(F.sum("__step").alias("__step"))
-    later = sums.join(last, keys, "left").where(
-        F.col("__last").isNull() | (F.col("__slice") > F.col("__last.slice"))
+    at_last = totals.where("__last IS NOT NULL").select(
+        *keys, F.col("__last.slice").alias("__slice"), F.col("__last.__set.__at").alias("__set_at")
     )
-    at_last = last.select(*keys, F.col("__last.slice").alias("__slice"), F.col("__last.__at").alias("__set_at"))
+    steps = placed.where(~is_set).select(*keys, "__at", "__slice", step.alias("__step"))
     same = steps.join(at_last, [*keys, "__slice"]).where(F.col("__at") > F.col("__set_at"))
-    deltas = (
-        later.select(*keys, "__step")
-        .unionByName(same.select(*keys, "__step").groupBy(*keys).agg(F.sum("__step").alias("__step")))
-        .groupBy(*keys)
-        .agg(F.sum("__step").cast("double").alias("__delta"))
-    )
-    value = F.coalesce(F.col("__last.value"), F.lit(0.0)) + F.coalesce(F.col("__delta"), F.lit(0.0))
-    every = placed.select(*keys).distinct()
-    return every.join(last, keys, "left").join(deltas, keys, "left").select(*keys, value.alias("value"))
+    within = same.groupBy(*keys).agg(F.sum("__step").alias("__same"))
+    nothing = F.lit(0).cast("decimal(38,6)")
+    moved = (F.coalesce(F.col("__later"), nothing) + F.coalesce(F.col("__same"), nothing)).cast("double")
+    value = F.coalesce(F.col("__last.__set.value"), F.lit(0.0)) + moved
+    return totals.join(within, keys, "left").select(*keys, value.alias("value"))
 
 
 def histogram(samples: DataFrame, labels: Sequence[str], bounds: Sequence[float] = DEFAULT_BOUNDS) -> DataFrame:
@@ -190,21 +189,14 @@ def summary_accuracy(
     return placed.select(*keys, "n", "__row.*").withColumn("within", within)
 
 
-def function_rates(
-    tasks: DataFrame, executions: DataFrame, functions: DataFrame, per_node: bool = False
-) -> DataFrame:
-    """Executions, success and failure rate, mean duration and items per function type and pipeline.
-
-    With ``per_node`` per node as well. Tasks are added up per function before they meet the functions, so a
-    function that most tasks use brings few rows to its type.
-    """
-    node = ["node_id"] if per_node else []
+def function_totals(tasks: DataFrame, executions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Tasks, outcomes, time and items added up per function, pipeline and the columns ``by`` of the tasks."""
     pipelines = executions.select(F.col("id").alias("execution_id"), "pipeline_id")
-    joined = tasks.select("execution_id", "function_id", *node, "status", "start_time", "end_time", "items").join(
+    joined = tasks.select("execution_id", "function_id", *by, "status", "start_time", "end_time", "items").join(
         pipelines, "execution_id"
     )
     micros = F.unix_micros(F.col("end_time").cast("timestamp")) - F.unix_micros(F.col("start_time").cast("timestamp"))
-    counted = joined.groupBy("function_id", "pipeline_id", *node).agg(
+    return joined.groupBy("function_id", "pipeline_id", *by).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("status") == "completed").alias("completed"),
         F.count_if(F.col("status") == "failed").alias("failed"),
@@ -212,6 +204,18 @@ def function_rates(
         F.count(micros).alias("timed"),
         F.sum("items").alias("items"),
     )
+
+
+def function_rates(
+    tasks: DataFrame, executions: DataFrame, functions: DataFrame, per_node: bool = False
+) -> DataFrame:
+    """Executions, success and failure rate, mean duration and items per function type and pipeline.
+
+    With ``per_node`` per node as well. Tasks are added up per function before they meet the functions, so a
+    function that most tasks use brings few rows to its type.
+    """
+    node = ["node_id"] if per_node else []
+    counted = function_totals(tasks, executions, node)
     typed = counted.join(functions.select(F.col("id").alias("function_id"), "type"), "function_id")
     return typed.groupBy("type", "pipeline_id", *node).agg(
         F.sum("n").alias("executions"),
@@ -222,6 +226,49 @@ def function_rates(
     )
 
 
+def function_families(tasks: DataFrame, executions: DataFrame, functions: DataFrame) -> DataFrame:
+    """Samples of the function families ``(metric, function_name, pipeline_id, node_id, value)``.
+
+    Counters are per node; the three rates are per pipeline and have a null node. Without a finished task there is no
+    mean duration and no sample of it. Tasks are read and shuffled once, the rates come from the nodes' totals.
+    """
+    sums = ("n", "completed", "failed", "micros", "timed", "items")
+    named = function_totals(tasks, executions, ["node_id"]).join(
+        functions.select(F.col("id").alias("function_id"), F.col("name").alias("function_name")), "function_id"
+    )
+    nodes = named.groupBy("function_name", "pipeline_id", "node_id").agg(*[F.sum(c).alias(c) for c in sums])
+
+    def samples(totals: DataFrame, node: Column, values: dict[str, Column]) -> DataFrame:
+        rows = F.array(*[F.struct(F.lit(m).alias("metric"), v.cast("double").alias("value")) for m, v in values.items()])
+        exploded = totals.select("function_name", "pipeline_id", node.alias("node_id"), F.explode(rows).alias("__row"))
+        return exploded.select("__row.metric", "function_name", "pipeline_id", "node_id", "__row.value").where("value IS NOT NULL")
+
+    counters = samples(
+        nodes, F.col("node_id"), {"function_execution_count": F.col("n"), "function_throughput": F.col("items")}
+    )
+    pipelines = nodes.groupBy("function_name", "pipeline_id").agg(*[F.sum(c).alias(c) for c in sums])
+    rates = {
+        "function_success_rate": F.col("completed") / F.col("n"),
+        "function_failure_rate": F.col("failed") / F.col("n"),
+        "function_avg_duration_seconds": F.try_divide("micros", "timed") / F.lit(1_000_000),
+    }
+    return counters.unionByName(samples(pipelines, F.lit(None).cast(nodes.schema["node_id"].dataType), rates))
+
+
+def node_families(tasks: DataFrame, executions: DataFrame) -> DataFrame:
+    """Samples of the node families ``(metric, node_id, pipeline_id, value)``: running tasks, and 1 for a node that has any."""
+    pipelines = executions.select(F.col("id").alias("execution_id"), "pipeline_id")
+    running = tasks.select("execution_id", "node_id", "status").join(pipelines, "execution_id").groupBy("node_id", "pipeline_id").agg(
+        F.count_if(F.col("status") == "running").cast("double").alias("running")
+    )
+    status = F.when(F.col("running") > 0, 1.0).otherwise(0.0)
+    rows = F.array(
+        F.struct(F.lit("node_tasks_running").alias("metric"), F.col("running").alias("value")),
+        F.struct(F.lit("node_status").alias("metric"), status.alias("value")),
+    )
+    return running.select("node_id", "pipeline_id", F.explode(rows).alias("__row")).select("__row.metric", "node_id", "pipeline_id", "__row.value")
+
+
 def pipeline_families(executions: DataFrame) -> DataFrame:
     """Samples of the pipeline families ``(metric, pipeline_id, status, value)`` from executions, one shuffle."""
     counts = executions.groupBy("pipeline_id", "status").agg(F.count(F.lit(1)).cast("double").alias("value"))

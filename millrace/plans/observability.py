@@ -314,6 +314,36 @@ def function_rates(t):
     return metrics.function_rates(t.tasks, t.executions, t.functions)
 
 
+@query(
+    "metric_function_families",
+    """WITH k AS (SELECT f.name AS function_name, e.pipeline_id, k.node_id, k.status, k.items,
+                         epoch_us(k.end_time) - epoch_us(k.start_time) AS micros
+                  FROM tasks k JOIN executions e ON k.execution_id = e.id JOIN functions f ON k.function_id = f.id),
+            n AS (SELECT function_name, pipeline_id, node_id, count(*) AS n, sum(items) AS items FROM k GROUP BY ALL),
+            p AS (SELECT function_name, pipeline_id, count(*) FILTER (status = 'completed') / count(*) AS good,
+                         count(*) FILTER (status = 'failed') / count(*) AS bad, sum(micros) / count(micros) / 1000000 AS mean
+                  FROM k GROUP BY ALL)
+       SELECT 'function_execution_count' AS metric, function_name, pipeline_id, node_id, CAST(n AS DOUBLE) AS value FROM n
+       UNION ALL SELECT 'function_throughput', function_name, pipeline_id, node_id, CAST(items AS DOUBLE) FROM n
+       UNION ALL SELECT 'function_success_rate', function_name, pipeline_id, NULL, good FROM p
+       UNION ALL SELECT 'function_failure_rate', function_name, pipeline_id, NULL, bad FROM p
+       UNION ALL SELECT 'function_avg_duration_seconds', function_name, pipeline_id, NULL, mean FROM p WHERE mean IS NOT NULL""",
+)
+def metric_function_families(t):
+    return metrics.function_families(t.tasks, t.executions, t.functions)
+
+
+@query(
+    "metric_node_families",
+    """WITH n AS (SELECT k.node_id, e.pipeline_id, CAST(count(*) FILTER (k.status = 'running') AS DOUBLE) AS running
+                  FROM tasks k JOIN executions e ON k.execution_id = e.id GROUP BY ALL)
+       SELECT 'node_tasks_running' AS metric, node_id, pipeline_id, running AS value FROM n
+       UNION ALL SELECT 'node_status', node_id, pipeline_id, CASE WHEN running > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FROM n""",
+)
+def metric_node_families(t):
+    return metrics.node_families(t.tasks, t.executions)
+
+
 @query(
     "metric_window",
     """SELECT time_bucket(INTERVAL 10 SECOND, "timestamp") AS window_start, metric, label_type, count(*) AS n,
