@@ -11,7 +11,7 @@ from millrace.plans.registry import query
 from millrace.plans.views import TASK_COLUMNS
 from millrace.session import scratch
 from millrace.sources import sinks
-from millrace.streaming import jobs, stateful, tables
+from millrace.streaming import compaction, jobs, stateful, tables
 
 
 def stream_of(t, name: str):
@@ -95,6 +95,20 @@ def stream_liveness(t):
     return metrics.liveness(tables.newest_state(states, ["worker_id"]), LATEST, offline_seconds=43_200)
 
 
+@query(
+    "stream_liveness_compacted",
+    """SELECT worker_id, arg_max("timestamp", ("timestamp", beat_id)) AS "timestamp", arg_max(status, ("timestamp", beat_id)) AS status
+       FROM heartbeats GROUP BY worker_id""",
+)
+def stream_liveness_compacted(t):
+    """Last beats from six micro-batches, the first five of them folded into a base."""
+    beats = tables.sliced(t.heartbeats, "timestamp", scratch(t.spark, "beats"), 6)
+    path, checkpoint = scratch(t.spark, "stream"), scratch(t.spark, "progress")
+    jobs.track_liveness(beats, path, checkpoint)
+    compaction.compact(t.spark, path, ["worker_id"])
+    return compaction.stored_state(t.spark, path, ["worker_id"]).select("worker_id", "timestamp", "status")
+
+
 @query(
     "stream_dlq",
     """SELECT doc_id, CASE WHEN strlen(text) < 200 OR lang NOT IN ('de', 'en') THEN 'quarantine' ELSE 'main' END AS side,
