@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import values
@@ -111,6 +114,56 @@ def json_ingest(t):
     return records.ingest(raw, "raw", "k BIGINT").select("event_id", F.col("record.k").alias("k"), "malformed")
 
 
+@query(
+    "json_documents",
+    """WITH x AS (
+           SELECT 'dead_letter' AS kind, event_id AS key, event_type AS a, props AS b, user_id % 1000 AS n, ts AS stamp FROM events
+           UNION ALL SELECT 'file_content', doc_id, 'doc-' || doc_id, sha256(text), strlen(text), NULL FROM documents
+           UNION ALL SELECT 'data_record', p_partkey, p_name, CAST(p_size AS VARCHAR), 1, NULL FROM part
+           UNION ALL SELECT 'definition', p_partkey, p_name, 'sink', p_size, NULL FROM part)
+       SELECT kind, key, CASE WHEN key % 5 <> 0 THEN a END AS a, CASE WHEN key % 5 <> 0 THEN b END AS b,
+              CASE WHEN key % 5 <> 0 THEN CAST(n AS BIGINT) END AS n, CASE WHEN key % 5 <> 0 THEN stamp END AS stamp,
+              key % 5 = 0 AS malformed FROM x""",
+)
+def json_documents(t):
+    """The platform's four kinds of JSON documents; every fifth has lost its last brace."""
+
+    def ingested(rows, key, fields, schema, a, b, n, at=None):
+        whole = F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
+        cut = F.when(F.col(key) % 5 == 0, F.substring(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole)
+        read = records.ingest(rows.select(F.col(key).cast("bigint").alias("key"), cut.alias("raw")), "raw", schema)
+        at = F.lit(None) if at is None else F.col(at)
+        return read.select("key", a.alias("a"), b.alias("b"), n.cast("bigint").alias("n"), at.cast("timestamp_ntz").alias("stamp"), "malformed")
+
+    text = lambda name: F.col(name).cast("string")
+    tags = F.create_map(F.lit("type"), F.col("event_type"))
+    time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    letters = {"id": text("event_id"), "payload": F.col("props"), "metadata": tags, "timestamp": time, "retry_count": F.col("user_id") % 1000}
+    name = F.concat(F.lit("doc-"), F.col("doc_id"))
+    files = {"path": F.concat(F.lit("/docs/"), name), "name": name, "size": F.octet_length("text"), "content": F.col("text"), "compressed": F.lit(False)}
+    kind = F.create_map(F.lit("type"), F.col("p_type"))
+    data = {"id": text("p_partkey"), "name": F.col("p_name"), "data_type": F.lit("int"), "value": text("p_size"), "metadata": kind}
+    node = lambda id_, name, after: F.struct(F.lit(id_).alias("id"), name.alias("name"), kind.alias("config"), after.alias("depends_on"))
+    nothing = F.array().cast("array<string>")
+    graph = {
+        "nodes": F.array(node("source", F.lit("read"), nothing), node("sink", F.col("p_name"), F.array(F.lit("source")))),
+        "edges": F.array(F.struct(F.lit("source").alias("from"), F.lit("sink").alias("to"))),
+        "execution": F.struct(F.col("p_size").alias("parallelism"), F.struct(F.lit(3).alias("maxRetries")).alias("retryPolicy")),
+    }
+    record = F.col("record")
+    steps = record["nodes"]
+    kinds = {
+        "dead_letter": ingested(t.events, "event_id", letters, records.DEAD_LETTER, record["metadata"]["type"], record["payload"], record["retry_count"], "record.timestamp"),
+        "file_content": ingested(t.documents, "doc_id", files, records.FILE_CONTENT, record["name"], F.sha2(record["content"], 256), record["size"]),
+        "data_record": ingested(t.part, "p_partkey", data, records.DATA_RECORD, record["name"], record["value"], F.when(~F.col("malformed"), F.size(record["metadata"]))),
+        "definition": ingested(
+            t.part, "p_partkey", graph, records.DEFINITION, F.try_element_at(F.filter(steps, lambda x: F.array_contains(x["depends_on"], "source")), F.lit(1))["name"],
+            F.try_element_at(record["edges"], F.lit(1))["to"], record["execution"]["parallelism"],
+        ),
+    }
+    return reduce(DataFrame.unionByName, [rows.withColumn("kind", F.lit(kind)) for kind, rows in kinds.items()])
+
+
 @query("sink_roundtrip", "SELECT event_id, user_id, event_type, value, props FROM events")
 def sink_roundtrip(t):
     path = scratch(t.spark, "sink")
