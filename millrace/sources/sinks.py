@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # Codec names a user may give, as (name, Spark name), and the allowed batch sizes.
 CODECS = {"none": "uncompressed", "": "uncompressed", "gzip": "gzip", "gz": "gzip", "lz4": "lz4", "zstd": "zstd"}
 BATCH_SIZES = range(1, 10_001)
+#: Spark's csv writer takes white space off both ends of a value unless told not to.
+KEEP_SPACE = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 SINK_FORMATS = ("parquet", "csv", "json", "text", "orc")
 
 
@@ -45,7 +47,7 @@ def write(
     if batch_size is not None:
         writer = writer.option("maxRecordsPerFile", batch_size)
     if file_format == "csv":
-        writer = writer.option("header", "true").option("escape", '"')
+        writer = writer.option("header", "true").option("escape", '"').options(**KEEP_SPACE)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
@@ -78,7 +80,7 @@ def log_lines(logs: DataFrame, file_format: str) -> DataFrame:
     elif file_format == "csv":
         names = ("level", "service", "task_id", "pipeline_id", "node_id", "message")
         fields = [F.coalesce(F.col(n).cast("string"), F.lit("")).alias(n) for n in names]
-        line = F.to_csv(F.struct(stamp.alias("timestamp"), *fields), {"escape": '"', "emptyValue": ""})
+        line = F.to_csv(F.struct(stamp.alias("timestamp"), *fields), {"escape": '"', "emptyValue": "", **KEEP_SPACE})
     else:
         raise ValueError(f"unknown log format {file_format!r}")
     return logs.select(line.alias("line"))
