@@ -8,7 +8,7 @@ from millrace.functions import dates
 from millrace.operators import logs, metrics, ordering, rollover
 from millrace.plans.registry import query
 from millrace.session import scratch
-from millrace.sources import sinks
+from millrace.sources import sinks, tables
 
 LATEST = "2024-01-30 23:59:59"
 
@@ -101,6 +101,18 @@ def log_export_json(t):
     return sinks.log_lines(t.logs.select("timestamp", "level", "service"), "json")
 
 
+@query("datasource_scan", """SELECT log_id AS task_id, "timestamp", level, service, message FROM logs WHERE level <> 'DEBUG'""")
+def datasource_scan(t):
+    """Exported lines read back by a table source of user code, in ranges of 256 kB."""
+    path = scratch(t.spark, "lines")
+    names = ["timestamp", "level", "service", F.col("log_id").alias("task_id"), "pipeline_id", "node_id", "message"]
+    sinks.export_logs(t.logs.select(*names), path)
+    tables.register(t.spark)
+    wanted = "task_id string, timestamp timestamp_ntz, level string, service string, message string"
+    back = t.spark.read.format(tables.FORMAT).option("rangeBytes", 256 << 10).schema(wanted).load(path)
+    return back.where("level <> 'DEBUG'").withColumn("task_id", F.col("task_id").cast("bigint"))
+
+
 @query(
     "log_facets",
     """SELECT pipeline_id, node_id, service, level, count(*) AS entries FROM logs
