@@ -188,13 +188,17 @@ def stream_totals(df: DataFrame, payload: str, *keys: str) -> DataFrame:
     )
 
 
-def batch_totals(df: DataFrame, payload: str, order_by: str, slice_by: Column, batch_size: int = BATCH_RECORDS) -> DataFrame:
+def batch_totals(
+    df: DataFrame, payload: str, order_by: str, slice_by: Column | None = None, batch_size: int = BATCH_RECORDS
+) -> DataFrame:
     """Records and bytes of each batch: payloads of ``batch_size`` records in order and one frame.
 
-    The last batch may be short.
+    The last batch may be short. Without ``slice_by`` the slices follow the sizes that a first job observes, so
+    scattered and crowded ids cost the same.
     """
     sized = df.select(order_by, F.octet_length(payload).cast("bigint").alias("__size"))
-    placed = ordering.numbered(sized, [F.col(order_by)], slice_by)
+    slices = ordering.observed_slice(df, order_by) if slice_by is None else slice_by
+    placed = ordering.numbered(sized, [F.col(order_by)], slices)
     batch = F.floor((F.col("position") - 1) / F.lit(batch_size)).alias("batch")
     return placed.groupBy(batch).agg(
         F.count(F.lit(1)).alias("records"), (F.sum("__size") + FRAME_BYTES).alias("bytes")
@@ -202,7 +206,7 @@ def batch_totals(df: DataFrame, payload: str, order_by: str, slice_by: Column, b
 
 
 def hybrid_totals(
-    df: DataFrame, payload: str, order_by: str, slice_by: Column, threshold: int, batch_size: int = BATCH_RECORDS
+    df: DataFrame, payload: str, order_by: str, slice_by: Column | None, threshold: int, batch_size: int = BATCH_RECORDS
 ) -> DataFrame:
     """Large records go in batches, the others are streamed one by one."""
     large = F.octet_length(payload) > threshold

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import encode
-from millrace.operators import documents, joins, ordering, validation
+from millrace.operators import documents, joins, validation
 from millrace.plans.registry import query
 
 _EXT = r"lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '(\.[^.]*)$', 1))"
@@ -184,7 +184,7 @@ def transfer_stream(t):
        SELECT (position - 1) // 1024 AS batch, count(*) AS records, CAST(sum(size) + 8 AS BIGINT) AS bytes FROM n GROUP BY 1""",
 )
 def transfer_batch(t):
-    return documents.batch_totals(t.events, "props", "event_id", ordering.id_slice("event_id"))
+    return documents.batch_totals(t.events, "props", "event_id")
 
 
 @query(
@@ -196,7 +196,7 @@ def transfer_batch(t):
        SELECT 'stream', count(*), CAST(sum(strlen(text) + 8) AS BIGINT), count(*) FROM documents WHERE strlen(text) <= 1500""",
 )
 def transfer_hybrid(t):
-    return documents.hybrid_totals(t.documents, "text", "doc_id", ordering.id_slice("doc_id"), 1500, 64)
+    return documents.hybrid_totals(t.documents, "text", "doc_id", None, 1500, 64)
 
 
 @query(
