@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from millrace.functions import encode
 from millrace.operators import documents, joins, validation
 from millrace.plans.registry import query
+from millrace.session import scratch
+from millrace.sources import files, sinks
 
 _EXT = r"lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '(\.[^.]*)$', 1))"
 _TYPES = " ".join(f"WHEN '{e}' THEN '{k}'" for e, k in documents.TYPE_OF_EXTENSION.items())
@@ -161,6 +163,25 @@ def file_checksum(t):
     )
 
 
+@query(
+    "file_bytes_checksum",
+    """WITH f AS (SELECT CAST(c_nationkey AS BIGINT) AS nation, c_nationkey || ',' || count(*) || ',' || sum(c_custkey) || chr(10) AS content
+                  FROM customer GROUP BY c_nationkey)
+       SELECT nation, strlen(content) AS size, sha256(content) AS checksum, nation % 4 <> 0 AS valid FROM f""",
+)
+def file_bytes_checksum(t):
+    """Bytes of written files against the checksums of a manifest, in which every fourth is of another content."""
+    path, nation = scratch(t.spark, "bytes"), F.col("c_nationkey").cast("bigint")
+    totals = t.customer.groupBy(nation.alias("nation")).agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("total"))
+    lines = totals.select("nation", F.concat_ws(",", "nation", "n", "total").alias("line"))
+    sinks.write(lines, path, "text", partition_by=["nation"])
+    sent = F.concat("line", F.when(F.col("nation") % 4 == 0, "\r\n").otherwise("\n"))
+    manifest = lines.select("nation", F.upper(F.sha2(sent, 256)).alias("expected"))
+    found = files.contents(t.spark, path).withColumn("nation", F.regexp_extract("path", "/nation=([0-9]+)/", 1).cast("bigint"))
+    checked = validation.validate_checksum(found.join(manifest, "nation"), "content", "sha256", "expected")
+    return checked.select("nation", "size", "checksum", "valid")
+
+
 @query(
     "storage_usage",
     """SELECT parent, CAST(sum(strlen(content)) AS BIGINT) AS bytes, sum(strlen(content)) / 100000000 * 100 AS usage_percent
