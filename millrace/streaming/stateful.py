@@ -1,8 +1,9 @@
 """Streams with state per key and timers in event time: completion of executions, workers that fall silent, late rows.
 
 State ends: a key is forgotten when it is done, or when the watermark passes its patience. Rows of a key are put
-together within every Arrow batch before they are shuffled, so that a hot key sends few rows to its one task.
-Rows without a key are ticks: they move event time on (the clock of an idle stream) and leave no state.
+together within every Arrow batch before they are shuffled, so that a hot key sends few rows to its one task. State
+functions run once per bucket of keys, on arrays of all its keys, not once per key: a call costs as much as some
+thousand rows. Rows without a key are ticks: they move event time on (the clock of an idle stream) and leave no state.
 """
 
 from __future__ import annotations
@@ -19,51 +20,91 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from millrace.operators.runs import TERMINAL
 from millrace.streaming import tables
 
+# Fixed value: keys are dealt by hash into so many groups, each with one value of state. It is part of a checkpoint.
+BUCKETS = 1 << 10
+_LONG = np.dtype("int64")
+_NEVER = np.iinfo(_LONG).min  # as a time: null
+
 _PART = "execution_id bigint, expected bigint, ended bigint, failed bigint, timestamp timestamp"
 _DONE = "execution_id bigint, tasks bigint, failed bigint, ended_at timestamp, status string"
 
 
+def _dealt(stream: DataFrame, key: str) -> DataFrame:
+    """Add the key's bucket; rows without a key have one of their own, -1, so that they only move the watermark."""
+    return stream.withColumn("bucket", F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(BUCKETS))).cast("int"))
+
+
+def _micros(times: pd.Series) -> np.ndarray:
+    return times.to_numpy().astype("datetime64[us]").astype(_LONG)
+
+
+def _times(micros: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(micros).view("datetime64[us]")
+
+
+def _matrix(data: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(bytes(data), _LONG).reshape(-1, width)
+
+
+def _arrived(parts: Iterator[pd.DataFrame], state: GroupState, width: int, columns) -> np.ndarray:
+    """The rows of all parts as one matrix of longs."""
+    found = [] if state.hasTimedOut else [np.column_stack([np.asarray(c).astype(_LONG) for c in columns(part)]) for part in parts]
+    return np.concatenate([np.empty((0, width), _LONG), *found])
+
+
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """Where each group of equal keys begins, in rows sorted by them."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(new)
+
+
 def _put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         groups = batch.groupby("execution_id", as_index=False, dropna=False)
         yield groups.agg({"expected": "max", "ended": "sum", "failed": "sum", "timestamp": "max"})
 
 
-def _done(execution: int, ended: int, failed: int, last: int, status: str) -> pd.DataFrame:
-    at = np.array([last]).view("datetime64[us]")
-    return pd.DataFrame({"execution_id": [execution], "tasks": [ended], "failed": [failed], "ended_at": at, "status": [status]})
+def _heard(part: pd.DataFrame) -> list[np.ndarray]:
+    ended, none = part["ended"].to_numpy(), np.zeros(len(part), _LONG)
+    last = np.where(ended > 0, _micros(part["timestamp"]), 0)
+    return [part["execution_id"], part["expected"].fillna(-1), ended, part["failed"], np.maximum(last, 0), none, none + 1]
 
 
 def _completing(patience_ms: int):
+    """State of a bucket: a row of longs for each execution: its id, expected, ended, failed, newest end, and when it is given up."""
+
     def update(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if key[0] is None or pd.isna(key[0]):
+        if key[0] < 0:
             return
-        expected, ended, failed, last = state.get if state.exists else (-1, 0, 0, 0)
-        if state.hasTimedOut:
-            state.remove()
-            yield _done(key[0], ended, failed, last, "timed_out")
-            return
-        for part in parts:
-            for more in zip(*(part[name].to_numpy() for name in ("expected", "ended", "failed", "timestamp"))):
-                if more[1] > 0:
-                    last = max(last, int(more[3].astype("datetime64[us]").astype("int64")))
-                expected = expected if pd.isna(more[0]) else max(expected, int(more[0]))
-                ended, failed = ended + int(more[1]), failed + int(more[2])
-        if expected >= 0 and ended >= expected:
-            if state.exists:
-                state.remove()
-            yield _done(key[0], ended, failed, last, "failed" if failed else "completed")
+        now = state.getCurrentWatermarkMs()
+        known = _matrix(state.get[0], 6) if state.exists else np.empty((0, 6), _LONG)
+        rows = np.concatenate([np.column_stack([known, np.zeros(len(known), _LONG)]), _arrived(parts, state, 7, _heard)])
+        if not len(rows):
             return
-        state.update((expected, ended, failed, last))
-        state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + patience_ms)
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        at = _firsts(rows[:, 0])
+        expected, last, due, fresh = (np.maximum.reduceat(rows[:, k], at) for k in (1, 4, 5, 6))
+        ended, failed = (np.add.reduceat(rows[:, k], at) for k in (2, 3))
+        due = np.where(fresh > 0, np.maximum(last // 1000, now) + patience_ms, due)
+        done = (expected >= 0) & (ended >= expected)
+        over = done | (due < now)
+        if over.any():
+            status = np.where(done, np.where(failed > 0, "failed", "completed"), "timed_out")
+            out = {"execution_id": rows[at, 0], "tasks": ended, "failed": failed, "ended_at": _times(last), "status": status.astype(object)}
+            yield pd.DataFrame({name: column[over] for name, column in out.items()})
+        left = np.column_stack([rows[at, 0], expected, ended, failed, last, due])[~over]
+        if len(left):
+            state.update((left.tobytes(),))
+            state.setTimeoutTimestamp(int(left[:, 5].min()))
+        elif state.exists:
+            state.remove()
 
     return update
 
 
-def _names(schema: str) -> list[str]:
-    return [field.split()[0] for field in schema.split(", ")]
-
-
 def complete_executions(
     executions: DataFrame, tasks: DataFrame, path: str, checkpoint: str, delay: str, patience_seconds: int
 ) -> dict | None:
@@ -82,11 +123,10 @@ def complete_executions(
         "execution_id", F.lit(None).cast("long").alias("expected"), F.lit(1).cast("long").alias("ended"),
         (F.col("status") == "failed").cast("long").alias("failed"), F.col("timestamp").cast("timestamp").alias("timestamp"),
     )
-    started, over = (s.mapInPandas(_put_together, _PART).withWatermark("timestamp", delay) for s in (started, over))
-    done = started.union(over).groupBy("execution_id").applyInPandasWithState(
-        _completing(patience_seconds * 1000), _DONE, "expected bigint, ended bigint, failed bigint, last bigint",
-        "append", GroupStateTimeout.EventTimeTimeout,
-    )
+    started, over = (_dealt(s.mapInPandas(_put_together, _PART), "execution_id").withWatermark("timestamp", delay) for s in (started, over))
+    done = started.union(over).groupBy("bucket").applyInPandasWithState(
+        _completing(patience_seconds * 1000), _DONE, "executions binary", "append", GroupStateTimeout.EventTimeTimeout
+    )
     return tables.each_batch(done, path, checkpoint)
 
 

@@ -73,6 +73,30 @@ def test_silent_workers_by_timer(spark):
     assert last["stateOperators"][0]["numRowsTotal"] == 0
 
 
+def test_open_executions_share_buckets_of_state(spark):
+    n = 3000
+    started = streamed(spark, [[(k, 2, "2024-01-01 00:00:00") for k in range(n)]], EXEC)
+    ended = streamed(spark, [[(k, "failed" if k % 3 else "completed", "2024-01-01 00:01:00") for k in range(n) for _ in range(1 + k % 2)]], TASK)
+    path, progress = scratch(spark, "stream"), scratch(spark, "progress")
+    last = stateful.complete_executions(started, ended, path, progress, "1 hour", 7200)
+    assert 0 < last["stateOperators"][0]["numRowsTotal"] <= stateful.BUCKETS < n // 2
+    rows = spark.read.parquet(path).collect()
+    assert {(r["execution_id"], r["tasks"], r["failed"], r["status"]) for r in rows} == {
+        (k, 2, 2 if k % 3 else 0, "failed" if k % 3 else "completed") for k in range(1, n, 2)
+    }
+    assert len(rows) == n // 2
+
+
+def test_ids_beyond_doubles_stay_apart(spark):
+    """An id above 2 to the 53, and one that waits for its other task beside one that ends."""
+    big = (1 << 53) + 1
+    started = streamed(spark, [[(big, 1, "2024-01-01 00:00:00"), (big + 1, 2, "2024-01-01 00:00:00")]], EXEC)
+    ended = streamed(spark, [[(big, "completed", "2024-01-01 00:01:00"), (big + 1, "completed", "2024-01-01 00:01:00")]], TASK)
+    path, progress = scratch(spark, "stream"), scratch(spark, "progress")
+    stateful.complete_executions(started, ended, path, progress, "1 hour", 7200)
+    assert [tuple(r)[:2] for r in spark.read.parquet(path).select("execution_id", "tasks").collect()] == [(big, 1)]
+
+
 def test_a_worker_must_be_silent_before_it_is_forgotten(spark):
     with pytest.raises(ValueError):
         stateful.watch_silence(spark.range(0), "", "", "1 second", 30, 30)
