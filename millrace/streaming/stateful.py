@@ -8,7 +8,6 @@ thousand rows. Rows without a key are ticks: they move event time on (the clock
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,7 +133,7 @@ def complete_executions(
 
 _SLOT = "worker_id bigint, slot bigint, first bigint, last bigint, timestamp timestamp"
 _SILENT = "worker_id bigint, went_at timestamp, back_at timestamp"
-_WATCH = "last bigint, told boolean, slots string"
+_WATCH = "workers binary, slots binary"
 
 
 def _slots(width: int):
@@ -148,47 +147,70 @@ def _slots(width: int):
     return run
 
 
+def _seen(part: pd.DataFrame) -> list[np.ndarray]:
+    return [part["worker_id"], part["slot"], part["first"], part["last"]]
+
+
 def _watching(silence: int, forget: int):
     """Times are microseconds. Beats of a slot as long as ``silence`` can't be too far apart, so a slot keeps its first
-    and last beat. A slot is judged when the watermark has passed it, as no beat can be added to it any more."""
+    and last beat. A slot is judged when the watermark has passed it, as no beat can be added to it any more.
+
+    State of a bucket: rows of longs for its workers (id, last beat judged or -1, told, when to look again in
+    milliseconds) and for their slots to come (worker, slot, first, last). Only workers that were heard of, or whose
+    time to look again has come, are looked at.
+    """
 
     def update(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if key[0] is None or pd.isna(key[0]):
+        if key[0] < 0:
             return
-        last, told, text = state.get if state.exists else (-1, False, "[]")
-        slots = {int(s): (a, b) for s, a, b in json.loads(text)}
-        if not state.hasTimedOut:
-            for part in parts:
-                for s, a, b in zip(part["slot"], part["first"], part["last"]):
-                    old = slots.get(int(s), (int(a), int(b)))
-                    slots[int(s)] = (min(old[0], int(a)), max(old[1], int(b)))
         now = state.getCurrentWatermarkMs() * 1000
-        rows = []
-        for s in sorted(slots):
-            if (s + 1) * silence > now:
-                break
-            first, end = slots.pop(s)
-            if last >= 0 and first - last > silence:
-                back = first if first - last <= forget else None
-                if back is not None or not told:
-                    rows.append((key[0], last + silence, back))
-            last, told = max(last, end), False
-        ahead = slots[min(slots)][0] if slots else None
-        if last >= 0 and not told and last + silence < now and (ahead is None or ahead - last > silence):
-            rows.append((key[0], last + silence, None))
-            told = True
-        if rows:
-            out = pd.DataFrame(rows, columns=_names(_SILENT))
-            out["went_at"] = pd.to_datetime(out["went_at"], unit="us")
-            out["back_at"] = pd.to_datetime(out["back_at"].astype("Int64"), unit="us")
-            yield out
-        if not slots and told and last + forget < now:
+        workers, slots = (_matrix(data, 4) for data in state.get) if state.exists else (np.empty((0, 4), _LONG),) * 2
+        heard = _arrived(parts, state, 4, _seen)
+        begun = np.setdiff1d(heard[:, 0], workers[:, 0])
+        begun = np.column_stack([begun, np.full_like(begun, -1), np.zeros_like(begun), np.zeros_like(begun)])
+        workers = np.concatenate([workers, begun])
+        if not len(workers):
+            return
+        workers = workers[np.argsort(workers[:, 0])]
+        who, last, told, due = workers.T.copy()
+        active = np.isin(who, heard[:, 0]) | (due < now // 1000)
+        slots = np.concatenate([slots, heard])
+        slots = slots[np.lexsort((slots[:, 1], slots[:, 0]))]
+        if len(slots):
+            at = _firsts(slots[:, 0], slots[:, 1])
+            slots = np.column_stack([slots[at, :2], np.minimum.reduceat(slots[:, 2], at), np.maximum.reduceat(slots[:, 3], at)])
+        owner = np.searchsorted(who, slots[:, 0])
+        ripe = active[owner] & ((slots[:, 1] + 1) * silence <= now)
+        # Slots that are over, in order: each against the end of the one before, a worker's first against what is known.
+        of, first, end = owner[ripe], slots[ripe, 2], slots[ripe, 3]
+        opens = np.zeros(len(of), bool)
+        opens[_firsts(of)] = True
+        before = np.where(opens, last[of], np.maximum(last[of], np.roll(end, 1)))
+        back = np.where(first - before <= forget, first, _NEVER)
+        away = (before >= 0) & (first - before > silence) & ((back != _NEVER) | ~opens | (told[of] == 0))
+        np.maximum.at(last, of, end)
+        told[of] = 0
+        slots, owner = slots[~ripe], owner[~ripe]
+        nearest = _firsts(owner)
+        ahead, turn = np.full((2, len(who)), np.iinfo(_LONG).max)
+        ahead[owner[nearest]], turn[owner[nearest]] = slots[nearest, 2], (slots[nearest, 1] + 1) * silence
+        silent = active & (last >= 0) & (told == 0) & (last + silence < now) & (ahead - last > silence)
+        told[silent] = 1
+        if away.any() or silent.any():
+            went = np.concatenate([before[away], last[silent]]) + silence
+            backs = np.concatenate([back[away], np.full(silent.sum(), _NEVER)])
+            yield pd.DataFrame({"worker_id": np.concatenate([who[of[away]], who[silent]]), "went_at": _times(went), "back_at": _times(backs)})
+        waits = np.zeros(len(who), bool)
+        waits[owner] = True
+        gone = active & ~waits & ((last < 0) | (told > 0) & (last + forget < now))
+        again = np.minimum(turn, np.where(last < 0, turn, last + np.where(told > 0, forget, silence)))
+        due = np.where(active, np.maximum(again // 1000, now // 1000) + 1, due)
+        if gone.all():
             if state.exists:
                 state.remove()
             return
-        state.update((last, told, json.dumps([(s, a, b) for s, (a, b) in sorted(slots.items())])))
-        due = [(s + 1) * silence for s in slots] + ([last + forget] if told else [last + silence] if last >= 0 else [])
-        state.setTimeoutTimestamp(max(min(x for x in due if x >= 0) // 1000, now // 1000) + 1)
+        state.update((np.column_stack([who, last, told, due])[~gone].tobytes(), slots.tobytes()))
+        state.setTimeoutTimestamp(int(due[~gone].min()))
 
     return update
 
@@ -204,8 +226,8 @@ def watch_silence(stream: DataFrame, path: str, checkpoint: str, delay: str, sil
         raise ValueError("a worker can only be forgotten after it has been silent")
     beats = stream.select(F.col("worker_id").cast("long").alias("worker_id"), F.col("timestamp").cast("timestamp").alias("timestamp"))
     silence = silence_seconds * 1_000_000
-    slots = beats.mapInPandas(_slots(silence), _SLOT).withWatermark("timestamp", delay)
-    silent = slots.groupBy("worker_id").applyInPandasWithState(
+    slots = _dealt(beats.mapInPandas(_slots(silence), _SLOT), "worker_id").withWatermark("timestamp", delay)
+    silent = slots.groupBy("bucket").applyInPandasWithState(
         _watching(silence, forget_seconds * 1_000_000), _SILENT, _WATCH, "append", GroupStateTimeout.EventTimeTimeout
     )
     return tables.each_batch(silent, path, checkpoint)

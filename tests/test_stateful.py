@@ -97,6 +97,20 @@ def test_ids_beyond_doubles_stay_apart(spark):
     assert [tuple(r)[:2] for r in spark.read.parquet(path).select("execution_id", "tasks").collect()] == [(big, 1)]
 
 
+def test_watched_workers_share_buckets_of_state(spark):
+    n = 2500
+    beats = streamed(
+        spark, [[(k, "2024-01-01 00:00:00") for k in range(n)], [(k, "2024-01-01 00:20:00") for k in range(0, n, 2)], [(None, "2024-01-01 00:40:00")]], BEAT
+    )
+    path, progress = scratch(spark, "stream"), scratch(spark, "progress")
+    last = stateful.watch_silence(beats, path, progress, "10 minutes", 30, 3600)
+    assert 0 < last["stateOperators"][0]["numRowsTotal"] <= stateful.BUCKETS < n
+    told = tables.newest_state(spark.read.parquet(path), ["worker_id", "went_at"]).collect()
+    rows = {(r["worker_id"], f"{r['went_at']:%H:%M:%S}", r["back_at"] and f"{r['back_at']:%H:%M:%S}") for r in told}
+    odd = {(k, "00:00:30", None) for k in range(1, n, 2)}
+    assert rows == odd | {(k, "00:00:30", "00:20:00") for k in range(0, n, 2)} | {(k, "00:20:30", None) for k in range(0, n, 2)}
+
+
 def test_a_worker_must_be_silent_before_it_is_forgotten(spark):
     with pytest.raises(ValueError):
         stateful.watch_silence(spark.range(0), "", "", "1 second", 30, 30)
