@@ -14,6 +14,9 @@ from pyspark.sql.types import StructType
 
 BATCH = "batch_id"
 
+# Fixed value: rows a file of a sliced table holds at most, about.
+ROWS_A_FILE = 1 << 19
+
 
 def stream_source(
     spark: SparkSession,
@@ -85,15 +88,19 @@ def sliced(rows: DataFrame, time: str, path: str, slices: int, tick: float | Non
     """Write ``rows`` to a folder in ``slices`` equal spans of ``time``, the oldest first, and read it as a stream of
     that order. With ``tick`` a last file has one row of nulls whose time is that many seconds after the newest.
 
-    Micro-batches take at least one file; rows of a span may come in any order, so a watermark's delay must be at least
-    a span for none to be late.
+    A micro-batch takes one span, however large: all spans are dealt out evenly over as many files as the largest needs
+    (``ROWS_A_FILE``), and so many files are read at a time. A span with fewer rows than files shares its micro-batch
+    with the next. Rows of a span may come in any order, so a watermark's delay must be at least a span for none to be late.
     """
     at = F.unix_seconds(F.col(time).cast("timestamp"))
     low, high = rows.agg(F.min(at), F.max(at)).first()
+    files = 1
     if low is not None:
         width = (high - low) // slices + 1
-        for k in range(slices):
-            rows.where((at >= low + k * width) & (at < low + (k + 1) * width)).write.mode("append").parquet(path)
+        spans = [(at >= low + k * width) & (at < low + (k + 1) * width) for k in range(slices)]
+        files = -(-max(rows.agg(*[F.count_if(span) for span in spans]).first()) // ROWS_A_FILE)
+        for span in spans:
+            rows.where(span).repartition(files).write.mode("append").parquet(path)
         if tick is not None:
             spark = rows.sparkSession
             end = F.timestamp_seconds(F.lit(high + tick)).cast(rows.schema[time].dataType)
@@ -101,4 +108,4 @@ def sliced(rows: DataFrame, time: str, path: str, slices: int, tick: float | Non
             spark.range(1).select(*nulls).write.mode("append").parquet(path)
     else:
         rows.write.mode("append").parquet(path)
-    return stream_source(rows.sparkSession, path, rows.schema, files_per_batch=1)
+    return stream_source(rows.sparkSession, path, rows.schema, files_per_batch=files)

@@ -120,3 +120,14 @@ def test_transfer_batches_are_flushed_per_micro_batch(spark, folder):
     assert sorted((r["batch_id"], r["batch"], r["records"], r["bytes"]) for r in out) == [
         (0, 0, 3, 14), (0, 1, 2, 12), (1, 0, 3, 14), (1, 1, 2, 12),
     ]
+
+
+@pytest.mark.parametrize("rows_a_file", [1 << 19, 100])
+def test_a_span_is_one_micro_batch(spark, monkeypatch, rows_a_file):
+    """However many partitions the rows come in, and however many files a span needs."""
+    monkeypatch.setattr(tables, "ROWS_A_FILE", rows_a_file)
+    rows = spark.range(900).repartition(6).select("id", F.timestamp_seconds(F.col("id")).alias("timestamp"))
+    path = scratch(spark, "out")
+    tables.each_batch(tables.sliced(rows, "timestamp", scratch(spark, "in"), 3), path, scratch(spark, "progress"))
+    spans = spark.read.parquet(path).groupBy(tables.BATCH).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n"))
+    assert [tuple(r) for r in spans.orderBy("low").select("low", "high", "n").collect()] == [(0, 299, 300), (300, 599, 300), (600, 899, 300)]
