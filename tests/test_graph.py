@@ -83,3 +83,18 @@ def test_no_edges(spark):
     nodes, edges = frames(spark, [(3, [])])
     assert graph.components(edges).count() == graph.cyclic_nodes(edges).count() == 0
     assert {r.level for r in graph.topological_levels(nodes, edges).collect()} == {0}
+
+
+def test_no_round_sends_a_table_through_the_driver(spark, monkeypatch):
+    plans, written = [], graph._written
+
+    def plan(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(graph, "_written", lambda df, *args: written(plan(df), *args))
+    nodes, edges = frames(spark, [(6, [(0, 1), (1, 2), (2, 0), (0, 2), (2, 3), (3, 4), (4, 5)]), (3, [(0, 1), (1, 2), (0, 2)])])
+    for found in (graph.cyclic_nodes(edges), graph.components(edges), graph.topological_levels(nodes, edges)):
+        plan(found)
+    assert any("SortMergeJoin" in text for text in plans)
+    assert not [text for text in plans if "Broadcast" in text]
